@@ -77,3 +77,14 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: in
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)
+
+
+def labelled_sample(rows: DataFrame, label: str, per_label: int) -> DataFrame:
+    """About per_label rows (doc_id and others) of each label value, chosen by a hash of doc_id: the same at every run.
+
+    A label's share is per_label over its count, so the sample's size is bounded whatever the table's.
+    """
+    counts = rows.groupBy(F.col(label).alias("l")).agg(F.count(F.lit(1)).alias("n"))
+    share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    held = rows.join(counts, F.col(label) == F.col("l")).where(share * F.col("n") < per_label)
+    return held.select(*rows.columns)
