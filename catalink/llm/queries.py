@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, packing, simhash, token_files
+from . import exact_dedup, language, packing, pii, simhash, token_files
 from .common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -32,7 +32,11 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predictions(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_language": op9_language, "op2_token_files": op2_token_files, "op6_simhash": op6_simhash, "op8_packing": op8_packing, "op7_exact_dedup": op7_exact_dedup}
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_pii": op3_pii, "op9_language": op9_language, "op2_token_files": op2_token_files, "op6_simhash": op6_simhash, "op8_packing": op8_packing, "op7_exact_dedup": op7_exact_dedup}
 
 ORACLE_SQL = {
     "op7_exact_dedup": f"""
