@@ -26,7 +26,7 @@ RUNS = re.compile("[ \n][ \n]|[\t\r\xa0    ]")
 #: Stands between pieces that are encoded together: a line end, which no such piece holds, or a control character of its own.
 LINE, MARK = "\n", " \x01 "
 #: Pieces a worker keeps (about 200 bytes a piece). A full table stays as it is, as common pieces come early, and begins anew after so many more new ones.
-KEPT, ANEW = 400_000, 4_000_000
+KEPT, ANEW = 1_200_000, 6_000_000
 
 _encoders: dict[str, Encoder] = {}
 
