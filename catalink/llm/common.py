@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: Used only where the session names no shared folder, as in tests.
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
 
+#: Counts of so many labels at most are sent to all executors.
+FEW_LABELS = 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, set here only where it is unset."""
@@ -85,6 +88,9 @@ def labelled_sample(rows: DataFrame, label: str, per_label: int) -> DataFrame:
     A label's share is per_label over its count, so the sample's size is bounded whatever the table's.
     """
     counts = rows.groupBy(F.col(label).alias("l")).agg(F.count(F.lit(1)).alias("n"))
+    few = counts.limit(FEW_LABELS + 1).collect()
+    if len(few) <= FEW_LABELS:
+        counts = F.broadcast(rows.sparkSession.createDataFrame(few, counts.schema))
     share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     held = rows.join(counts, F.col(label) == F.col("l")).where(share * F.col("n") < per_label)
     return held.select(*rows.columns)
