@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, neighbours, packing, pii, repeats, simhash, token_files, toxicity
+from . import exact_dedup, language, neighbours, packing, pieces, pii, repeats, simhash, token_files, toxicity
 from .common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -49,7 +49,11 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.trimmed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_repeats": op5_repeats, "op10_neighbours": op10_neighbours, "op1_toxicity": op1_toxicity, "op3_pii": op3_pii, "op9_language": op9_language, "op2_token_files": op2_token_files, "op6_simhash": op6_simhash, "op8_packing": op8_packing, "op7_exact_dedup": op7_exact_dedup}
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {"op4_pieces": op4_pieces, "op5_repeats": op5_repeats, "op10_neighbours": op10_neighbours, "op1_toxicity": op1_toxicity, "op3_pii": op3_pii, "op9_language": op9_language, "op2_token_files": op2_token_files, "op6_simhash": op6_simhash, "op8_packing": op8_packing, "op7_exact_dedup": op7_exact_dedup}
 
 ORACLE_SQL = {
     "op7_exact_dedup": f"""
