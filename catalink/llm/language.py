@@ -17,8 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import held_out, labelled_sample, pick, small_batches
 
@@ -120,3 +122,19 @@ def predictions(docs: DataFrame, per_language: int = PER_LANGUAGE, floor: float
     model = docs.sparkSession.sparkContext.broadcast(train(rows, per_language))
     out = rows.select("doc_id", "text").mapInArrow(lambda batches: _labels(batches, model.value, floor), "doc_id long, lang_pred string, score double, rejected boolean")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def accepted(docs: DataFrame, per_language: int = PER_LANGUAGE, floor: float = FLOOR) -> DataFrame:
+    """The rows of docs (with doc_id, text, lang and others) whose text is not rejected, as they are."""
+    model = docs.sparkSession.sparkContext.broadcast(train(pick(docs, doc_id="doc_id", text="text", lang="lang"), per_language))
+
+    def held(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            ids = pa.array(np.arange(len(batch)))
+            rows = pa.RecordBatch.from_arrays([ids, batch], names=["doc_id", "text"])
+            yield pa.concat_arrays([pc.invert(x.column("rejected")) for x in _labels([rows], model.value, floor)]) if len(batch) else pa.array([], pa.bool_())
+
+    held.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    names = docs.columns
+    inner = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    return inner.where(F.arrow_udf(held, T.BooleanType())(F.col(f"c{names.index('text')}"))).toDF(*names)

@@ -52,13 +52,7 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         marks = np.fromiter((fingerprint(t) for t in batch.column("text").to_pylist()), dtype=np.uint64, count=batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks.view(np.int64))], names=["doc_id", "fp"])
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a signed long."""
-    rows = pick(docs, doc_id=id_col, text=text_col)
-    return rows.mapInArrow(lambda batches: _fingerprints(small_batches(batches, "text")), "doc_id long, fp long")
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(marks.view(np.int64))], names=["doc_id", "tag", "fp"])
 
 
 def entries(fps: DataFrame) -> DataFrame:
@@ -130,14 +124,36 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.unionByName(blocked)
 
 
+def _rooted(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tag, fp) of every row, tag being a hash of the text, and (f, root) of every fingerprint."""
+    rows = pick(docs, doc_id=id_col, text=text_col).withColumn("tag", F.xxhash64("text"))
+    marks = written(rows.mapInArrow(lambda batches: _fingerprints(small_batches(batches, "text")), "doc_id long, tag long, fp long"), "fingerprints")
+    fps = written(marks.select("fp").distinct(), "distinct-fingerprints")
+    roots = components(links(fps))
+    return marks, written(fps.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("root", "fp").alias("root")), "roots")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
-    marks = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    fps = written(marks.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    roots = components(links(fps.select("fp")))
-    known = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    known = written(known, "roots")
+    marks, roots = _rooted(docs, id_col, text_col)
+    first = marks.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    known = written(first.join(roots, F.col("fp") == F.col("f")).select("f", "root", "first"), "first-ids")
     ids = known.groupBy("root").agg(F.min("first").alias("component_id")).select(F.col("root").alias("r"), "component_id")
-    named = written(known.join(ids, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id"), "named")
+    named = written(known.join(ids, F.col("root") == F.col("r")).select("f", "component_id"), "named")
     out = marks.join(named, F.col("fp") == F.col("f"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs (with doc_id, text and others) that stay: one of each component, that of the smallest doc_id."""
+    marks, roots = _rooted(docs, "doc_id", "text")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
+    firsts = marks.groupBy("fp").agg(F.min(order).alias("x")).join(roots, F.col("fp") == F.col("f"))
+    kept = firsts.groupBy("root").agg(F.min("x").alias("x")).select(F.col("x.doc_id").alias("k_id"), F.col("x.tag").alias("k_tag"))
+    kept = written(kept, "representatives")
+    names = docs.columns
+    inner = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    id_col, text = (f"c{names.index(x)}" for x in ("doc_id", "text"))
+    inner = inner.withColumn("tag", F.xxhash64(text))
+    held = inner.join(kept, F.col(id_col).eqNullSafe(F.col("k_id")) & (F.col("tag") == F.col("k_tag")), "left_semi")
+    return held.dropDuplicates([id_col, "tag"]).select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))
