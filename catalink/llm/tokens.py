@@ -1,9 +1,10 @@
 """Whole-text encoding with a public tokenizer file, with each distinct piece of text encoded once per worker.
 
 Both BPE files cut a text into words by a fixed pattern before any merge, so a text's ids are those of
-its words in order. A plain text is cut at single blanks and line ends, where the pattern always cuts
-too; a text with runs of blanks is cut by the pattern itself. Pieces seen for the first time, and all
-other texts, go to the tokenizers library.
+its words in order. A plain text is cut at single blanks and line ends, and before points and commas
+that follow a word, where the pattern always cuts too; a text with runs of blanks is cut by the pattern
+itself. Pieces seen for the first time go to the tokenizers library, single words straight to its
+merges, and so do all other texts.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 import regex
@@ -22,11 +24,13 @@ PATTERNS = {
 }
 #: Latin letters, punctuation and common symbols, without control characters other than tab and line ends, and without the one capital whose lower case is two characters.
 PLAIN = re.compile("[\t\n\r -\x7e\xa0-įı-ɏ‐-‧‰-⁞€]*")
+#: A point or comma that may belong to a longer run, or to the blank before it.
+JOINED = re.compile(r"[.,](?<!\w.)")
 RUNS = re.compile("[ \n][ \n]|[\t\r\xa0    ]")
 #: Stands between pieces that are encoded together: a line end, which no such piece holds, or a control character of its own.
 LINE, MARK = "\n", " \x01 "
 #: Pieces a worker keeps (about 200 bytes a piece). A full table stays as it is, as common pieces come early, and begins anew after so many more new ones.
-KEPT, ANEW = 1_200_000, 6_000_000
+KEPT, ANEW = 300_000, 4_000_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -45,6 +49,8 @@ class Encoder:
         self.between = LINE if self.blanks_count else MARK
         if self.split:
             (self.mark,) = self.tokenizer.encode(self.between, add_special_tokens=False).ids
+        self.merges = self.tokenizer.model.tokenize
+        self.letters = _byte_letters()
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.missed = 0
@@ -81,12 +87,29 @@ class Encoder:
             self.missed = 0
         return out
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """ids of single words (after a blank or not) by the model's merges alone, each written in the bytes' letters."""
+        merges, letters = self.merges, self.letters
+        raw = " \n".join(words).encode().decode("latin-1").translate(letters).split(f"{letters[32]}{letters[10]}")
+        return [array("I", [t.id for t in merges(w)]).tobytes() for w in raw] if words else []
+
+    def _mixed(self, texts: list[str], plain: list[bool]) -> list[bytes]:
+        """ids of each text, in order: those that are one word, and the others."""
+        words = iter(self._words([t for t, p in zip(texts, plain, strict=True) if p]))
+        others = iter(self._together([t for t, p in zip(texts, plain, strict=True) if not p]) if not all(plain) else ())
+        return [next(words) if p else next(others) for p in plain]
+
     def _blank_pieces(self, keys: list[str]) -> list[bytes]:
-        """Pieces of a text whose blanks count: all follow a blank, but for those after a line end and the first."""
+        """Pieces of a text whose blanks count: all follow a blank, but for those after a line end, a word, and the first."""
         line = np.asarray([self.mark], dtype="<u4").tobytes()
-        ids = self._together([k[1:] if k[:1] in ("\n", "\x00") else f" {k}" for k in keys])
+        ids = self._mixed([k[1:] if k[:1] in ("\n", "\x00", "\x02") else f" {k}" for k in keys], [k.isalpha() for k in keys])
         return [line + x if k[:1] == "\n" else x for k, x in zip(keys, ids, strict=True)]
 
+    def _plain_pieces(self, keys: list[str]) -> list[bytes]:
+        """Pieces of a text whose blanks don't count; letters lose their case first, as the file says."""
+        plain = [k.isalpha() for k in keys]
+        return self._mixed([k.lower() if p else k for k, p in zip(keys, plain, strict=True)], plain)
+
     def _cut_words(self, words: list[str]) -> list[bytes]:
         return [self.direct(w) for w in words]
 
@@ -94,11 +117,14 @@ class Encoder:
         """ids as little-endian unsigned 32-bit integers."""
         if self.split is None or "<|" in text or not PLAIN.fullmatch(text) or not unicodedata.is_normalized("NFC", text):
             return self.direct(text)
+        apart = "_" not in text and not JOINED.search(text)
         if not self.blanks_count:
-            return self._looked_up(text.split(), self.pieces, self._together)
+            keys = (text.replace(",", " ,").replace(".", " .") if apart else text).split()
+            return self._looked_up(keys, self.pieces, self._plain_pieces)
         if RUNS.search(text) or text[-1:] in (" ", "\n"):
             return self._looked_up(self.split(text), self.words, self._cut_words)
-        keys = text.replace("\n", " \n").split(" ")
+        cut = text.replace("\n", " \n")
+        keys = (cut.replace(",", " \x02,").replace(".", " \x02.") if apart else cut).split(" ")
         if text[:1] == "\n" or text[:1] == " ":
             del keys[0]
         else:
@@ -106,6 +132,13 @@ class Encoder:
         return self._looked_up(keys, self.pieces, self._blank_pieces)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: itself where printable, else the next of those from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
 def encoder(path: str) -> Encoder:
     """One encoder for each file and worker."""
     if path not in _encoders:
