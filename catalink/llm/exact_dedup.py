@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from . import fuse
 from .common import parts_for, pick, written
+from .screens import held_udf, screen_of
 
 #: Digests to a bucket of a snapshot: a filter of about 0.5 MB, built in one task.
 BUCKET_KEYS = 200_000
@@ -98,17 +99,8 @@ def _suspects(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows (doc_id, sha, text) that may share a class; texts of rows that certainly don't are not shuffled while the filter is small."""
     rows = docs.select("doc_id", normalised(F.col("text")).alias("text"))
     rows = rows.withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
-    keys = classes.where("group_size > 1").select(key64("sha").alias("key"))
-    n = keys.count()
-    if n > SENT_KEYS:
-        return rows
-    cells = rows.sparkSession.sparkContext.broadcast(fuse.build(keys.toPandas()["key"].to_numpy()))
-
-    @F.pandas_udf("boolean")
-    def held(key: pd.Series) -> pd.Series:
-        return pd.Series(fuse.contains(cells.value, key.to_numpy()))
-
-    return rows.where(held(key64("sha")))
+    screen = screen_of(classes.where("group_size > 1").select(key64("sha")), SENT_KEYS)
+    return rows if screen is None else rows.where(held_udf(rows, screen)(key64("sha")))
 
 
 def classes_of(docs: DataFrame, rows: DataFrame, old: Snapshot, batch: DataFrame) -> DataFrame:

@@ -30,8 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import fuse
 from .common import pick, small_batches, written
+from .screens import held, held_udf, screen_of
 
 LENGTH, GRAM, SPAN, STEP = 400, 8, 160, 120
 #: Keys of a filter that is sent to all executors (2.3 bytes a key).
@@ -91,7 +91,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 POSITIONS = "doc long, tag long, key long, next long, whole long, place long"
 
 
-def _positions(batches: Iterator[pa.RecordBatch], cells: bytes | None) -> Iterator[pa.RecordBatch]:
+def _positions(batches: Iterator[pa.RecordBatch], screen: list[bytes] | None) -> Iterator[pa.RecordBatch]:
     """Ranks of the named positions that the filter lets through; place packs the position with its windows' reach."""
     for batch in small_batches(batches, "raw", 1 << 20):
         docs, columns = [], [[] for _ in range(4)]
@@ -100,9 +100,9 @@ def _positions(batches: Iterator[pa.RecordBatch], cells: bytes | None) -> Iterat
                 continue
             at, first, last = anchors(np.frombuffer(text, np.uint8))
             keys = np.fromiter((digest(text[a : a + STEP]) for a in at.tolist()), dtype=np.uint64, count=len(at))
-            if cells is not None:
-                held = fuse.contains(cells, keys)
-                at, first, last, keys = at[held], first[held], last[held], keys[held]
+            if screen is not None:
+                some = held(screen, keys)
+                at, first, last, keys = at[some], first[some], last[some], keys[some]
             docs.append(np.full(len(at), row))
             columns[0].append(keys.view(np.int64))
             columns[1].append(np.fromiter((digest(text[a + STEP : a + 2 * STEP]) for a in at.tolist()), dtype=np.uint64, count=len(at)).view(np.int64))
@@ -176,8 +176,8 @@ def _shared_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         rows, x, h = window_hashes(batch)
         _, at, count = np.unique(h, return_inverse=True, return_counts=True)
         alone = batch.column("alone").to_numpy(zero_copy_only=False)
-        held = (count[at] > 1) & alone[rows]
-        return _ranges(batch, rows[held], x[held])
+        some = (count[at] > 1) & alone[rows]
+        return _ranges(batch, rows[some], x[some])
 
     for batch in batches:
         if rest is not None:
@@ -232,27 +232,13 @@ def covered(ranges) -> int:
     return total
 
 
-def _filter_of(keys: DataFrame) -> bytes | None:
-    """A fuse filter of the single long column, or None for more than SENT_KEYS keys."""
-    if keys.count() > SENT_KEYS:
-        return None
-    return fuse.build(keys.toPandas().iloc[:, 0].to_numpy())
-
-
 def _screened(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs that may be among keys (doc, tag), and those that certainly are not."""
-    cells = _filter_of(keys.select(F.xxhash64("doc", "tag").alias("k")).distinct())
-    if cells is None:
+    screen = screen_of(keys.select(F.xxhash64("doc", "tag").alias("k")).distinct(), SENT_KEYS)
+    if screen is None:
         return docs, docs.where("false")
-    sent = docs.sparkSession.sparkContext.broadcast(cells)
-    held = F.pandas_udf(lambda k: _series(fuse.contains(sent.value, k.to_numpy())), "boolean")(F.xxhash64("doc", "tag"))
-    return docs.where(held), docs.where(~held)
-
-
-def _series(values: np.ndarray):
-    import pandas as pd
-
-    return pd.Series(values)
+    may = held_udf(docs, screen)(F.xxhash64("doc", "tag"))
+    return docs.where(may), docs.where(~may)
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
@@ -260,10 +246,10 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     keys = docs.select("raw").mapInArrow(_keys, "key long")
     repeated = written(keys.groupBy("key").count().where("count > 1").select("key"), "ranks-120")
-    cells = _filter_of(repeated)
-    sent = spark.sparkContext.broadcast(cells)
+    screen = screen_of(repeated, SENT_KEYS)
+    sent = spark.sparkContext.broadcast(screen)
     positions = docs.select("doc", "tag", "raw").mapInArrow(lambda b: _positions(b, sent.value), POSITIONS)
-    if cells is None:
+    if screen is None:
         positions = positions.join(repeated, "key", "left_semi").select("doc", "tag", "key", "next", "whole", "place")
     positions = written(positions, "positions")
     reach = F.col("place").bitwiseAND(F.lit(0xFFFF))
@@ -295,6 +281,6 @@ def trimmed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc"), tag.cast("long").alias("tag"), raw.alias("raw"))
     ranges = written(repeated_ranges(rows).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "ranges")
     some, others = _screened(rows, ranges)
-    held = some.join(ranges, ["doc", "tag"], "left").select("doc_id", "raw", "ranges")
+    joined = some.join(ranges, ["doc", "tag"], "left").select("doc_id", "raw", "ranges")
     clean = others.select("doc_id", "raw", F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("ranges"))
-    return held.unionByName(clean).mapInArrow(_trimmed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.unionByName(clean).mapInArrow(_trimmed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
