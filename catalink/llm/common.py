@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 #: Used only where the session names no shared folder, as in tests.
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
 
+RECORDS = 1000
 #: Counts of so many labels at most are sent to all executors.
 FEW_LABELS = 1000
 
@@ -41,8 +42,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few_records(spark: SparkSession) -> None:
+    """Arrow batches of RECORDS rows at most from now on: texts may be long, and a batch is held whole on both sides."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > RECORDS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(RECORDS))
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns (new=old), found by position so that clashing names don't matter."""
+    few_records(df.sparkSession)
     names = df.columns
     plain = df.toDF(*(f"c{i}" for i in range(len(names))))
     return plain.select(*(F.col(f"c{names.index(old)}").alias(new) for new, old in columns.items()))

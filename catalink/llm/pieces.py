@@ -3,7 +3,7 @@
 A model file gives pieces and scores; a text's ids are those of the segmentation with the largest sum of
 scores, as in a unigram model (whatever the type the file names; see README). No piece holds a blank
 after another character, so a text is cut before its blanks and each distinct word is segmented once per
-worker. Words of equal length advance together: hashes of all substrings probe the sorted hashes of the
+worker. A text is also cut at line ends and after words, where no piece goes on. Words of equal length advance together: hashes of all substrings probe the sorted hashes of the
 pieces, one maximum a position is taken over all words at once, and its length is kept as backpointer.
 Ties go to the longest last piece. Characters without a piece become their UTF-8 byte pieces.
 
@@ -25,9 +25,12 @@ from pyspark.sql import functions as F
 from .common import ids_crc, pick, small_batches
 
 BLANK = "▁"
-WORD = re.compile(f"{BLANK}*[^{BLANK}]*")
+WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+#: Cuts further at line ends and after word characters, where the model's pieces allow.
+FINE = re.compile(rf"\n|{BLANK}*\w+|{BLANK}*[^\w{BLANK}\n]+\w*|{BLANK}+")
+TIE = re.compile(rf"(\w)[^\w{BLANK}]")
 #: Words a worker keeps (about 250 bytes a word); cells of a group of words that advance together.
-KEPT_WORDS, CELLS = 800_000, 1 << 16
+KEPT_WORDS, CELLS = 500_000, 1 << 15
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Told apart by length, substrings of different lengths never share a key by their first characters.
 _LENGTHS = np.arange(1 << 10, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
@@ -53,12 +56,19 @@ class Pieces:
         if any(BLANK in t.lstrip(BLANK) for t in texts):
             raise ValueError("a piece holds a blank after another character")
         self.longest = max(map(len, texts))
+        # Characters that some piece ties to a following mark; a text with one of them is cut at blanks only.
+        ties = {m for t in texts for m in TIE.findall(t)}
+        self.tied = re.compile(f"[{re.escape(''.join(sorted(ties)))}]") if ties else re.compile("(?!)")
+        self.lines = not any("\n" in t for t in texts)
         scores = [model.get_score(i) for i in plain]
         self.unknown = min(scores) - 10.0
         keys = np.asarray([self._hashes(np.asarray([list(map(ord, t))], dtype=np.uint32))[0][0, -1] for t in texts])
         keys = keys + _LENGTHS[[len(t) for t in texts]]
         order = np.argsort(keys)
         self.keys, self.scores, self.ids = keys[order], np.asarray(scores)[order], np.asarray(plain, dtype=np.int32)[order]
+        # Whether any key begins with these 20 bits: most substrings are no piece, and need no search.
+        self.may = np.zeros(1 << 20, dtype=bool)
+        self.may[(self.keys >> np.uint64(44)).view(np.int64)] = True
         self.bytes = np.asarray([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], dtype=np.int32)
         self.raw = [b""] * len(ids)
         for i, t in zip(plain, texts, strict=True):
@@ -84,10 +94,13 @@ class Pieces:
         which = np.full((n, size, k), -1, dtype=np.int32)
         for length in range(1, min(k, size) + 1):  # column 0 is the longest piece
             h = prefix[:, length:] - prefix[:, : size - length + 1] * factors[length] + _LENGTHS[length]
+            row, start = np.nonzero(self.may[(h >> np.uint64(44)).view(np.int64)])
+            h = h[row, start]
             at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
             hit = self.keys[at] == h
-            score[:, length - 1 :, k - length] = np.where(hit, self.scores[at], -np.inf)
-            which[:, length - 1 :, k - length] = np.where(hit, self.ids[at], -1)
+            row, end, at = row[hit], start[hit] + length - 1, at[hit]
+            score[row, end, k - length] = self.scores[at]
+            which[row, end, k - length] = self.ids[at]
         lone = which[:, :, k - 1] < 0
         score[:, :, k - 1][lone] = self.unknown
         best = np.full((n, size + k), -np.inf)
@@ -98,29 +111,36 @@ class Pieces:
             ways = best[:, j : j + k] + score[:, j]
             back[:, j] = np.argmax(ways, axis=1)
             best[:, j + k] = ways[rows, back[:, j]]
-        out: list[list[bytes]] = [[] for _ in words]
+        # From the ends back: one piece of every word at a time.
+        owners, found, ends = [], [], []
         at, live = np.full(n, size), rows
         while len(live):
             column = back[live, at[live] - 1]
-            piece = which[live, at[live] - 1, column]
-            for row, p, end in zip(live.tolist(), piece.tolist(), at[live].tolist(), strict=True):
-                out[row].append(p.to_bytes(4, "little") if p >= 0 else self.bytes[list(words[row][end - 1].encode("utf-8", "replace"))].tobytes())
+            owners.append(live)
+            found.append(which[live, at[live] - 1, column])
+            ends.append(at[live])
             at[live] -= k - column
             live = live[at[live] > 0]
-        return [b"".join(reversed(x)) for x in out]
-
-    def encode(self, text: str) -> bytes:
-        """ids of a whole text as little-endian 32-bit integers."""
-        if not text:
-            return b""
-        words = WORD.findall(f" {text}".replace(" ", BLANK))
-        words.pop()  # the empty match at the end
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            pass
+        owner, piece = (np.concatenate(x[::-1]) for x in (owners, found))
+        order = np.argsort(owner, kind="stable")
+        raw = piece[order].astype("<i4").tobytes()
+        edges = (np.cumsum(np.bincount(owner, minlength=n)) * 4).tolist()
+        out = [raw[a:b] for a, b in zip([0, *edges], edges, strict=False)]
+        end = np.concatenate(ends[::-1])[order]
+        for row in np.unique(owner[piece < 0]).tolist():
+            own = owner[order] == row
+            out[row] = b"".join(p.to_bytes(4, "little") if p >= 0 else self.bytes[list(words[row][e - 1].encode("utf-8", "replace"))].tobytes() for p, e in zip(piece[order][own].tolist(), end[own].tolist(), strict=True))
+        return out
+
+    def cut(self, text: str) -> list[str]:
+        """The words of a text, at whose ends no piece goes on."""
+        return (FINE if self.lines and not self.tied.search(text) else WORD).findall(f" {text}".replace(" ", BLANK)) if text else []
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """ids of whole texts as little-endian 32-bit integers; new words of all texts are segmented together."""
+        split, known = [self.cut(t) for t in texts], self.words
         groups: dict[int, list[str]] = {}
-        for w in {w for w in words if w not in self.words}:
+        for w in set().union(*split).difference(known):
             groups.setdefault(len(w), []).append(w)
         found: dict[str, bytes] = {}
         for size, group in groups.items():
@@ -128,15 +148,13 @@ class Pieces:
             for at in range(0, len(group), step):
                 part = group[at : at + step]
                 found.update(zip(part, self.segment(part), strict=True))
-        if len(self.words) + len(found) <= KEPT_WORDS:
-            self.words.update(found)
-        return b"".join([found[w] if w in found else self.words[w] for w in words])
+        if len(known) + len(found) <= KEPT_WORDS:
+            known.update(found)
+            return [b"".join(map(known.__getitem__, words)) for words in split]
+        return [b"".join([found[w] if w in found else known[w] for w in words]) for words in split]
 
-    def learn(self, texts: list[str]) -> None:
-        """Segment all new words of several texts at once."""
-        new = " ".join(t for t in texts if t)
-        if new:
-            self.encode(new)
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; control pieces give nothing."""
@@ -153,9 +171,7 @@ def pieces(path: str) -> Pieces:
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     model = pieces(path)
     for batch in small_batches(batches, "text", 2 << 20):
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        model.learn(texts)
-        ids = [np.frombuffer(model.encode(t), dtype="<i4") for t in texts]
+        ids = [np.frombuffer(x, dtype="<i4") for x in model.encode_all([t or "" for t in batch.column("text").to_pylist()])]
         edges = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
         lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array([ids_crc(x) for x in ids], pa.int64())], names=["doc_id", "ids", "ids_crc32"])

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import semicrf
-from .common import pick, small_batches
+from .common import few_records, pick, small_batches
 from .semicrf import KINDS, luhn
 
 #: The four base patterns; an address is matched from its at-sign, as its left part cannot hold one.
@@ -136,6 +136,7 @@ def mask(text: str, spans: list[Span]) -> str:
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span of the text column masked; a null text stays null."""
+    few_records(docs.sparkSession)
     field = docs.sparkSession.sparkContext.broadcast(model())
 
     def masked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
