@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .. import vocab
 from ..functions import text as T
@@ -42,7 +43,7 @@ def final_score(exact: Column, token: Column, fuzzy: Column, attribute: Column,
     return clamp(F.greatest(blend, 0.70 * token + 0.15 * attribute + 0.10 * fuzzy + 0.05 * exact))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Matching-blocks similarity of two texts, in percent."""
     for left, right in pairs:
