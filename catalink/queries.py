@@ -254,17 +254,17 @@ def j3(spark, d):
     return found.join(asked, "line_id").select("p_name", "p_type", "product_id")
 
 
-@_query("j4_partial_search", f"{A.cte('catalog', 'products')} SELECT p_name, p_type, product_id FROM (SELECT DISTINCT p_name, p_type FROM part), {_TEXTS} WHERE contains(x, split_part(p_name, ' ', 1))::int + contains(x, split_part(p_name, ' ', 2))::int + contains(x, lower(p_type))::int = 2")
+@_query("j4_partial_search", f"{A.cte('catalog', 'products')} SELECT p_name, p_type, product_id FROM (SELECT DISTINCT p_name, p_type FROM part), {_TEXTS} WHERE contains(x, split_part(p_name, ' ', 1))::int + contains(x, split_part(p_name, ' ', 2))::int + contains(x, lower(p_type))::int = 2 AND len(list_distinct([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), lower(p_type)])) = 3")
 def j4(spark, d):
     asked = A.read(spark, d, "part").select("p_name", "p_type").distinct().withColumn("query", F.concat_ws(" ", "p_name", "p_type")).withColumn("line_id", F.xxhash64("query"))
     found = retrieve.text_candidates(asked, ingest.products(A.catalog(spark, d)), limit=1 << 30).where("tier = 1")
     return found.join(asked, "line_id").select("p_name", "p_type", "product_id")
 
 
-@_query("j6_identifier_search", f"{A.cte('catalog', 'products')} SELECT brand, product_id FROM (SELECT DISTINCT p_brand AS brand FROM part), {_TEXTS} WHERE contains(regexp_replace(x, '[ /-]', '', 'g'), lower(replace(brand, '#', '')))")
+@_query("j6_identifier_search", f"{A.cte('catalog', 'products')} SELECT p_name, product_id FROM (SELECT DISTINCT p_name FROM part), {_TEXTS} WHERE contains(regexp_replace(x, '[ /-]', '', 'g'), split_part(p_name, ' ', 1)) AND contains(regexp_replace(x, '[ /-]', '', 'g'), split_part(p_name, ' ', 2))")
 def j6(spark, d):
-    asked = A.read(spark, d, "part").select(F.col("p_brand").alias("brand")).distinct().withColumn("query", F.translate("brand", "#", "")).withColumn("line_id", F.xxhash64("brand"))
-    return retrieve.identifier_candidates(asked, ingest.products(A.catalog(spark, d)), 1 << 30).join(asked, "line_id").select("brand", "product_id")
+    asked = A.read(spark, d, "part").select("p_name").distinct().withColumn("query", F.col("p_name")).withColumn("line_id", F.xxhash64("p_name"))
+    return retrieve.identifier_candidates(asked, ingest.products(A.catalog(spark, d)), 1 << 30).join(asked, "line_id").select("p_name", "product_id")
 
 
 # --- scores and decisions over pairs of parts with neighbouring keys
