@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType
 from .. import vocab
 from ..functions import text as T
 from ..functions import units as U
+from ..plans.stages import staged
 from ..vocab import MatchingConfig
 
 
@@ -72,10 +73,12 @@ def attributes(tokens: Column, volts: Column, dims: Column, amps: Column) -> Col
 
 def prepared(rows: DataFrame, text: str, prefix: str) -> DataFrame:
     """Adds what scoring needs of a text: tokens, canonical text, measures and attribute tags."""
-    code_like = T.is_code_like(F.col(text)) & (F.size(f"{prefix}_volts") == 0) & (F.size(f"{prefix}_dims") == 0)
     rows = rows.withColumns({f"{prefix}_volts": U.voltages(F.col(text)), f"{prefix}_dims": U.dimensions(F.col(text)), f"{prefix}_amps": U.amperages(F.col(text)), f"{prefix}_pairs": U.number_pairs(F.col(text))})
+    code_like = T.is_code_like(F.col(text)) & (F.size(f"{prefix}_volts") == 0) & (F.size(f"{prefix}_dims") == 0)
+    rows = staged(rows)  # nested array expressions are planned (and run) once a stage, not once a use
     rows = rows.withColumn(f"{prefix}_tokens", T.tokens(F.when(code_like, F.col(text)).otherwise(U.dimension_words(F.col(text)))))
     rows = rows.withColumn(f"{prefix}_text", F.array_join(f"{prefix}_tokens", " "))
+    rows = staged(rows)
     return rows.withColumn(f"{prefix}_tags", attributes(F.col(f"{prefix}_tokens"), F.col(f"{prefix}_volts"), F.col(f"{prefix}_dims"), F.col(f"{prefix}_amps")))
 
 

@@ -11,6 +11,7 @@ from . import vocab
 from .functions import text as T
 from .functions import units as U
 from .operators import decide, history, ingest, retrieve, score
+from .plans.match import match_lines
 from .sources import adapters as A
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -356,3 +357,9 @@ def k1(spark, d):
 @_query("k3_gap", "SELECT p_partkey % 97 AS line_id, count(*) AS scored, cast(max(p_size) AS double) AS top_score, cast(list_sort(list(p_size), 'DESC')[2] AS double) AS second_score, cast(max(p_size) - list_sort(list(p_size), 'DESC')[2] AS double) AS score_gap FROM part GROUP BY 1")
 def k3(spark, d):
     return decide.gaps(_ranking(spark, d))
+
+
+# --- the whole match
+@_query("m1_match_lines")
+def m1(spark, d):
+    return match_lines(A.lines(spark, d), A.catalog(spark, d), A.sales(spark, d)).select("line_id", "status", "matched_part", "percentage", "candidate_count")
