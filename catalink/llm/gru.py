@@ -2,7 +2,7 @@
 
 A word's input joins an embedding of the whole word with the summed embeddings of its character 4- and
 5-grams, both hashed. A window's states are pooled by attention into one logit; a text's logit is the
-largest of its overlapping windows.
+largest of its windows, one of which starts at every word (the last ones end at the text's end).
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 WORDS, GRAMS, WIDTH, HIDDEN = 1 << 15, 1 << 14, 8, 8
-WINDOW, STEP = 24, 18
+WINDOW = 24
 #: Words whose gate inputs a worker keeps (about 350 bytes a word).
 KEPT_WORDS = 150_000
 STRIPPED = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„’‘…–—¿¡"
@@ -67,11 +67,26 @@ def parts(words: list[str]) -> Parts:
 
 
 def windows_of(numbers: np.ndarray) -> np.ndarray:
-    """All overlapping windows of a text's word numbers, the last one filled up with 0; an empty text has one window of 0."""
-    count = max(1, -(-(len(numbers) - (WINDOW - STEP)) // STEP))
-    padded = np.zeros((count - 1) * STEP + WINDOW, dtype=np.int64)
-    padded[: len(numbers)] = numbers
-    return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STEP]
+    """The windows at every start in a text's word numbers; a shorter text has one, filled up with 0."""
+    return np.lib.stride_tricks.sliding_window_view(padded(numbers), WINDOW)
+
+
+def padded(numbers: np.ndarray) -> np.ndarray:
+    """A text's word numbers, filled up with 0 to one window at least."""
+    return np.concatenate([numbers, np.zeros(max(0, WINDOW - len(numbers)), dtype=np.int64)])
+
+
+def _starts(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end of the window starts of texts of the given sizes that lie one after another: those whose window ends within the text."""
+    first = np.cumsum(sizes) - sizes
+    return first, first + sizes - WINDOW + 1
+
+
+def _highest(scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Each text's largest score; windows that reach into the next text don't count."""
+    # The last text's end may lie one beyond the scores.
+    bounds = np.stack(_starts(sizes), axis=1).ravel()
+    return np.maximum.reduceat(np.append(scores, np.float32(-np.inf)), bounds)[::2]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -171,11 +186,48 @@ class Net:
                 self.halves[side] = np.concatenate([self.halves[side], np.zeros((more + 4096, 3 * HIDDEN), np.float32)])
             self.halves[side][at : at + len(g)] = g[:, side * 3 * HIDDEN : (side + 1) * 3 * HIDDEN]
 
-    def over(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Logits of windows over words with the input vectors x."""
+    def slide(self, flat: np.ndarray, most: int = 2048) -> np.ndarray:
+        """Logits of the windows at every start in flat (rows of the tables), as run() gives them.
+
+        Features are rows and windows columns, so that place t of neighbouring windows is a slice.
+        """
+        h, halved = HIDDEN, np.repeat(np.asarray([0.5, 1], np.float32), [2 * HIDDEN, HIDDEN])
+        turned = [np.ascontiguousarray((self.p[k] * halved).T) for k in ("uf", "ub")]
+        reads = np.concatenate([self.p["a"], self.p["o"][:, None]], axis=1).T
+        reads = [np.ascontiguousarray(reads[:, side * h : (side + 1) * h]) for side in (0, 1)]
+        out = np.zeros(len(flat) - WINDOW + 1, np.float32)
+        for first in range(0, len(out), most):
+            n = min(most, len(out) - first)
+            own = flat[first : first + n + WINDOW - 1]
+            seen = np.zeros((WINDOW, h + 1, n), np.float32)
+            for side in (0, 1):
+                g = np.ascontiguousarray((self.halves[side].take(own, axis=0) * halved).T)
+                s = np.zeros((h, n), np.float32)
+                for t in range(WINDOW) if side == 0 else range(WINDOW - 1, -1, -1):
+                    x, m = g[:, t : t + n], turned[side] @ s
+                    zr = m[: 2 * h]
+                    zr += x[: 2 * h]
+                    np.tanh(zr, out=zr)
+                    zr *= 0.5
+                    zr += 0.5
+                    c = m[2 * h :]
+                    c *= zr[h:]
+                    c += x[2 * h :]
+                    np.tanh(c, out=c)
+                    c -= s
+                    c *= zr[:h]
+                    s += c
+                    seen[t] += reads[side] @ s
+            e = np.einsum("k,tkn->tn", self.p["v"], np.tanh(seen[:, :h]))
+            e = np.exp(e - e.max(axis=0))
+            out[first : first + n] = (e * seen[:, h]).sum(axis=0) / e.sum(axis=0) + self.p["ob"][0]
+        return out
+
+    def over(self, x: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        """Logits of the windows at every start in flat, over words with the input vectors x."""
         self.halves = [np.zeros((len(x), 3 * HIDDEN), np.float32) for _ in (0, 1)]
         self.fill(0, x)
-        return np.concatenate([self.run(None, at[i : i + 4096]) for i in range(0, len(at), 4096)])
+        return self.slide(flat)
 
     def logits(self, texts: list[str], most: int = 4096) -> np.ndarray:
         """Each text's logit over all its windows, before calibration."""
@@ -184,12 +236,16 @@ class Net:
         split = [words_of(t) for t in texts]
         rows = self.numbers([w for words in split for w in words])
         ends = np.cumsum([len(words) for words in split])
-        each = [windows_of(x) for x in np.split(rows, ends[:-1])]
-        counts = np.asarray([len(w) for w in each])
-        at = np.concatenate(each)
+        each = np.split(rows, ends[:-1])
+        sizes = np.asarray([len(x) for x in each])
+        out = np.zeros(len(texts), np.float32)
+        short, long = np.flatnonzero(sizes <= WINDOW), np.flatnonzero(sizes > WINDOW)
         with np.errstate(over="ignore"):
-            scores = np.concatenate([self.run(None, at[i : i + most]) for i in range(0, len(at), most)])
-        return np.maximum.reduceat(scores, np.cumsum(counts) - counts)
+            for i in range(0, len(short), most):
+                out[short[i : i + most]] = self.run(None, np.stack([padded(each[j]) for j in short[i : i + most]]))
+            if len(long):
+                out[long] = _highest(self.slide(np.concatenate([each[j] for j in long])), sizes[long])
+        return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if not texts:
@@ -240,10 +296,10 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, rounds: int
     split = parts(["", *number])
     p["words"][:, 0] = _log_odds(split, docs, labels, WORDS, False)
     p["grams"][:, 0] = _log_odds(split, docs, labels, GRAMS, True)
-    each = [windows_of(x) for x in docs]
-    counts = np.asarray([len(w) for w in each])
-    first = np.cumsum(counts) - counts
-    at = np.concatenate(each)
+    each = [padded(x) for x in docs]
+    flat, lengths = np.concatenate(each), np.asarray([len(x) for x in each])
+    first, end = _starts(lengths)
+    places = np.arange(WINDOW)
     filled = np.arange(len(split.words)) > 0
     m = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in p.items()}
     step = 0
@@ -251,17 +307,17 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, rounds: int
         for round_no in range(rounds):
             x = net.inputs(split) * filled[:, None]
             if round_no:
-                score = net.over(x, at)
+                score = net.over(x, flat)
             else:
-                score = (x[:, 0] + x[:, WIDTH])[at].max(axis=1)
-            best = np.asarray([a + int(np.argmax(score[a : a + n])) for a, n in zip(first, counts, strict=True)])
-            extra = np.asarray([a + rng.integers(n) for a, n, y in zip(first, counts, labels, strict=True) if y == 0])
+                score = np.lib.stride_tricks.sliding_window_view((x[:, 0] + x[:, WIDTH])[flat], WINDOW).max(axis=1)
+            best = np.asarray([a + int(np.argmax(score[a:b])) for a, b in zip(first, end, strict=True)])
+            extra = np.asarray([rng.integers(a, b) for a, b, y in zip(first, end, labels, strict=True) if y == 0])
             chosen = np.concatenate([best, extra])
             truth = np.concatenate([labels, np.zeros(len(extra))])
             order = rng.permutation(len(chosen))
             for i in range(0, len(order), 128):
                 pick = order[i : i + 128]
-                rows, local = np.unique(at[chosen[pick]], return_inverse=True)
+                rows, local = np.unique(flat[chosen[pick][:, None] + places], return_inverse=True)
                 local = local.reshape(len(pick), -1)
                 own = split.rows(rows)
                 x = net.inputs(own) * (rows > 0)[:, None]
@@ -288,8 +344,8 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, rounds: int
                     square = m[k][1]
                     square[used] += total * total
                     p[k][used] -= (0.05 * total / (np.sqrt(square[used]) + 1e-6)).astype(np.float32)
-        score = net.over(net.inputs(split) * filled[:, None], at)
-    top = np.maximum.reduceat(score, first).astype(np.float64)
+        score = net.over(net.inputs(split) * filled[:, None], flat)
+    top = _highest(score, lengths).astype(np.float64)
     net.scale, net.shift = _calibrate(top, labels, weights / weights.mean())
     net.halves = None
     return net

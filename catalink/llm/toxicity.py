@@ -1,8 +1,8 @@
 """Toxicity of whole texts by the windowed recurrent network of `gru`.
 
 The network learns from a bounded sample of labelled texts (per_label of each label, never held-out
-ones), on the driver; it is then sent to all tasks (about 2 MB) and scores every overlapping window of
-every text. A text's score is that of its highest window, calibrated to the labels' frequencies.
+ones), on the driver; it is then sent to all tasks (about 2 MB) and scores the windows at every start in
+every text, as in training. A text's score is that of its highest window, calibrated to the labels' frequencies.
 
 Cases: a null text counts as empty and is scored as one empty window; documents without a label are
 scored, too; without labels of both kinds all scores are alike, near the one label known; repeated rows

@@ -53,6 +53,31 @@ def test_windows_cover_every_word():
         assert set(w.ravel().tolist()) - {0} == set(range(1, n + 1)) and (n <= gru.WINDOW) == (len(w) == 1)
 
 
+def fitted():
+    docs, labels = made(150)
+    return gru.train([d[1] for d in docs], np.asarray([y for _, y in labels]), np.ones(len(docs)))
+
+
+def test_every_start_is_scored():
+    net, rng = fitted(), random.Random(4)
+    words = "ba ti romel sunvor tiba melro horrid nastor".split()
+    texts = [" ".join(rng.choices(words, k=n)) for n in (1, 23, 24, 25, 26, 47, 100, 90)] + [""]
+    rows = [net.numbers(gru.words_of(t)) for t in texts]
+    slow = [net.run(None, np.ascontiguousarray(gru.windows_of(x))).max() for x in rows]
+    assert [len(gru.windows_of(x)) for x in rows] == [1, 1, 1, 2, 3, 24, 77, 67, 1]
+    assert np.abs(net.logits(texts) - slow).max() < 1e-3
+    assert np.abs(net.slide(rows[6], most=7) - net.run(None, np.ascontiguousarray(gru.windows_of(rows[6])))).max() < 1e-3
+
+
+def test_passage_counts_at_every_offset():
+    net, rng = fitted(), random.Random(5)
+    passage = rng.choices("ba ti romel horrid nastor! grumti".split(), k=gru.WINDOW)
+    alone = net.logits([" ".join(passage)])[0]
+    for offset in range(40):
+        put = " ".join([*rng.choices(["ba", "ti", "romel"], k=offset), *passage, *rng.choices(["ba", "sun"], k=31)])
+        assert net.logits([put])[0] >= alone - 1e-3
+
+
 def test_held_out_accuracy_and_rows(spark):
     docs, labels = made(700)
     docs += [(1000, None, None, None), (1001, "", None, None), (3, docs[3][1], "x", "z"), (1002, "ba " * 3000 + "horrid", "x", "z")]
