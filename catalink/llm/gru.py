@@ -1,12 +1,13 @@
 """A bidirectional gated recurrent network with attention pooling over windows of words, in numpy.
 
-A word's input joins an embedding of the whole word with the summed embeddings of its character 4- and
+A word's input (of a run longer than 64 characters, an input for each of its pieces) joins an embedding of the whole word with the summed embeddings of its character 4- and
 5-grams, both hashed. A window's states are pooled by attention into one logit; a text's logit is the
 largest of its windows, one of which starts at every word (the last ones end at the text's end).
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass, field
 
@@ -19,8 +20,24 @@ KEPT_WORDS = 150_000
 STRIPPED = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„’‘…–—¿¡"
 
 
+#: Longest word taken as one; size and step of the pieces of a longer run, so that any PIECE - PIECE_STEP + 1 characters are in one piece.
+LONGEST, PIECE, PIECE_STEP = 64, 32, 16
+_JOINTS = re.compile(r"[\W_]+")
+
+
 def words_of(text: str) -> list[str]:
-    return text.lower().split()
+    """The words of a text, in order. Of one longer than LONGEST the parts between punctuation, of a part that is still longer overlapping pieces."""
+    words = text.lower().split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [piece for w in words for piece in ([w] if len(w) <= LONGEST else _pieces(w))]
+
+
+def _pieces(run: str) -> list[str]:
+    out = []
+    for part in [x for x in _JOINTS.split(run) if x] or [run]:
+        out += [part] if len(part) <= LONGEST else [part[i : i + PIECE] for i in range(0, len(part) - PIECE + PIECE_STEP, PIECE_STEP)]
+    return out
 
 
 @dataclass
@@ -44,7 +61,7 @@ _FACTORS = np.asarray([2654435761, 2246822519, 3266489917, 668265263, 374761393]
 
 def parts(words: list[str]) -> Parts:
     """Hashes of words without outer punctuation, and of their character grams."""
-    cores = [(w.strip(STRIPPED) or w)[:64].encode("utf-8", "replace") for w in words]
+    cores = [(w.strip(STRIPPED) or w).encode("utf-8", "replace") for w in words]
     ids = np.fromiter((zlib.crc32(c) % WORDS for c in cores), dtype=np.int64, count=len(cores))
     marked = [b"<%b>" % c if len(c) > 1 else b"<%b>>>" % c for c in cores]
     raw = np.frombuffer(b"".join(marked), dtype=np.uint8).astype(np.uint32)

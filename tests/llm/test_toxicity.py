@@ -78,6 +78,19 @@ def test_passage_counts_at_every_offset():
         assert net.logits([put])[0] >= alone - 1e-3
 
 
+def test_long_runs_are_scored_to_their_end():
+    for run in ("ab" * 500 + "horrid", "ab" * 31 + "horrid" + "ab" * 31, "x" * 65):
+        pieces = gru.words_of(f"so {run} be")[1:-1]
+        assert all(any(run[i : i + 17] in p for p in pieces) for i in range(len(run) - 16)) and max(map(len, pieces)) <= 64
+    assert gru.words_of("-".join(["mild"] * 20) + "_horrid!") == ["mild"] * 20 + ["horrid"] and gru.words_of("=" * 70)
+    net = fitted()
+    for joint in "_-/":
+        words = ["ba", "ti", "romel"] * 12 + ["nastor"]
+        assert net.scores([joint.join(words)])[0] == net.scores([" ".join(words)])[0] > net.scores([joint.join(words[:-1])])[0] + 0.2
+    mild = "batiro" * 15
+    assert net.scores([f"{mild}nastor"])[0] > net.scores([mild])[0] + 0.01
+
+
 def test_held_out_accuracy_and_rows(spark):
     docs, labels = made(700)
     docs += [(1000, None, None, None), (1001, "", None, None), (3, docs[3][1], "x", "z"), (1002, "ba " * 3000 + "horrid", "x", "z")]
