@@ -2,7 +2,10 @@
 
 Fitting takes a bounded sample of labelled rows (per_language of each), makes inverse document
 frequencies and clusters each language's vectors by spherical k-means. Every whole text is then compared
-with all centroids. A text whose cosine to its nearest centroid is below a floor is marked rejected.
+with all centroids. A text whose cosine to its nearest centroid is below that language's floor for texts
+of as many distinct trigrams is marked rejected. Floors come from the sample: each half and its prefixes,
+measured by centroids of the other half; MARGIN times a low quantile. Where too few rows tell, the floor
+of shorter texts holds, at last FLOOR: texts of a word or two can hardly be told from others.
 
 Cases: a null text or one without a letter is `und`, score 0 and rejected; a table without labelled rows
 gives `und` throughout; ties go to the language first in order; repeated rows are classified each; other
@@ -25,6 +28,8 @@ from pyspark.sql import types as T
 from .common import held_out, labelled_sample, pick, small_batches
 
 DIMS, CENTROIDS, PER_LANGUAGE, FLOOR = 8192, 4, 1000, 0.02
+#: Quantile and share of it that make a floor, rows it needs, classes of distinct trigrams (by powers of 2).
+QUANTILE, MARGIN, TELLING, CLASSES = 0.01, 0.6, 20, 14
 LETTER = re.compile(r"[^\W\d_]")
 _KEEP = np.full(256, 32, dtype=np.uint32)
 for _b in [*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]:
@@ -71,15 +76,15 @@ class Model:
     idf: np.ndarray
     centres: np.ndarray
     language_of: np.ndarray
+    floors: np.ndarray | None = None  # languages x CLASSES
 
-    def vectors(self, texts: list[str]) -> np.ndarray:
-        return _unit(np.sqrt(counts(texts)) * self.idf)
-
-    def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Language number and cosine of each text."""
-        cosines = self.vectors(texts) @ self.centres.T
+    def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Language number, cosine and class of distinct trigrams of each text."""
+        c = counts(texts)
+        cosines = _unit(np.sqrt(c) * self.idf) @ self.centres.T
         best = np.argmax(cosines, axis=1)
-        return self.language_of[best], cosines[np.arange(len(texts)), best]
+        sizes = np.frexp((c > 0).sum(axis=1))[1]
+        return self.language_of[best], cosines[np.arange(len(texts)), best], np.minimum(sizes, CLASSES - 1)
 
 
 def fit(texts: list[str], langs: list[str], k: int = CENTROIDS) -> Model | None:
@@ -93,11 +98,38 @@ def fit(texts: list[str], langs: list[str], k: int = CENTROIDS) -> Model | None:
     return Model(names, idf, np.concatenate(parts), np.repeat(np.arange(len(names)), [len(p) for p in parts]))
 
 
+def floors(texts: list[str], langs: list[str], names: list[str]) -> np.ndarray:
+    """Least cosine of a text of each language and class of distinct trigrams, from texts that the measuring centroids don't know."""
+    found: list[list[list[float]]] = [[[] for _ in range(CLASSES)] for _ in names]
+    number = {n: i for i, n in enumerate(names)}
+    for half in (0, 1):
+        model = fit(texts[1 - half :: 2], langs[1 - half :: 2])
+        cuts = [(t[:n], lang) for t, lang in zip(texts[half::2], langs[half::2], strict=True) for n in (*(k for k in (16 << j for j in range(16)) if k < len(t)), len(t))]
+        cuts = [(t, lang) for t, lang in cuts if has_letter(t)]
+        for at in range(0, len(cuts) if model else 0, 256):
+            part = cuts[at : at + 256]
+            best, cosines, classes = model.predict([t for t, _ in part])
+            for (_, lang), b, x, k in zip(part, best.tolist(), cosines.tolist(), classes.tolist(), strict=True):
+                if model.languages[b] == lang:
+                    found[number[lang]][k].append(x)
+    out = np.full((len(names), CLASSES), FLOOR)
+    for row, lists in zip(out, found, strict=True):
+        for k, xs in enumerate(lists):
+            row[k] = max(row[k - 1] if k else FLOOR, MARGIN * float(np.quantile(xs, QUANTILE)) if len(xs) >= TELLING else 0)
+    return out
+
+
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """Fit on the rows of docs (doc_id, text, lang) that are not held out and have a language."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     sample = sorted((r for r in labelled_sample(rows, "lang", per_language).collect() if has_letter(r.text)), key=lambda r: (str(r.doc_id), r.lang, r.text))
-    return fit([r.text for r in sample], [r.lang for r in sample])
+    texts, langs = [r.text for r in sample], [r.lang for r in sample]
+    model = fit(texts, langs)
+    if model:
+        # Neighbours in order of id go to different halves, whatever ids mean.
+        order = np.random.default_rng(3).permutation(len(texts)).tolist()
+        model.floors = floors([texts[i] for i in order], [langs[i] for i in order], model.languages)
+    return model
 
 
 def _labels(batches: Iterator[pa.RecordBatch], model: Model | None, floor: float) -> Iterator[pa.RecordBatch]:
@@ -106,13 +138,14 @@ def _labels(batches: Iterator[pa.RecordBatch], model: Model | None, floor: float
             part = batch.slice(at, 256)
             texts = part.column("text").to_pylist()
             known = [i for i, t in enumerate(texts) if model and has_letter(t)]
-            names, scores = ["und"] * len(texts), np.zeros(len(texts))
+            names, scores, least = ["und"] * len(texts), np.zeros(len(texts)), np.full(len(texts), floor)
             if known:
-                best, cosines = model.predict([texts[i] for i in known])
+                best, cosines, classes = model.predict([texts[i] for i in known])
                 scores[known] = np.clip(cosines, 0, 1)
+                least[known] = np.maximum(floor, model.floors[best, classes])
                 for i, b in zip(known, best.tolist(), strict=True):
                     names[i] = model.languages[b]
-            rejected = [n == "und" or s < floor for n, s in zip(names, scores.tolist(), strict=True)]
+            rejected = [n == "und" or s < x for n, s, x in zip(names, scores.tolist(), least.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(scores), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
 
 

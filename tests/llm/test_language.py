@@ -31,6 +31,19 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_foreign_and_random_texts_are_rejected(spark):
+    rng = random.Random(6)
+    data = [x for x in rows() if x[0] < 300]
+    others = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. " * 4, "Все люди рождаются свободными и равными в своем достоинстве. " * 4, "人人生而自由，在尊严和权利上一律平等。" * 8,
+        " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(300)), "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=800)),
+    ]
+    docs = spark.createDataFrame([*data, *((2000 + i, t, None, 1) for i, t in enumerate(others))], SCHEMA)
+    rejected = {r.doc_id for r in language.predictions(docs).where("rejected").collect()}
+    assert rejected == set(range(2000, 2000 + len(others)))
+    assert {r.doc_id for r in language.accepted(docs).collect()} == {x[0] for x in data}
+
+
 def test_no_labels_and_no_rows(spark):
     assert language.predictions(spark.createDataFrame([], SCHEMA)).count() == 0
     (row,) = language.predictions(spark.createDataFrame([(1, "abc", None, 0)], SCHEMA)).collect()
