@@ -17,7 +17,9 @@ import numpy as np
 
 KINDS = ("email", "ip", "card", "phone")
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]|[^\S\n]+|\n")
-TRIGGER = re.compile(r"[0-9]+|@|[\[(]\s?at\s?[\])]")
+TRIGGER = re.compile(r"[0-9]+|@|[\[(]\s?(?i:at)\s?[\])]")
+#: Four groups of digits with three dots, which may be bracketed or between blanks.
+DOTTED = re.compile(r"[0-9]+(?:(?:\s?\.\s?|\s?\[\s?\.\s?\]\s?|\s?\(\s?\.\s?\)\s?)[0-9]+){3}")
 MOST_TOKENS, DIMS = 16, 1 << 12
 NUMERIC = frozenset(" .-()+/:")
 MAILISH = frozenset("._%+-@[]() ")
@@ -32,20 +34,21 @@ def luhn(digits: str) -> bool:
 
 
 def candidates(tokens: list[str]) -> list[tuple[int, int]]:
-    """Spans that may be an entity: numeric with plain separators, or with one at-sign (or a bracketed at)."""
+    """Spans that may be an entity: numeric with plain separators (7 digits or more, or four dotted groups), or with one at-sign (or a bracketed at)."""
     out = []
     for i, first in enumerate(tokens):
         if not (first[0].isalnum() or first in "+("):
             continue
-        digits = ats = 0
+        digits = ats = groups = 0
         letters = blank = False
         for j in range(i, min(len(tokens), i + MOST_TOKENS)):
             t = tokens[j]
             if t.isdigit():
                 digits += len(t)
+                groups += 1
             elif t[0].isalpha():
                 letters = True
-                ats += t == "at" and j > i and tokens[j - 1] in "[(" and j + 1 < len(tokens) and tokens[j + 1] in "])"
+                ats += t.lower() == "at" and j > i and tokens[j - 1] in "[(" and j + 1 < len(tokens) and tokens[j + 1] in "])"
             elif t == "@":
                 ats += 1
             elif t == "\n" or t not in NUMERIC and t not in MAILISH or len(t) > 1:
@@ -55,9 +58,9 @@ def candidates(tokens: list[str]) -> list[tuple[int, int]]:
                 break
             if not t[0].isalnum():
                 continue
-            if ats and letters and t != "at" and j > i + 1:
+            if ats and letters and t.lower() != "at" and j > i + 1:
                 out.append((i, j + 1))
-            elif not letters and 7 <= digits <= 19:
+            elif not letters and (7 <= digits <= 19 or groups == 4 and digits < 7 and DOTTED.fullmatch("".join(tokens[i : j + 1]))):
                 out.append((i, j + 1))
             elif not letters and digits > 19:
                 break
@@ -84,7 +87,7 @@ def features(tokens: list[str], i: int, j: int) -> list[int]:
         f"seps={''.join(sorted(set(re.sub(r'[A-Za-z0-9]', '', span))))}",
         f"start={span[0] if not span[0].isalnum() else 'd' if span[0].isdigit() else 'a'}",
         f"octets={len(parts) == 4 and all(p.isdigit() and int(p[:9]) < 256 for p in parts)},{span.count('.')}",
-        f"at={'@' in span},{'at' in tokens[i:j]},{tokens[j - 1].isalpha()},{min(len(tokens[j - 1]), 5)}",
+        f"at={'@' in span},{any(t.lower() == 'at' for t in tokens[i:j])},{tokens[j - 1].isalpha()},{min(len(tokens[j - 1]), 5)}",
         f"dot={'dot' in tokens[i:j]},{'.' in span}",
     ]
     before = next((t for t in reversed(tokens[:i]) if t.strip()), "^")

@@ -54,6 +54,20 @@ def test_field_adds_other_notations():
         assert found(clean) == []
 
 
+def test_field_adds_short_addresses_and_at_in_any_case():
+    def found(text):
+        return [(semicrf.KINDS[k], text[a:b]) for k, a, b in pii.added_spans(text, pii.base_spans(text), pii.model())]
+
+    for ip in ("10 . 0 . 0 . 1", "127[.]0[.]0[.]1", "8[.]8[.]8[.]8", "1 . 1 . 1 . 1"):
+        assert found(f"the host {ip} is up") == [("ip", ip)]
+    for mail in ("sdrn [AT] plome.org", "sdrn (At) plome.org", "sdrn[AT]plome.org"):
+        assert found(f"write to {mail} soon, ") == [("email", mail)]
+    for clean in ("version 2 . 0 . 1 of it", "points 1 2 3 4 of 5", "sections 1.2, 3.4 and 5"):
+        assert found(clean) == []
+    for tokens, gold in semicrf.examples():
+        assert {g[:2] for g in gold} <= set(semicrf.candidates(tokens))
+
+
 def test_held_out_sentences():
     right = wrong = missed = 0
     for tokens, gold in semicrf.examples(200, seed=77):
