@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import percent_text
 from .decide import confidence_word, top_string
 
+#: Headers of the input that become columns; cells under further ones stand in the map column OTHER_CELLS.
+MOST_COLUMNS, OTHER_CELLS = 500, "other_cells"
 MATCHED = ("EXACT_MATCH", "HIGH_CONFIDENCE")
 
 
@@ -26,22 +29,33 @@ def csv_rows(results: DataFrame) -> DataFrame:
 
 
 def full_rows(results: DataFrame) -> DataFrame:
-    """Per line the label and the three best parts; parts of matched lines start with the match."""
+    """Per line the label, the five best parts, and the matched part and orderable number; parts of matched lines start with the match."""
     part = lambda i: F.get("candidates", F.lit(i))
     code = lambda i: F.coalesce(part(i)["orderable"], part(i)["product_code"])
     label = F.when(F.col("status").isin(*MATCHED), "Matched").when(F.col("status") == "REVIEW_REQUIRED", "Validation Required").otherwise("No Match")
-    return results.select("line_id", "requested_description", "quantity", label.alias("match_status"), *(code(i).alias(f"product_{i + 1}") for i in range(3)))
+    last = F.col("matched_part").alias("matched_part_number"), F.col("matched_orderable").alias("orderable_part_number")
+    return results.select("line_id", "requested_description", "quantity", label.alias("match_status"), *(code(i).alias(f"product_{i + 1}") for i in range(5)), *last)
 
 
 def with_input_columns(results: DataFrame, raw: DataFrame) -> DataFrame:
-    """results beside the input's own cells (line_id, header, text) as columns, in order of first appearance."""
-    headers = [r.header for r in raw.groupBy("header").agg(F.min(F.struct("line_id", "col")).alias("at")).orderBy("at").limit(500).collect()]
-    wide = raw.groupBy("line_id").pivot("header", headers).agg(F.first("text"))
-    return results.join(wide, "line_id", "left").select(*(F.col(f"`{h}`") for h in headers), *(F.col(f"`{c}`") for c in results.columns))
+    """results beside the input's own cells (line_id, header, text, col) as columns, in order of first appearance.
+
+    Cells under headers after the first MOST_COLUMNS are kept in a map (header -> text) beside them, there only if needed.
+    """
+    first = raw.groupBy("header").agg(F.min(F.struct("line_id", "col")).alias("at")).orderBy("at", "header").limit(MOST_COLUMNS + 1)
+    headers = [r.header for r in first.collect()]
+    headers, more = headers[:MOST_COLUMNS], len(headers) > MOST_COLUMNS
+    each = raw.groupBy("line_id", "header").agg(F.min_by("text", "col").alias("text"))
+    cells = each.groupBy("line_id").agg(F.map_from_entries(F.collect_list(F.struct("header", "text"))).alias("cells"))
+    kept = [F.col("cells")[F.lit(h)].alias(h) for h in headers]
+    known = F.array(*(F.lit(h) for h in headers))
+    rest = [F.map_filter("cells", lambda k, _: ~F.array_contains(known, k)).alias(OTHER_CELLS)] if more else []
+    return results.join(cells, "line_id", "left").select(*kept, *rest, *(F.col(f"`{c}`") for c in results.columns))
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """Quoted as needed, with a header and CRLF line ends."""
+    """Quoted as needed, with a header and CRLF line ends; maps as JSON."""
+    rows = rows.select(*(F.to_json(f"`{f.name}`").alias(f.name) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`") for f in rows.schema))
     rows.write.option("header", True).option("lineSep", "\r\n").csv(path)
 
 

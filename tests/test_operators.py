@@ -40,6 +40,28 @@ def test_full_rows(results):
     assert (rows[2].product_1, rows[2].product_2, rows[2].product_3) == ("B", "C1", None)
 
 
+def test_full_rows_have_all_appended_columns(results):
+    many = results.where("line_id = 1").withColumn("candidates", F.expr("transform(sequence(1, 6), i -> named_struct('rank', i, 'product_code', concat('P', i), 'score', 90D, 'orderable', CAST(null AS string), 'description', 'x'))"))
+    (row,) = export.full_rows(many).collect()
+    assert [row[f"product_{i}"] for i in range(1, 6)] == ["P1", "P2", "P3", "P4", "P5"]
+    assert (row.matched_part_number, row.orderable_part_number) == ("A", "A1") and len(row) == 3 + 8
+
+
+def test_input_columns_lose_no_cell(results, tmp_path):
+    spark = results.sparkSession
+    cells = [(1, f"h{i:03}", i, f"a{i}") for i in range(510)] + [(2, "h001", 0, "b1"), (2, "z", 1, "b2"), (2, "h505", 2, None)]
+    raw = spark.createDataFrame(cells, "line_id long, header string, col int, text string")
+    ids = results.select("line_id", "status")
+    out = export.with_input_columns(ids, raw)
+    assert out.columns == [*(f"h{i:03}" for i in range(500)), "other_cells", "line_id", "status"]
+    rows = {r.line_id: r for r in out.collect()}
+    assert all(rows[1][f"h{i:03}"] == f"a{i}" for i in range(500)) and rows[1].other_cells == {f"h{i}": f"a{i}" for i in range(500, 510)}
+    assert (rows[2].h001, rows[2].h000, rows[2].other_cells) == ("b1", None, {"z": "b2", "h505": None}) and rows[3].h000 is None
+    assert export.with_input_columns(ids, raw.where("col < 2")).columns == ["h000", "h001", "z", "line_id", "status"]
+    export.write_csv(out.select("line_id", "other_cells"), str(tmp_path / "csv"))
+    assert "h505" in spark.read.option("header", True).csv(str(tmp_path / "csv")).where("line_id = 1").first().other_cells
+
+
 def test_picks_need_a_listed_candidate_of_a_line_under_review(results):
     picks = results.sparkSession.createDataFrame([(2, "C"), (1, "C"), (3, "C")], "line_id long, product_code string")
     rows = {r.line_id: (r.status, r.matched_part) for r in decide.selected(results, picks).collect()}
