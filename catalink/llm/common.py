@@ -21,9 +21,11 @@ FEW_LABELS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir, set here only where it is unset and all tasks run in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", LOCAL_CHECKPOINTS)
         found = LOCAL_CHECKPOINTS
     return found.rstrip("/")
@@ -90,15 +92,17 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: in
             yield batch.slice(a, b - a)
 
 
-def labelled_sample(rows: DataFrame, label: str, per_label: int) -> DataFrame:
+def labelled_sample(rows: DataFrame, label: str, per_label: int, text: str | None = None, label_bytes: int = 16 << 20) -> DataFrame:
     """About per_label rows (doc_id and others) of each label value, chosen by a hash of doc_id: the same at every run.
 
-    A label's share is per_label over its count, so the sample's size is bounded whatever the table's.
+    A label's share is per_label over its count, or label_bytes over the bytes of its texts if that is less,
+    so the sample's expected size is bounded whatever the table's and whatever the texts' lengths.
     """
-    counts = rows.groupBy(F.col(label).alias("l")).agg(F.count(F.lit(1)).alias("n"))
+    size = F.sum(F.octet_length(text)) if text else F.lit(0)
+    counts = rows.groupBy(F.col(label).alias("l")).agg(F.greatest(F.count(F.lit(1)) / per_label, F.coalesce(size, F.lit(0)) / label_bytes).alias("n"))
     few = counts.limit(FEW_LABELS + 1).collect()
     if len(few) <= FEW_LABELS:
         counts = F.broadcast(rows.sparkSession.createDataFrame(few, counts.schema))
     share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    held = rows.join(counts, F.col(label) == F.col("l")).where(share * F.col("n") < per_label)
+    held = rows.join(counts, F.col(label) == F.col("l")).where(share * F.col("n") < 1)
     return held.select(*rows.columns)

@@ -7,20 +7,20 @@ of as many distinct trigrams is marked rejected. Floors come from the sample: ea
 measured by centroids of the other half; MARGIN times a low quantile. Where too few rows tell, the floor
 of shorter texts holds, at last FLOOR: texts of a word or two can hardly be told from others.
 
-Cases: a null text or one without a letter is `und`, score 0 and rejected; a table without labelled rows
+Cases: a null text or one without a letter (Unicode category L) is `und`, score 0 and rejected; a table without labelled rows
 gives `und` throughout; ties go to the language first in order; repeated rows are classified each; other
 columns are ignored; texts of any length are counted whole, in slices.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +30,9 @@ from .common import held_out, labelled_sample, pick, small_batches
 DIMS, CENTROIDS, PER_LANGUAGE, FLOOR = 8192, 4, 1000, 0.02
 #: Quantile and share of it that make a floor, rows it needs, classes of distinct trigrams (by powers of 2).
 QUANTILE, MARGIN, TELLING, CLASSES = 0.01, 0.6, 20, 14
-LETTER = re.compile(r"[^\W\d_]")
+#: Rows that are made dense at a time in fitting.
+DENSE = 256
+LETTER = regex.compile(r"\p{L}")
 _KEEP = np.full(256, 32, dtype=np.uint32)
 for _b in [*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]:
     _KEEP[_b] = _b
@@ -58,15 +60,52 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
 
-def _clusters(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means, begun at the rows farthest from those chosen before."""
-    chosen = [int(np.argmax(rows @ rows.mean(axis=0)))]
-    while len(chosen) < min(k, len(rows)):
-        chosen.append(int(np.argmin((rows @ rows[chosen].T).max(axis=1))))
-    centres = rows[chosen]
+class _Rows:
+    """Unit TF-IDF rows of texts, held sparsely and made dense DENSE at a time, so that fitting takes little memory."""
+
+    def __init__(self, texts: list[str]):
+        self.columns: list[np.ndarray] = []
+        self.values: list[np.ndarray] = []
+        seen = np.zeros(DIMS, dtype=np.int64)
+        for at in range(0, len(texts), DENSE):
+            for row in counts(texts[at : at + DENSE]):
+                held = np.flatnonzero(row)
+                seen[held] += 1
+                self.columns.append(held.astype(np.uint16))
+                self.values.append(np.sqrt(row[held]))
+        self.idf = (np.log((1 + len(texts)) / (1 + seen)) + 0.1).astype(np.float32)
+        for held, x in zip(self.columns, self.values, strict=True):
+            x *= self.idf[held]
+            x /= max(float(np.linalg.norm(x)), 1e-12)
+
+    def dense(self, at: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(at), DIMS), dtype=np.float32)
+        for row, i in zip(out, at.tolist(), strict=True):
+            row[self.columns[i]] = self.values[i]
+        return out
+
+    def cosines(self, at: np.ndarray, centres: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.dense(at[i : i + DENSE]) @ centres.T for i in range(0, len(at), DENSE)])
+
+    def sums(self, at: np.ndarray, group: np.ndarray, k: int) -> np.ndarray:
+        """Sum of the rows of each of k groups."""
+        out = np.zeros((k, DIMS), dtype=np.float32)
+        for i in range(0, len(at), DENSE):
+            one = (group[i : i + DENSE, None] == np.arange(k)).astype(np.float32)
+            out += one.T @ self.dense(at[i : i + DENSE])
+        return out
+
+
+def _clusters(rows: _Rows, at: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
+    """Spherical k-means of the rows at the given places, begun at the rows farthest from those chosen before."""
+    middle = rows.sums(at, np.zeros(len(at), dtype=np.int64), 1)
+    centres = rows.dense(at[[int(np.argmax(rows.cosines(at, middle)[:, 0]))]])
+    while len(centres) < min(k, len(at)):
+        centres = np.concatenate([centres, rows.dense(at[[int(np.argmin(rows.cosines(at, centres).max(axis=1)))]])])
     for _ in range(rounds):
-        nearest = np.argmax(rows @ centres.T, axis=1)
-        centres = _unit(np.stack([rows[nearest == j].mean(axis=0) if (nearest == j).any() else centres[j] for j in range(len(centres))]))
+        nearest = np.argmax(rows.cosines(at, centres), axis=1)
+        sums = rows.sums(at, nearest, len(centres))
+        centres = _unit(np.where((np.bincount(nearest, minlength=len(centres)) > 0)[:, None], sums, centres))
     return centres
 
 
@@ -90,12 +129,10 @@ class Model:
 def fit(texts: list[str], langs: list[str], k: int = CENTROIDS) -> Model | None:
     if not texts:
         return None
-    c = counts(texts)
-    idf = (np.log((1 + len(texts)) / (1 + (c > 0).sum(axis=0))) + 0.1).astype(np.float32)
-    rows = _unit(np.sqrt(c) * idf)
+    rows = _Rows(texts)
     names = sorted(set(langs))
-    parts = [_clusters(rows[np.asarray([x == n for x in langs])], k) for n in names]
-    return Model(names, idf, np.concatenate(parts), np.repeat(np.arange(len(names)), [len(p) for p in parts]))
+    parts = [_clusters(rows, np.flatnonzero([x == n for x in langs]), k) for n in names]
+    return Model(names, rows.idf, np.concatenate(parts), np.repeat(np.arange(len(names)), [len(p) for p in parts]))
 
 
 def floors(texts: list[str], langs: list[str], names: list[str]) -> np.ndarray:
@@ -122,7 +159,7 @@ def floors(texts: list[str], langs: list[str], names: list[str]) -> np.ndarray:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """Fit on the rows of docs (doc_id, text, lang) that are not held out and have a language."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sample = sorted((r for r in labelled_sample(rows, "lang", per_language).collect() if has_letter(r.text)), key=lambda r: (str(r.doc_id), r.lang, r.text))
+    sample = sorted((r for r in labelled_sample(rows, "lang", per_language, "text").collect() if has_letter(r.text)), key=lambda r: (str(r.doc_id), r.lang, r.text))
     texts, langs = [r.text for r in sample], [r.lang for r in sample]
     model = fit(texts, langs)
     if model:

@@ -15,7 +15,7 @@ def rows():
         lang = rng.choice(list(SYLLABLES))
         words = ["".join(rng.choices(SYLLABLES[lang], k=3)) for _ in range(rng.randint(3, 60))]
         out.append((i, " ".join(words).upper() if i % 9 == 0 else " ".join(words) + ("!!" if i % 7 else ""), lang, 1))
-    return [*out, (900, None, "aa", 1), (901, "", "bb", 1), (902, "123 $$$ _", "cc", 1), (903, "karito", None, 1), (3, out[3][1], out[3][2], 2)]
+    return [*out, (900, None, "aa", 1), (901, "", "bb", 1), (902, "123 $$$ _ ²½Ⅷ①", "cc", 1), (903, "karito", None, 1), (3, out[3][1], out[3][2], 2)]
 
 
 def test_held_out_accuracy(spark):
