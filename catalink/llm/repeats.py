@@ -5,12 +5,12 @@ Every window of 400 bytes names one position in it, the leftmost smallest hash o
 from there on, so ranks are needed at named positions only (about one in 70 bytes). A position's first
 rank is that of its 60 bytes; positions whose rank is unique are dropped. Positions of equal windows
 throughout are one class, as in whole copies: their windows are all repeated. Spark then sorts the
-classes' pairs (rank at the position, rank at the offset) at offsets 60 and 120, ranks them anew by their
-order, and drops what is unique after each round, until no class that is alone shares its rank. What is
-left shares 240 bytes: there, classes of one rank are compared window by window, up to the threshold.
+classes' pairs (rank at the position, rank at the offset) at offset 60, then 120, ranks them anew by
+their order, and drops after each round what is unique, and what has no class left that is alone. What
+is left shares 240 bytes: there, classes of one rank are compared window by window, up to the threshold.
 
 Ranks before a sort are 64-bit fingerprints of the bytes; strings that are taken as equal agree in the
-fingerprints of all their parts (256 bits together) or, compared window by window, in their rank and one
+fingerprints of their start and of the whole (128 bits) or, compared window by window, in their rank and one
 64-bit fingerprint. Two screens are static fuse filters, sent to all executors only up to a stated
 number of keys; beyond, plain joins do the same. A rank shared by very many classes is compared through
 one row per window instead of in one task.
@@ -31,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick, small_batches, written
@@ -40,7 +40,7 @@ from .screens import held, held_udf, screen_of
 #: Keys of a filter that is sent to all executors (2.3 bytes a key).
 SENT_KEYS = 4_000_000
 #: Classes of one rank that are compared in one task.
-CLASSES = 512
+CLASSES = 4096
 #: Symbols that are hashed at a time.
 SLICE = 1 << 20
 
@@ -353,19 +353,17 @@ def _screened(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _reranked(live: DataFrame, step: int) -> DataFrame:
-    """One doubling: pairs (rank, next) that several classes share, one of them alone, ranked anew by their order; all other classes go.
+    """One doubling: pairs (rank, rank at the offset) that several classes share, one of them alone, ranked anew by their order; all other classes go.
 
     live: classes with rank, n and the ranks at further offsets. Only shared pairs are sorted, one row each.
     """
-    pair = ["rank", f"next{step}"] if step >= 0 else ["rank"]
+    pair = ["rank", f"next{step}"]
     shared = live.groupBy(*pair).agg(F.count(F.lit(1)).alias("classes"), F.min("n").alias("least")).where("classes > 1 AND least = 1")
     ordered = shared.repartitionByRange(*pair).sortWithinPartitions(*pair)
-    ranks = written(ordered.select(*(F.col(c).alias(f"p{i}") for i, c in enumerate(pair)), "classes", F.monotonically_increasing_id().alias("new")), f"ranks-{step}")
-    on: Column = F.col("rank") == F.col("p0")
-    if step >= 0:
-        on &= F.col(pair[1]) == F.col("p1")
+    ranks = written(ordered.select(F.col("rank").alias("p0"), F.col(pair[1]).alias("p1"), "classes", F.monotonically_increasing_id().alias("new")), f"ranks-{step}")
     rest = [c for c in live.columns if c not in (*pair, "classes")]
-    return written(live.drop("classes").join(ranks, on).select(F.col("new").alias("rank"), "classes", *rest), f"live-{step}")
+    paired = live.drop("classes").join(ranks, (F.col("rank") == F.col("p0")) & (F.col(pair[1]) == F.col("p1")))
+    return written(paired.select(F.col("new").alias("rank"), "classes", *rest), f"live-{step}")
 
 
 def repeated_ranges(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
@@ -384,17 +382,19 @@ def repeated_ranges(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
     names = [c.split()[0] for c in POSITIONS.split(", ")]
     positions = written(positions.select(*names), "positions")
     reach = F.col("place").bitwiseAND(F.lit(0xFFFF))
-    alike = ["rank", "next0", "next1", "whole", "reach"]
-    where, owner = F.struct("doc", "tag", "place"), F.struct("doc", "tag")
+    # The fingerprint of all bytes that the windows cover stands for the ranks at the offsets, too.
+    alike = ["rank", "whole", "reach"]
+    owner = F.struct("doc", "tag")
+    one = F.min(F.struct("doc", "tag", "place", "next0", "next1")).alias("one")
     n = F.when(F.min(owner) == F.max(owner), 1).otherwise(2) if unit.across else F.count(F.lit(1))
-    classes = written(positions.withColumn("reach", reach).groupBy(*alike).agg(n.cast("long").alias("n"), F.min(where).alias("one")), "classes")
-    several = positions.withColumn("reach", reach).join(classes.where("n > 1").select(*alike), alike, "left_semi")
+    classes = written(positions.withColumn("reach", reach).groupBy(*alike).agg(n.cast("long").alias("n"), one), "classes")
+    several = positions.select("doc", "tag", "rank", "whole", "place", reach.alias("reach")).join(classes.where("n > 1").select(*alike), alike, "left_semi")
     at = F.shiftright("place", 16)
     whole = several.select("doc", "tag", (at - F.shiftright("reach", 8)).alias("start"), (at - F.col("reach").bitwiseAND(F.lit(255)) + unit.length).alias("end"))
-    live = classes.select("rank", "next0", "next1", "n", "one")
-    for step in (-1, 0, 1):
+    live = classes.select("rank", "one.next0", "one.next1", "n", "one.doc", "one.tag", "one.place")
+    for step in (0, 1):
         live = _reranked(live, step)
-    asked = live.select("rank", "classes", (F.col("n") == 1).alias("alone"), "one.doc", "one.tag", "one.place")
+    asked = live.select("rank", "classes", (F.col("n") == 1).alias("alone"), "doc", "tag", "place")
     by_doc = asked.groupBy("doc", "tag").agg(F.collect_list(F.struct("rank", "classes", "alone", "place")).alias("asked"))
     some, _ = _screened(docs, asked)
     contexts = written(some.join(by_doc, ["doc", "tag"]).select("doc", "tag", "raw", "asked").mapInArrow(lambda b: _contexts(b, unit), CONTEXTS), "contexts")
