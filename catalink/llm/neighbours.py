@@ -2,14 +2,20 @@
 
 The two halves of a vector are quantised apart, each by its own codebook of 64 centroids; a pair of
 centroids is a cell. For a query the cells are visited by falling sum of the two inner products with a
-heap (the multi-sequence order) until they hold a stated share of all rows; the entries of these cells
-are reranked by the exact inner product in double precision.
+heap (the multi-sequence order) until they hold a share of all rows; the entries of these cells, and no
+others, are reranked by the exact inner product in double precision.
 
-The codebooks are fitted on a bounded sample; every row is indexed. Rows are dealt into shards and
-queries into blocks, both of bounded size, and each pair of a block and a shard is reranked in one task
-that returns no more than k rows a query; so a cell that holds a third of all rows is shared by all.
+The codebooks are fitted on a bounded sample, and so is the share: it is the least at which the visited
+cells hold RECALL of the exact nearest of PROBES sample rows among the sample. A larger table has nearer
+neighbours than its sample, so the share errs upwards. Every row is indexed.
 
-Measured recall at 20 against brute force with the production share: see README.
+Cells of neighbouring first centroids make up shards of about SHARD_ROWS rows; a centroid with more is
+split by a hash. Queries make up blocks in order of their first centroid. A query is sent to the shards
+that hold a cell it visits, with a bit for each of their cells; a shard's rows are sent to the blocks
+that visit it. A task multiplies, cell by cell, only the queries that visit a cell with its rows, and
+returns no more than k rows a query; so a cell that holds a third of all rows is shared by many tasks.
+
+Measured recall at 20 against brute force: see README.
 
 Cases: vectors that are null, zero, or hold null or non-finite components, or are not of the table's
 most frequent length, take no part; rows with a null id neither; of repeated rows with one id one stays,
@@ -21,6 +27,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,8 +37,11 @@ from pyspark.sql import functions as F
 
 from .common import parts_for, pick, written
 
-CENTROIDS, SHARE, SAMPLE, NEAREST = 64, 0.55, 20_000, 20
+CENTROIDS, SAMPLE, NEAREST = 64, 20_000, 20
+RECALL, PROBES = 0.95, 200
 SHARD_ROWS, BLOCK_QUERIES = 8192, 1024
+#: Queries whose cells are visited in one task.
+VISITORS = 256
 
 
 def valid(rows: DataFrame) -> DataFrame:
@@ -93,14 +103,85 @@ def _assigned(batches: Iterator[pa.RecordBatch], books) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vector"), pa.array(cells)], names=["vec_id", "vector", "cell"])
 
 
-def _visits(batches: Iterator[pa.RecordBatch], books, sizes: np.ndarray, wanted: int) -> Iterator[pa.RecordBatch]:
+@dataclass
+class Shards:
+    """Where the cells of each first centroid are: in splits shards from number base on, at bit place of these shards' masks."""
+
+    base: np.ndarray
+    splits: np.ndarray
+    place: np.ndarray
+    width: int
+
+    @staticmethod
+    def of(sizes: np.ndarray, width: int, most: int) -> Shards:
+        """sizes: rows of each cell, width cells to a first centroid."""
+        rows = sizes.reshape(-1, width).sum(axis=1)
+        base, splits, place = (np.zeros(len(rows), dtype=np.int64) for _ in range(3))
+        number, held, cells = 0, 0, 0
+        for i, n in enumerate(rows.tolist()):
+            if held and held + n > most:
+                number, held, cells = number + 1, 0, 0
+            base[i], splits[i], place[i] = number, max(1, -(-n // most)), cells
+            held, cells = held + n, cells + width
+            if splits[i] > 1:
+                number, held, cells = number + int(splits[i]), 0, 0
+        return Shards(base, splits, place, width)
+
+    def number(self, first: np.ndarray, ids: pa.Array) -> np.ndarray:
+        """The shard of rows with these first centroids: one of the centroid's, by a hash of the id."""
+        spread = (ids.to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        return self.base[first] + spread.astype(np.int64) % self.splits[first]
+
+
+def share_for(sample: np.ndarray, books: tuple[np.ndarray, np.ndarray], k: int, recall: float = RECALL, probes: int = PROBES, seed: int = 7) -> float:
+    """The least share of rows at which visited cells hold this part of the probes' exact nearest, within the sample."""
+    cells = cells_of(sample, books)
+    sizes = np.bincount(cells, minlength=len(books[0]) * len(books[1]))
+    needed = []
+    for i in np.random.default_rng(seed).permutation(len(sample))[:probes].tolist():
+        score = sample @ sample[i]
+        score[i] = -np.inf
+        order = traverse(sample[i], books, sizes, len(sample))
+        reached = np.zeros(len(sizes))
+        reached[order] = np.cumsum(sizes[order])
+        needed.append(reached[cells[np.argsort(-score)[: min(k, len(sample) - 1)]]])
+    need = np.sort(np.concatenate(needed)) if needed else np.zeros(0)
+    return float(need[min(len(need) - 1, int(np.ceil(recall * len(need))))]) / len(sample) if len(need) else 1.0
+
+
+VISITS = "block int, shard int, query_id long, query array<double>, mask binary"
+
+
+def _visits(batches: Iterator[pa.RecordBatch], books, sizes: np.ndarray, wanted: int, shards: Shards, blocks: Shards) -> Iterator[pa.RecordBatch]:
+    """Each query once for each shard that holds a cell it visits."""
+    for batch in batches:
+        rows, numbers, masks = [], [], []
+        for i, q in enumerate(_matrix(batch.column("vector"))):
+            visited = np.asarray(traverse(q, books, sizes, wanted), dtype=np.int64)
+            first = visited // shards.width
+            for number in np.unique(shards.base[first]).tolist():
+                own = shards.base[first] == number
+                bits = np.zeros(int(shards.place[shards.base == number].max()) + shards.width, dtype=bool)
+                bits[shards.place[first[own]] + visited[own] % shards.width] = True
+                packed = np.packbits(bits).tobytes()
+                for split in range(int(shards.splits[first[own][0]])):
+                    rows.append(i)
+                    numbers.append(number + split)
+                    masks.append(packed)
+        take = pa.array(np.asarray(rows, dtype=np.int64))
+        block = blocks.number(batch.column("cell").to_numpy() // shards.width, batch.column("vec_id"))[np.asarray(rows, dtype=np.int64)]
+        columns = [pa.array(block.astype(np.int32)), pa.array(np.asarray(numbers, dtype=np.int32)), batch.column("vec_id").take(take), batch.column("vector").take(take), pa.array(masks, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["block", "shard", "query_id", "query", "mask"])
+
+
+def _placed(batches: Iterator[pa.RecordBatch], shards: Shards) -> Iterator[pa.RecordBatch]:
+    """Rows of the index with their shard and their cell's bit in its masks."""
     for batch in batches:
-        marks = []
-        for q in _matrix(batch.column("vector")):
-            bits = np.zeros(len(sizes), dtype=bool)
-            bits[traverse(q, books, sizes, wanted)] = True
-            marks.append(np.packbits(bits).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vector"), pa.array(marks, pa.binary())], names=["query_id", "query", "visited"])
+        cell = batch.column("cell").to_numpy()
+        first = cell // shards.width
+        shard = shards.number(first, batch.column("vec_id"))
+        bit = shards.place[first] + cell % shards.width
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vector"), pa.array(shard.astype(np.int32)), pa.array(bit.astype(np.int32))], names=["vec_id", "vector", "s", "bit"])
 
 
 def _best(scores: np.ndarray, query: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,14 +200,20 @@ def _reranked(k: int):
         empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         if not len(queries) or not len(entries):
             return empty
+        entries = entries.sort_values(["bit", "vec_id"], ignore_index=True)
         vectors, ids = np.stack(entries["vector"].to_numpy()), entries["vec_id"].to_numpy()
-        cells, asked = entries["cell"].to_numpy(), np.stack(queries["query"].to_numpy())
+        bit, asked = entries["bit"].to_numpy(), np.stack(queries["query"].to_numpy())
+        cuts = [0, *(np.flatnonzero(np.diff(bit)) + 1).tolist(), len(bit)]
         names = queries["query_id"].to_numpy()
         out = []
         for at in range(0, len(queries), 128):
             part = slice(at, at + 128)
-            bits = np.unpackbits(np.frombuffer(b"".join(queries["visited"].iloc[part]), dtype=np.uint8).reshape(len(names[part]), -1), axis=1)
-            scores = np.where(bits[:, cells] == 1, asked[part] @ vectors.T, -np.inf)
+            masks = np.unpackbits(np.frombuffer(b"".join(queries["mask"].iloc[part]), dtype=np.uint8).reshape(len(names[part]), -1), axis=1)
+            scores = np.full((len(masks), len(ids)), -np.inf)
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                visitors = np.flatnonzero(masks[:, bit[a]])
+                if len(visitors):
+                    scores[visitors, a:b] = asked[at + visitors] @ vectors[a:b].T
             scores[names[part][:, None] == ids[None, :]] = -np.inf
             for name, query, row in zip(names[part], asked[part], scores, strict=True):
                 found, exact = _best(row, query, vectors, ids, k)
@@ -136,10 +223,10 @@ def _reranked(k: int):
     return run
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = NEAREST, share: float = SHARE, centroids: int = CENTROIDS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = NEAREST, share: float | None = None, centroids: int = CENTROIDS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest rows found, its own row left out.
 
-    queries: ids (query_id) that are looked up among the valid rows.
+    queries: ids (query_id) that are looked up among the valid rows. share: of all rows to visit; by default fitted.
     """
     spark = rows.sparkSession
     clean = written(valid(pick(rows, vec_id=id_col, vector=vector_col)), "vectors")
@@ -156,13 +243,22 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = NEAREST, share: float
     sizes = np.zeros(len(books[0]) * len(books[1]), dtype=np.int64)
     for r in index.groupBy("cell").count().collect():  # 4096 cells at most
         sizes[r.cell] = r["count"]
+    share = share if share is not None else share_for(fit, books, k)
     wanted = max(int(np.ceil(share * total)), 10 * k)
-    asked = index.join(queries.select(F.col("query_id").alias("q")).distinct(), F.col("vec_id") == F.col("q"), "left_semi").select("vec_id", "vector")
-    visits = written(asked.mapInArrow(lambda b: _visits(b, books, sizes, wanted), "query_id long, query array<double>, visited binary"), "visits")
-    shards, blocks = parts_for(total, SHARD_ROWS), parts_for(visits.count(), BLOCK_QUERIES)
-    left = visits.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    right = index.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_reranked(k), out_schema)
+    width = len(books[1])
+    shards = Shards.of(sizes, width, SHARD_ROWS)
+    asked = index.join(queries.select(F.col("query_id").alias("q")).distinct(), F.col("vec_id") == F.col("q"), "left_semi").select("vec_id", "vector", "cell")
+    asked = written(asked, "asked")
+    many = np.zeros(len(books[0]), dtype=np.int64)
+    for r in asked.groupBy(F.floor(F.col("cell") / width).cast("int").alias("first")).count().collect():  # 64 rows at most
+        many[r["first"]] = r["count"]
+    blocks = Shards.of(many, 1, BLOCK_QUERIES)
+    visiting = asked.repartition(parts_for(int(many.sum()), VISITORS)).mapInArrow(lambda b: _visits(b, books, sizes, wanted, shards, blocks), VISITS)
+    left = written(visiting, "visits")
+    rows_at = index.mapInArrow(lambda b: _placed(b, shards), "vec_id long, vector array<double>, s int, bit int")
+    met = left.select(F.col("block").alias("b"), F.col("shard").alias("h")).distinct()
+    right = rows_at.join(met, F.col("s") == F.col("h")).select("b", "s", "vec_id", "vector", "bit")
+    found = left.groupBy("block", "shard").cogroup(right.groupBy("b", "s")).applyInPandas(_reranked(k), out_schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

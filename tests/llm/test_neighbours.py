@@ -50,3 +50,24 @@ def test_few_and_no_rows(spark):
     ask = docs.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id")
     assert [tuple(r) for r in neighbours.nearest(docs, ask).collect()] == [(0, 1, 1, 4.0)]
     assert neighbours.nearest(docs.where("false"), ask).count() == 0
+
+
+def test_shards_hold_every_cell_once():
+    sizes = np.asarray([3, 0, 5, 9, 40, 1, 2, 2] + [0] * 8)
+    shards = neighbours.Shards.of(sizes, 2, 10)
+    rows = sizes.reshape(-1, 2).sum(axis=1)
+    assert shards.splits.tolist() == [1, 2, 5, 1, 1, 1, 1, 1]
+    assert shards.base.tolist() == [0, 1, 3, 8, 8, 8, 8, 8]
+    for number in set(shards.base.tolist()):
+        own = np.flatnonzero(shards.base == number)
+        assert len(set(shards.place[own].tolist())) == len(own) and rows[own].sum() / shards.splits[own].max() <= 10
+
+
+def test_fitted_share_falls_on_clustered_vectors():
+    rng = np.random.default_rng(5)
+    far, near = rng.normal(size=(1500, 16)), np.repeat(rng.normal(size=(30, 16)) * 3, 50, axis=0) + rng.normal(size=(1500, 16)) * 0.1
+    shares = []
+    for x in (far, near):
+        books = (neighbours.codebook(x[:, :8], 16), neighbours.codebook(x[:, 8:], 16))
+        shares.append(neighbours.share_for(x, books, 20))
+    assert 2 * shares[1] < shares[0] <= 1
