@@ -46,30 +46,41 @@ def difference(sizes: np.ndarray, windows: int) -> np.ndarray:
     n = len(sizes)
     if not n:
         return np.zeros(0, dtype=np.int64)
+    # Loads of a part's windows that hold something, falling; a single piece is its size alone.
     loads: dict[int, np.ndarray] = {}
-    heap: list[tuple[int, int]] = []
-    for i, size in enumerate(sizes.tolist()):
-        loads[i] = np.zeros(windows, dtype=np.int64)
-        loads[i][0] = size
-        heap.append((-size, i))
+    heap = [(-size, i) for i, size in enumerate(sizes.tolist())]
     heapq.heapify(heap)
-    merges: list[tuple[int, int, np.ndarray]] = []
+    merges: list[tuple[int, int, np.ndarray, np.ndarray]] = []
     while len(heap) > 1:
-        (_, a), (_, b) = heapq.heappop(heap), heapq.heappop(heap)
-        both = loads.pop(a) + loads.pop(b)[::-1]  # the fullest of one with the emptiest of the other
+        (x, a), (y, b) = heapq.heappop(heap), heapq.heappop(heap)
+        left = loads.pop(a) if a >= n else np.asarray([-x])
+        right = loads.pop(b) if b >= n else np.asarray([-y])
+        # The fullest window of one meets the emptiest of the other: an empty one as long as there are enough.
+        met = max(0, len(left) + len(right) - windows)
+        alone = len(right) - met
+        both = np.concatenate([left, right[:alone][::-1]])
+        if met:
+            both[len(left) - met : len(left)] += right[alone:][::-1]
         order = np.argsort(-both, kind="stable")
+        at = np.empty(len(order), dtype=np.int16 if windows < 1 << 15 else np.int64)
+        at[order] = np.arange(len(order))
         node = n + len(merges)
         loads[node] = both[order]
-        merges.append((a, b, order))
-        heapq.heappush(heap, (-int(loads[node][0] - loads[node][-1]), node))
+        # Window i of a is at[i] of the merged part; window k of b, from its fullest, lies at the end and backwards.
+        merges.append((a, b, at[: len(left)], at[::-1][: len(right)]))
+        heapq.heappush(heap, (-int(both[order[0]] - (both[order[-1]] if len(both) == windows else 0)), node))
     # From the last merge down: at which window of the final partition each window of a part ends up.
-    place = {n + len(merges) - 1 if merges else 0: np.arange(windows)}
+    out = np.zeros(n, dtype=np.int64)
+    place = {n + len(merges) - 1: np.arange(windows)} if merges else {}
     for k in range(len(merges) - 1, -1, -1):
-        a, b, order = merges[k]
-        at = np.empty(windows, dtype=np.int64)
-        at[order] = place.pop(n + k)
-        place[a], place[b] = at, at[::-1]
-    return np.fromiter((place[i][0] for i in range(n)), dtype=np.int64, count=n)
+        a, b, of_a, of_b = merges.pop()
+        at = place.pop(n + k)
+        for part, own in ((a, of_a), (b, of_b)):
+            if part < n:
+                out[part] = at[own[0]]
+            else:
+                place[part] = at[own]
+    return out
 
 
 def pack_block(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
@@ -94,8 +105,9 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
     end = np.asarray([end_id], dtype="<u4").tobytes()
     for batch in small_batches(batches, "text"):
         rows: list[tuple] = []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            ids = np.frombuffer(codec.encode(text or "") + end, dtype="<u4")
+        raw = codec.encode_all([t or "" for t in batch.column("text").to_pylist()])
+        for doc_id, own in zip(batch.column("doc_id").to_pylist(), raw, strict=True):
+            ids = np.frombuffer(own + end, dtype="<u4")
             at = cuts(len(ids))
             for a, b in zip(at, at[1:], strict=False):
                 rows.append((doc_id, a, b - a, ids_crc(ids[a:b]), len(ids), (part << 40) + count))

@@ -141,12 +141,15 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def masked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out = []
-            for text in batch.to_pylist():
-                base = base_spans(text or "")
-                every = base + added_spans(text or "", base, field.value)
-                out.append(mask(text, every) if every else text)
-            yield pa.array(out, pa.string())
+            out = [pa.array([], pa.string())]
+            for part in small_batches([pa.RecordBatch.from_arrays([batch], names=["text"])], "text"):
+                texts = part.column("text").to_pylist()
+                for i, text in enumerate(texts):
+                    base = base_spans(text or "")
+                    every = base + added_spans(text or "", base, field.value)
+                    texts[i] = mask(text, every) if every else text
+                out.append(pa.array(texts, pa.string()))
+            yield pa.concat_arrays(out)
 
     masked.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     names = docs.columns

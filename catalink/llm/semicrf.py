@@ -90,7 +90,10 @@ def features(tokens: list[str], i: int, j: int) -> list[int]:
         f"at={'@' in span},{any(t.lower() == 'at' for t in tokens[i:j])},{tokens[j - 1].isalpha()},{min(len(tokens[j - 1]), 5)}",
         f"dot={'dot' in tokens[i:j]},{'.' in span}",
     ]
-    before = next((t for t in reversed(tokens[:i]) if t.strip()), "^")
+    at = i - 1
+    while at >= 0 and not tokens[at].strip():
+        at -= 1
+    before = tokens[at] if at >= 0 else "^"
     left, right = (tokens[i - 1] if i else "^"), (tokens[j] if j < len(tokens) else "$")
     names += [f"word={before.lower() if before.isalpha() else 'num' if before.isdigit() else before}"]
     names += [f"left={'s' if left.isspace() else left if not left[0].isalnum() else 'w'}", f"right={'s' if right.isspace() else right if not right[0].isalnum() else 'w'}"]

@@ -13,6 +13,8 @@ import os
 import re
 import unicodedata
 from array import array
+from itertools import islice
+from operator import attrgetter
 
 import numpy as np
 import regex
@@ -32,6 +34,7 @@ LINE, MARK = "\n", " \x01 "
 #: Pieces a worker keeps (about 200 bytes a piece). A full table stays as it is, as common pieces come early, and begins anew after so many more new ones.
 KEPT, ANEW = 300_000, 4_000_000
 
+TOKEN_ID = attrgetter("id")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -51,8 +54,9 @@ class Encoder:
             (self.mark,) = self.tokenizer.encode(self.between, add_special_tokens=False).ids
         self.merges = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        #: ids of pieces known so far: those of texts cut at blanks, and those that the pattern cuts.
+        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.ways = (self._blank_pieces if self.blanks_count else self._plain_pieces, self._cut_words)
         self.missed = 0
 
     def direct(self, text: str) -> bytes:
@@ -70,28 +74,23 @@ class Encoder:
             out += [raw[a:b] for a, b in zip(starts, ends, strict=True)]
         return out
 
-    def _looked_up(self, keys: list[str], known: dict[str, bytes], encode) -> bytes:
-        try:
-            return b"".join(map(known.__getitem__, keys))
-        except KeyError:
-            pass
-        new = list({k for k in keys if k not in known})
-        found = dict(zip(new, encode(new), strict=True))
-        if len(known) + len(new) <= KEPT:
-            known.update(found)
-            return b"".join(map(known.__getitem__, keys))
-        out = b"".join([found[k] if k in found else known[k] for k in keys])
-        self.missed += len(new)
-        if self.missed > ANEW:
-            known.clear()
-            self.missed = 0
-        return out
+    def _learned(self, table: int, new: list[str]) -> dict[str, bytes]:
+        """ids of pieces that the table doesn't hold; they are kept while there is room."""
+        found, known = dict(zip(new, self.ways[table](new), strict=True)), self.known[table]
+        room = max(0, KEPT - len(known))
+        known.update(found if len(found) <= room else islice(found.items(), room))
+        if len(found) > room:
+            self.missed += len(found) - room
+            if self.missed > ANEW:
+                known.clear()
+                self.missed = 0
+        return found
 
     def _words(self, words: list[str]) -> list[bytes]:
         """ids of single words (after a blank or not) by the model's merges alone, each written in the bytes' letters."""
         merges, letters = self.merges, self.letters
         raw = " \n".join(words).encode().decode("latin-1").translate(letters).split(f"{letters[32]}{letters[10]}")
-        return [array("I", [t.id for t in merges(w)]).tobytes() for w in raw] if words else []
+        return [array("I", map(TOKEN_ID, merges(w))).tobytes() for w in raw] if words else []
 
     def _mixed(self, texts: list[str], plain: list[bool]) -> list[bytes]:
         """ids of each text, in order: those that are one word, and the others."""
@@ -113,23 +112,48 @@ class Encoder:
     def _cut_words(self, words: list[str]) -> list[bytes]:
         return [self.direct(w) for w in words]
 
-    def encode(self, text: str) -> bytes:
-        """ids as little-endian unsigned 32-bit integers."""
+    def _cut(self, text: str) -> tuple[int, list[str]] | None:
+        """The table of a text's pieces, and the pieces in order; None for a text that is encoded as it is."""
         if self.split is None or "<|" in text or not PLAIN.fullmatch(text) or not unicodedata.is_normalized("NFC", text):
-            return self.direct(text)
+            return None
         apart = "_" not in text and not JOINED.search(text)
         if not self.blanks_count:
-            keys = (text.replace(",", " ,").replace(".", " .") if apart else text).split()
-            return self._looked_up(keys, self.pieces, self._plain_pieces)
+            return 0, (text.replace(",", " ,").replace(".", " .") if apart else text).split()
         if RUNS.search(text) or text[-1:] in (" ", "\n"):
-            return self._looked_up(self.split(text), self.words, self._cut_words)
+            return 1, self.split(text)
         cut = text.replace("\n", " \n")
         keys = (cut.replace(",", " \x02,").replace(".", " \x02.") if apart else cut).split(" ")
         if text[:1] == "\n" or text[:1] == " ":
             del keys[0]
         else:
             keys[0] = f"\x00{keys[0]}"
-        return self._looked_up(keys, self.pieces, self._blank_pieces)
+        return 0, keys
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """ids of each text as little-endian unsigned 32-bit integers; new pieces of all texts are encoded together."""
+        out: list[bytes] = [b""] * len(texts)
+        left: list[tuple[int, int, list[str], list[bytes | None]]] = []
+        new: tuple[dict[str, None], dict[str, None]] = ({}, {})
+        for i, text in enumerate(texts):
+            cut = self._cut(text)
+            if cut is None:
+                out[i] = self.direct(text)
+                continue
+            table, keys = cut
+            values = list(map(self.known[table].get, keys))
+            try:
+                out[i] = b"".join(values)
+            except TypeError:  # some are not known yet
+                new[table].update(dict.fromkeys([k for k, v in zip(keys, values, strict=True) if v is None]))
+                left.append((i, table, keys, values))
+        found = [self._learned(table, list(x)) if x else {} for table, x in enumerate(new)]
+        for i, table, keys, values in left:
+            own = found[table]
+            out[i] = b"".join([own[k] if v is None else v for k, v in zip(keys, values, strict=True)])
+        return out
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
 
 def _byte_letters() -> dict[int, str]:
