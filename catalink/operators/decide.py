@@ -19,10 +19,11 @@ def ranked(candidates: DataFrame) -> DataFrame:
 
 def gaps(candidates: DataFrame) -> DataFrame:
     """Per line the best and second-best score over all candidates, and their gap."""
-    two = F.slice(F.sort_array(F.collect_list("score"), False), 1, 2)
-    rows = candidates.groupBy("line_id").agg(two.alias("s"), F.count(F.lit(1)).alias("scored"))
-    second = F.get("s", F.lit(1))
-    return rows.select("line_id", "scored", F.get("s", F.lit(0)).alias("top_score"), second.alias("second_score"), F.round(F.get("s", F.lit(0)) - second, 4).alias("score_gap"))
+    order = Window.partitionBy("line_id").orderBy(F.desc("score"))
+    place = candidates.withColumn("place", F.row_number().over(order)).groupBy("line_id")
+    at = lambda i: F.max(F.when(F.col("place") == i, F.col("score")))
+    rows = place.agg(F.count(F.lit(1)).alias("scored"), at(1).alias("top_score"), at(2).alias("second_score"))
+    return rows.withColumn("score_gap", F.round(F.col("top_score") - F.col("second_score"), 4))
 
 
 def status(top: Column, second: Column, gap: Column, exact_unique: Column, duplicate: Column, candidates: Column, ident: Column, competing: Column, conflict: Column, c: MatchingConfig = MatchingConfig()) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,18 +35,35 @@ def purchases(pool: DataFrame, sales: DataFrame) -> DataFrame:
     bill = by_billto(sales).select(F.col("billto").alias("key"), F.col("item_number").alias("code"), "total_quantity")
     tiers = number.join(ship, ["key", "code"]).withColumn("tier", F.lit(1)).unionByName(number.join(bill, ["key", "code"]).withColumn("tier", F.lit(2)))
     tiers = tiers.select("line_id", "code", "tier", "total_quantity")
-    # Names are few; each distinct one is found in the distinct bill-to names, then joined by equality.
+    # Each distinct name is looked up by its rarest trigram in those of the distinct bill-to names, then joined by equality.
     names = by_name(sales)
     asked_names = asked.where(~F.col("who").rlike("^[0-9]+$"))
     who, known = asked_names.select("who").distinct(), names.select("billtoname").distinct()
-    pairs = who.join(known, F.contains(F.lower("billtoname"), F.lower("who")))
-    named = asked_names.join(pairs, "who").join(names, [names["billtoname"] == pairs["billtoname"], names["item_number"] == asked_names["code"]])
+    pairs = contained(who, known).withColumnRenamed("billtoname", "held")
+    named = asked_names.join(pairs, "who").join(names, (F.col("billtoname") == F.col("held")) & (F.col("item_number") == F.col("code")))
     named = named.groupBy("line_id", "code").agg(F.sum("total_quantity").alias("total_quantity")).select("line_id", "code", F.lit(3).alias("tier"), "total_quantity")
     every = tiers.unionByName(named)
     first = every.groupBy("line_id").agg(F.min("tier").alias("won"))
     return every.join(first, "line_id").where("tier = won AND total_quantity > 0").select("line_id", "code", F.col("total_quantity").alias("quantity"))
 
 
+def _grams(text: Column, n: int) -> Column:
+    """Distinct substrings of n characters; none of a shorter text."""
+    last = F.length(text) - n + 1
+    every = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+    return F.when(last >= 1, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+
+def contained(who: DataFrame, known: DataFrame) -> DataFrame:
+    """(who, billtoname) wherever a name of known holds who, in any case: an equi-join by who's rarest trigram (or who itself, if shorter), then the test; a blank who is in none."""
+    name, part = F.lower("billtoname"), F.lower("who")
+    postings = known.select("billtoname", F.explode(F.concat(*(_grams(name, n) for n in (1, 2, 3)))).alias("gram"))
+    counts = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    asked = who.where(F.length("who") > 0).select("who", F.explode(F.when(F.length(part) < 3, F.array(part)).otherwise(_grams(part, 3))).alias("gram"))
+    rarest = asked.join(counts, "gram").groupBy("who").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return rarest.join(postings, "gram").where(F.contains(name, part)).select("who", "billtoname")
+
+
 def shares(bought: DataFrame) -> DataFrame:
     """Each code's share of its line's purchases: summed per line and joined, as a line's codes are distinct."""
     total = bought.groupBy("line_id").agg(F.sum("quantity").alias("total"))

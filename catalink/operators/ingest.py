@@ -10,10 +10,16 @@ from ..functions.text import fold
 
 #: Header names of each field, best first.
 ALIASES = {
-    "description": ["description", "item description", "product description", "name", "item", "material"],
-    "quantity": ["qty", "quantity", "order qty", "order quantity"],
-    "part_number": ["part number", "catalog number", "part no", "item number"],
-}
+    "description": ["name", "description", "product", "item", "material", "requested description", "product description", "desc", "line description"],
+    "quantity": ["qty", "quantity", "qty.", "qty ordered", "order qty", "units", "qty units"],
+    "part_number": [
+        "part number", "part #", "part#", "part no", "part no.", "partnumber",
+        "customer part number", "customer part#", "customer pn", "customer part",
+        "vendor part number", "vendor part#", "vendor pn",
+        "manufacturer part number", "manufacturer part#", "mpn",
+        "item number", "item #", "item no", "catalog number", "catalog #", "sku",
+    ],
+}
 
 
 def is_preferred(flag: Column) -> Column:

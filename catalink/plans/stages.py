@@ -8,5 +8,7 @@ from pyspark.sql import DataFrame
 def staged(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
-        context.setCheckpointDir("/tmp/checkpoints")  # only where none is named, as in tests
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        context.setCheckpointDir("/tmp/checkpoints")  # only where none is named and all tasks run in one process, as in tests
     return df.checkpoint()

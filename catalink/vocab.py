@@ -84,7 +84,7 @@ QUANTITIES = [
     r"\bprovide\s+(\d+)\b",
     r"\bquote\s+(\d+)\b",
     r"\b(?:qty|quantity)\s*[:=]?\s*(\d+)\b",
-    r"\b(\d+)\s*(?:pcs|pieces|ea|each|units|unit)\b",
+    r"\b(\d+)\s+(?:pcs|pieces|ea|each|units|unit)\b",
     r"\b(\d+)\s+of\b",
 ]
 TOTAL_ROW = r"(?i)\b(sub[- ]?total|grand\s+total|totals?)\b"

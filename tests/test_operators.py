@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from catalink.operators import adjudicate, decide, export
+from catalink.functions import text as T
+from catalink.operators import adjudicate, decide, export, history
 
 RESULT = "line_id long, requested_description string, quantity double, status string, matched_part string, matched_orderable string, percentage double, candidates array<struct<rank:int,product_code:string,score:double,orderable:string,description:string>>"
 ROWS = [
@@ -17,6 +18,11 @@ ROWS = [
 ]
 
 
+@pytest.fixture(scope="module")
+def spark():
+    return SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").getOrCreate()
+
+
 @pytest.fixture(scope="module")
 def results():
     spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").getOrCreate()
@@ -88,3 +94,22 @@ def test_opinions_from_text(results):
     rows = {r.line_id: (r.decision, r.part, r.confidence) for r in adjudicate.parsed_opinions(results.sparkSession.createDataFrame(bodies, "line_id long, body string")).collect()}
     review = ("REVIEW_REQUIRED", None, 0.0)
     assert rows == {1: ("CONFIDENT_MATCH", "A", 95.0), 2: review, 3: review, 4: review}
+
+
+def test_quantity_needs_a_blank_before_its_unit(spark):
+    rows = [("EMT 10EA",), ("EMT 10 EA",), ("12 units of pipe",)]
+    got = [r.q for r in spark.createDataFrame(rows, "t string").select(T.quantity(T.fold(F.col("t"))).alias("q")).collect()]
+    assert got == [None, 10, 12]
+
+
+def test_gaps_over_all_candidates(spark):
+    rows = [(1, 70.0), (1, 72.0), (1, None), (1, 50.5), (2, 9.0), (3, 5.0), (3, 5.0)]
+    got = {r.line_id: tuple(r)[1:] for r in decide.gaps(spark.createDataFrame(rows, "line_id int, score double")).collect()}
+    assert got == {1: (4, 72.0, 70.0, 2.0), 2: (1, 9.0, None, None), 3: (2, 5.0, 5.0, 0.0)}
+
+
+def test_names_held_by_names(spark):
+    names = ["ACME Corp", "acme", "Big Acme Ltd", "ab", "É-x", "xyz"]
+    parts = ["acme", "AC", "b", "corp", "é-", "nothing", "zz", "Big Acme Ltd and more"]
+    got = {tuple(r) for r in history.contained(spark.createDataFrame([(p,) for p in parts], "who string"), spark.createDataFrame([(n,) for n in names], "billtoname string")).collect()}
+    assert got == {(p, n) for p in parts for n in names if p.lower() in n.lower()}
