@@ -104,6 +104,22 @@ def lookup_keys(value: Column) -> Column:
     return F.when(key == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.array(key, other)))
 
 
+def same_part(left: Column, right: Column) -> Column:
+    """Whether two part numbers have one, not empty, key."""
+    return (part_number(left) != "") & (part_number(left) == part_number(right))
+
+
+def looks_like_part(value: Column) -> Column:
+    """One word with a key."""
+    return (fold(value) != "") & ~F.contains(fold(value), F.lit(" ")) & (part_number(value) != "")
+
+
+def without_prefix(value: Column) -> Column:
+    """What follows NA1- in a part number's key; empty without that prefix."""
+    key = part_number(value)
+    return F.when(key.startswith("NA1-"), F.substring(key, 5, 1 << 20)).otherwise("")
+
+
 def label_words(text: Column) -> Column:
     """Words of a leading label such as `Cable Tray:`; empty if there is none."""
     label = F.regexp_extract(text, r"^\s*([A-Za-z]+(?:\s+[A-Za-z]+){0,2})\s*:\s*", 1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import percent_text
 from ..vocab import MatchingConfig
+from . import explain
 
 KNOWN = ("exact", "normalized_exact", "partial")
 
@@ -89,7 +90,9 @@ def decided(candidates: DataFrame, lines: DataFrame, c: MatchingConfig = Matchin
     state = status(F.col("top_score"), F.col("second_score"), F.col("score_gap"), unique, duplicate, F.col("candidate_count"), F.col("first_ident_type"), F.col("competing"), F.coalesce("first_numeric_conflict", F.lit(False)), c)
     state = F.when((state == "NO_MATCH") & led, "REVIEW_REQUIRED").otherwise(state)
     per_line = per_line.withColumn("status", state)
+    per_line = per_line.withColumns({"unique": F.coalesce(unique, F.lit(False)), "duplicate": F.coalesce(duplicate, F.lit(False))})
     found = lines.join(per_line, "line_id", "left").withColumn("status", F.coalesce("status", F.lit("NO_MATCH")))
+    reasons = explain.result_reasons(F.col("status"), F.coalesce("unique", F.lit(False)), F.coalesce("duplicate", F.lit(False)), F.coalesce("top_score", F.lit(0.0)), F.col("score_gap"), F.coalesce("candidate_count", F.lit(0)), c)
     won = F.col("status").isin("EXACT_MATCH", "HIGH_CONFIDENCE")
     nothing = F.expr("CAST(array() AS array<struct<rank:int,product_code:string,score:double,orderable:string,description:string>>)")
     return found.select(
@@ -99,6 +102,7 @@ def decided(candidates: DataFrame, lines: DataFrame, c: MatchingConfig = Matchin
         F.when(won, F.col("first_orderable")).alias("matched_orderable"),
         capped(F.coalesce("top_score", F.lit(0.0)), F.col("status"), F.coalesce("competing", F.lit(False)), c).alias("percentage"),
         F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"),
+        reasons.alias("reasons"),
         "top_score",
         "second_score",
         "score_gap",
@@ -112,11 +116,11 @@ def line_key(file: Column, sheet: Column, row: Column, text: Column) -> Column:
 
 def level(score: Column) -> Column:
     """How much a field contributes, in words."""
-    return F.when(score >= 99.5, "exact").when(score >= 70, "strong").when(score >= 40, "partial").otherwise("weak")
+    return F.when(score >= 99.5, "exact").when(score >= 70, "strong").when(score >= 40, "partial").otherwise("none")
 
 
-def confidence_word(state: Column, percentage: Column) -> Column:
-    return F.when(state.isin("EXACT_MATCH", "HIGH_CONFIDENCE"), "HIGH").when(state == "REVIEW_REQUIRED", "REVIEW").when(percentage >= 50, "MEDIUM").otherwise("LOW")
+def confidence_word(state: Column) -> Column:
+    return F.when(state.isin("EXACT_MATCH", "HIGH_CONFIDENCE", "CONFIDENT_MATCH"), "HIGH").when(state == "REVIEW_REQUIRED", "REVIEW").when(state == "NO_MATCH", "LOW").otherwise("MEDIUM")
 
 
 def top_string(candidates: Column, n: int = 5) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,13 +19,38 @@ def order_rows(results: DataFrame) -> DataFrame:
     return results.where(F.col("status").isin(*MATCHED)).select("line_id", F.coalesce("matched_orderable", "matched_part").alias("item"), F.coalesce("quantity", F.lit(1.0)).alias("quantity"))
 
 
-def csv_rows(results: DataFrame) -> DataFrame:
-    return results.select(
-        "line_id", "requested_description", "quantity", "matched_part", "status",
-        percent_text(F.col("percentage")).alias("matching_percentage"),
-        confidence_word(F.col("status"), F.col("percentage")).alias("confidence"),
-        top_string(F.col("candidates")).alias("top_candidates"),
-    )
+def csv_rows(results: DataFrame, maker: str = "") -> DataFrame:
+    """The 18 text columns of the summary file; maker stands in the names of three of them. Missing input columns are empty, missing scores N/A."""
+
+    def given(name: str) -> Column:
+        return F.col(name).cast("string") if name in results.columns else F.lit(None).cast("string")
+
+    shown = lambda name: percent_text(F.col(name)) if name in results.columns else F.lit("N/A")
+    plain = lambda name: F.when(F.col(name).isNotNull(), percent_text(F.col(name)))
+    reason = F.array_join("reasons", "; ") if "reasons" in results.columns else F.lit("")
+    text = F.get("candidates", F.lit(0))["description"]
+    whose = f"Matched {maker} " if maker else "Matched "
+    columns = {
+        "Source File": given("source_file"),
+        "Source Sheet": given("source_sheet"),
+        "Source Row": given("source_row"),
+        "Requested Description": given("requested_description"),
+        "Quantity": given("quantity"),
+        f"{whose}Part Number": given("matched_part"),
+        "Matched Identifier": given("matched_orderable"),
+        f"{whose}Description": F.when(F.col("matched_part").isNotNull(), text),
+        "Matching Percentage": plain("percentage"),
+        "Confidence": confidence_word(F.col("status")),
+        "Match Status": given("status"),
+        "Match Reason": reason,
+        "Candidate Count": given("candidate_count"),
+        "Top Candidates": top_string(F.col("candidates")),
+        "Requested Part Number": given("requested_part_number"),
+        "Part Number Match %": shown("part_number_score"),
+        "Description Match %": shown("description_score"),
+        "Overall Match %": plain("percentage"),
+    }
+    return results.select(*(F.coalesce(c, F.lit("")).alias(n) for n, c in columns.items()))
 
 
 def full_rows(results: DataFrame) -> DataFrame:
@@ -53,10 +78,13 @@ def with_input_columns(results: DataFrame, raw: DataFrame) -> DataFrame:
     return results.join(cells, "line_id", "left").select(*kept, *rest, *(F.col(f"`{c}`") for c in results.columns))
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    """Quoted as needed, with a header and CRLF line ends; maps as JSON."""
+def write_csv(rows: DataFrame, path: str, mark: bool = True) -> None:
+    """Quoted only as needed, quotes doubled, blanks kept, CRLF line ends, a header in each file, by default after a byte order mark; maps as JSON."""
     rows = rows.select(*(F.to_json(f"`{f.name}`").alias(f.name) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`") for f in rows.schema))
-    rows.write.option("header", True).option("lineSep", "\r\n").csv(path)
+    if mark:
+        rows = rows.withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0])
+    options = {"header": True, "lineSep": "\r\n", "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.options(**options).csv(path)
 
 
 def json_rows(results: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,10 @@ ALIASES = {
 }
 
 
+def _compact(alias: str) -> str:
+    return re.sub("[^a-z0-9]", "", alias)
+
+
 def is_preferred(flag: Column) -> Column:
     return F.coalesce(F.lower(F.trim(flag)) == "preferred", F.lit(False))
 
@@ -111,10 +117,14 @@ def numbered_headers(headers: DataFrame) -> DataFrame:
 
 def header_fields(cells: DataFrame) -> DataFrame:
     """For each file the header row within the first 20 rows and the column of each field: the first row that names a description."""
-    known = cells.sparkSession.createDataFrame([(f, i, a, a.replace(" ", "")) for f, names in ALIASES.items() for i, a in enumerate(names)], "field string, rank int, alias string, key string")
-    hits = cells.where("row <= 20").join(F.broadcast(known), header_key(F.col("value")) == F.col("key"))
+    known = [(f, i, form, key) for f, names in ALIASES.items() for i, a in enumerate(names) for form, key in enumerate((a, _compact(a)))]
+    known = cells.sparkSession.createDataFrame(known, "field string, rank int, form int, key string")
+    # A header meets an alias as it is or, second, by its letters and digits.
+    forms = F.posexplode(F.array(header_text(F.col("value")), header_key(F.col("value"))))
+    heads = cells.where("row <= 20").select("file", "row", "col", forms.alias("form", "key")).where("key <> ''")
+    hits = heads.join(F.broadcast(known), ["form", "key"])
     first = hits.where("field = 'description'").groupBy("file").agg(F.min("row").alias("header_row"))
-    return hits.join(first, "file").where("row = header_row").groupBy("file", "header_row", "field").agg(F.min_by("col", F.struct("rank", "col")).alias("col"))
+    return hits.join(first, "file").where("row = header_row").groupBy("file", "header_row", "field").agg(F.min_by("col", F.struct("rank", "form", "col")).alias("col"))
 
 
 def quote_lines(cells: DataFrame) -> DataFrame:
@@ -123,7 +133,7 @@ def quote_lines(cells: DataFrame) -> DataFrame:
     body = cells.join(fields, "file").where("row > header_row").withColumn("text", cell_text(F.col("value"), F.col("kind")))
     at = lambda field: F.max(F.when(F.col("col") == F.col(field), F.col("text")))
     rows = body.groupBy("file", "row").agg(at("description").alias("description"), at("quantity").alias("qty"), at("part_number").alias("part_number"), F.max(is_total_row(F.col("text"))).alias("total"), F.sort_array(F.collect_list(F.struct("col", "text"))).alias("raw"))
-    repeated = header_key(F.col("qty")).isin([a.replace(" ", "") for a in ALIASES["quantity"]])
+    repeated = header_key(F.col("qty")).isin([_compact(a) for a in ALIASES["quantity"]])
     kept = rows.where((F.trim(F.coalesce("description", F.lit(""))) != "") & ~F.col("total") & ~F.coalesce(repeated, F.lit(False)))
     return kept.select(F.col("file").alias("source_file"), F.col("row").alias("source_row"), F.col("description").alias("requested_description"), quantity_value(F.col("qty")).alias("quantity"), F.when(bad_quantity(F.col("qty")), F.concat(F.lit("Invalid quantity in row "), F.col("row").cast("string"))).alias("error"), "part_number", "raw")
 

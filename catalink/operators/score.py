@@ -17,8 +17,29 @@ from ..plans.stages import staged
 from ..vocab import MatchingConfig
 
 
+def round_even(x: Column, places: int = 4) -> Column:
+    """A double of 0 or more rounded by its exact binary value, ties to even; `round` takes its shortest decimal form, ties up.
+
+    The product with the power of ten is split into its rounded value and the exact rest (two halves of the
+    mantissa), so that a tie of the rounded value is decided by the rest.
+    """
+    scale = float(10**places)
+
+    def one(v: Column) -> Column:
+        product = v * scale
+        high = v * 134217729.0 - (v * 134217729.0 - v)
+        rest = (high * scale - product) + (v - high) * scale
+        below = F.floor(product)
+        over = product - below - 0.5
+        up = (over > 0) | ((over == 0) & ((rest > 0) | ((rest == 0) & (below % 2 == 1))))
+        return (below + F.when(up, 1).otherwise(0)) / scale
+
+    # The lambda binds the value once; x may be a large expression.
+    return F.get(F.transform(F.array(x.cast("double")), one), F.lit(0))
+
+
 def clamp(x: Column) -> Column:
-    return F.round(F.least(F.greatest(x, F.lit(0.0)), F.lit(100.0)), 4)
+    return round_even(F.least(F.greatest(x, F.lit(0.0)), F.lit(100.0)))
 
 
 def token_score(query: Column, candidate: Column) -> Column:
@@ -132,3 +153,12 @@ def confidence(ident: Column, code: Column, name: Column, description: Column, d
 def overall(part: Column, description: Column) -> Column:
     """0.7 of the part number's score and 0.3 of the description's; one alone where the other is missing."""
     return clamp(F.when(part.isNotNull() & description.isNotNull(), 0.70 * part + 0.30 * description).otherwise(F.coalesce(part, description, F.lit(0.0))))
+
+
+def with_preference(value: Column, preferred: Column, config: MatchingConfig = MatchingConfig()) -> Column:
+    return F.when(preferred, clamp(value + config.preferred_bonus)).otherwise(value)
+
+
+def with_purchases(value: Column, share: Column, config: MatchingConfig = MatchingConfig()) -> Column:
+    """The bonus grows with the share of the customer's purchases among the candidates."""
+    return F.when(share > 0, clamp(value + config.purchase_bonus * share)).otherwise(value)

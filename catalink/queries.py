@@ -340,7 +340,7 @@ def d3(spark, d):
     return _cases(spark, d).select("id", F.round(decide.capped(F.col("t"), F.when(F.col("i") == "partial", "REVIEW_REQUIRED").otherwise("EXACT_MATCH"), F.col("d")), 2).alias("value"))
 
 
-@_query("d15_levels", f"SELECT id, CASE WHEN t >= 99.5 THEN 'exact' WHEN t >= 70 THEN 'strong' WHEN t >= 40 THEN 'partial' ELSE 'weak' END AS level FROM ({_CASES})")
+@_query("d15_levels", f"SELECT id, CASE WHEN t >= 99.5 THEN 'exact' WHEN t >= 70 THEN 'strong' WHEN t >= 40 THEN 'partial' ELSE 'none' END AS level FROM ({_CASES})")
 def d15(spark, d):
     return _cases(spark, d).select("id", decide.level(F.col("t")).alias("level"))
 
@@ -363,3 +363,6 @@ def k3(spark, d):
 @_query("m1_match_lines")
 def m1(spark, d):
     return match_lines(A.lines(spark, d), A.catalog(spark, d), A.sales(spark, d)).select("line_id", "status", "matched_part", "percentage", "candidate_count")
+
+
+from . import queries_results  # noqa: E402, F401  (registers further queries)

@@ -34,10 +34,35 @@ def test_order_rows_are_the_matched_lines(results):
 
 
 def test_csv_rows(results):
-    rows = {r.line_id: r for r in export.csv_rows(results).collect()}
-    assert [rows[i].confidence for i in (1, 2, 3, 4)] == ["HIGH", "REVIEW", "LOW", "HIGH"]
-    assert rows[2].top_candidates == "B (91); C (90.75)" and rows[3].top_candidates == ""
-    assert rows[4].matching_percentage == "92.5"
+    out = export.csv_rows(results.withColumn("candidate_count", F.size("candidates")), "Maker")
+    rows = {r["Requested Description"]: r for r in out.collect()}
+    assert [rows[t]["Confidence"] for t in ("bolt", "rod", "", "nut")] == ["HIGH", "REVIEW", "LOW", "HIGH"]
+    assert rows["rod"]["Top Candidates"] == "B (91); C (90.75)" and rows[""]["Top Candidates"] == ""
+    assert rows["nut"]["Matching Percentage"] == "92.5" and rows["nut"]["Source File"] == "" and rows["nut"]["Part Number Match %"] == "N/A"
+    assert len(out.columns) == 18 and rows["bolt"]["Matched Maker Description"] == "x" and rows["rod"]["Matched Maker Part Number"] == ""
+
+
+def test_csv_files_are_quoted_as_needed_after_a_mark(results, tmp_path):
+    import csv
+    import io
+
+    rows = results.sparkSession.createDataFrame([(' 3/4" rod, long ', ""), ("plain", "x")], "text string, other string").coalesce(1)
+    export.write_csv(rows, str(tmp_path / "out"))
+    (file,) = (tmp_path / "out").glob("part-*.csv")
+    raw = file.read_bytes()
+    assert raw.startswith(b"\xef\xbb\xbftext,other\r\n") and b"plain,x\r\n" in raw
+    assert list(csv.reader(io.StringIO(raw.decode("utf-8-sig"), newline=""))) == [["text", "other"], [' 3/4" rod, long ', ""], ["plain", "x"]]
+
+
+def test_rounding_is_that_of_the_binary_value(results):
+    import random
+
+    from catalink.operators.score import round_even
+
+    rng = random.Random(1)
+    values = [rng.randrange(10**7) / 10**5 for _ in range(3000)] + [(2 * k + 1) * 5 / 10**5 for k in range(3000)] + [k / 32 for k in range(2000)] + [rng.random() * 100 for _ in range(2000)]
+    found = results.sparkSession.createDataFrame([(v,) for v in values] + [(None,)], "v double").select("v", round_even(F.col("v")).alias("r"), round_even(F.col("v"), 2).alias("t")).collect()
+    assert all((x.r, x.t) == ((round(x.v, 4), round(x.v, 2)) if x.v is not None else (None, None)) for x in found)
 
 
 def test_full_rows(results):
@@ -65,7 +90,7 @@ def test_input_columns_lose_no_cell(results, tmp_path):
     assert (rows[2].h001, rows[2].h000, rows[2].other_cells) == ("b1", None, {"z": "b2", "h505": None}) and rows[3].h000 is None
     assert export.with_input_columns(ids, raw.where("col < 2")).columns == ["h000", "h001", "z", "line_id", "status"]
     export.write_csv(out.select("line_id", "other_cells"), str(tmp_path / "csv"))
-    assert "h505" in spark.read.option("header", True).csv(str(tmp_path / "csv")).where("line_id = 1").first().other_cells
+    assert "h505" in spark.read.option("header", True).option("escape", "\"").csv(str(tmp_path / "csv")).where("line_id = 1").first().other_cells
 
 
 def test_picks_need_a_listed_candidate_of_a_line_under_review(results):
