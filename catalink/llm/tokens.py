@@ -35,17 +35,19 @@ LINE, MARK = "\n", " \x01 "
 KEPT, ANEW = 300_000, 4_000_000
 
 TOKEN_ID = attrgetter("id")
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 class Encoder:
     """ids of whole texts by one tokenizer file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
+        """With plain, the names of special tokens are text like any other."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         name = os.path.basename(path)
         self.split = regex.compile(PATTERNS[name]).findall if name in PATTERNS else None
         self.blanks_count = name == "byte_bpe_50k.json"
@@ -163,8 +165,8 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, plain: bool = False) -> Encoder:
     """One encoder for each file and worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, plain) not in _encoders:
+        _encoders[path, plain] = Encoder(path, plain)
+    return _encoders[path, plain]
