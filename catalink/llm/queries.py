@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, neighbours, packing, pieces, pii, repeats, simhash, token_files, toxicity
+from . import align, exact_dedup, language, neighbours, packing, pieces, pii, prefix_bpe, repeats, simhash, token_files, toxicity
 from .common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,7 +53,17 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {"op4_pieces": op4_pieces, "op5_repeats": op5_repeats, "op10_neighbours": op10_neighbours, "op1_toxicity": op1_toxicity, "op3_pii": op3_pii, "op9_language": op9_language, "op2_token_files": op2_token_files, "op6_simhash": op6_simhash, "op8_packing": op8_packing, "op7_exact_dedup": op7_exact_dedup}
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ids and decoded text of every document, as digests."""
+    return prefix_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token groups and links of every document by two tokenizers, as counts and digests."""
+    return align.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {"op11_bpe": op11_bpe, "op13_alignment": op13_alignment, "op4_pieces": op4_pieces, "op5_repeats": op5_repeats, "op10_neighbours": op10_neighbours, "op1_toxicity": op1_toxicity, "op3_pii": op3_pii, "op9_language": op9_language, "op2_token_files": op2_token_files, "op6_simhash": op6_simhash, "op8_packing": op8_packing, "op7_exact_dedup": op7_exact_dedup}
 
 ORACLE_SQL = {
     "op7_exact_dedup": f"""
