@@ -7,11 +7,11 @@ largest of its windows, one of which starts at every word (the last ones end at
 
 from __future__ import annotations
 
-import re
 import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
+import regex
 
 WORDS, GRAMS, WIDTH, HIDDEN = 1 << 15, 1 << 14, 8, 8
 WINDOW = 24
@@ -22,7 +22,8 @@ STRIPPED = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«
 
 #: Longest word taken as one; size and step of the pieces of a longer run, so that any PIECE - PIECE_STEP + 1 characters are in one piece.
 LONGEST, PIECE, PIECE_STEP = 64, 32, 16
-_JOINTS = re.compile(r"[\W_]+")
+#: Punctuation and symbols; marks belong to the letters before them.
+_JOINTS = regex.compile(r"(?:[^\w\p{M}]|_)+")
 
 
 def words_of(text: str) -> list[str]:

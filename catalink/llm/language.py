@@ -174,7 +174,8 @@ def _labels(batches: Iterator[pa.RecordBatch], model: Model | None, floor: float
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             texts = part.column("text").to_pylist()
-            known = [i for i, t in enumerate(texts) if model and has_letter(t)]
+            lettered = [has_letter(t) for t in texts]
+            known = [i for i, x in enumerate(lettered) if model and x]
             names, scores, least = ["und"] * len(texts), np.zeros(len(texts)), np.full(len(texts), floor)
             if known:
                 best, cosines, classes = model.predict([texts[i] for i in known])
@@ -182,7 +183,8 @@ def _labels(batches: Iterator[pa.RecordBatch], model: Model | None, floor: float
                 least[known] = np.maximum(floor, model.floors[best, classes])
                 for i, b in zip(known, best.tolist(), strict=True):
                     names[i] = model.languages[b]
-            rejected = [n == "und" or s < x for n, s, x in zip(names, scores.tolist(), least.tolist(), strict=True)]
+            # Without any labelled language nothing speaks against a text with a letter.
+            rejected = [not x or model is not None and s < y for x, s, y in zip(lettered, scores.tolist(), least.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(scores), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
 
 

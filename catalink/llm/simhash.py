@@ -4,9 +4,7 @@ A fingerprint is cut into segments of 32 bits. Bit b of its first 64 is 1 if it
 the XXH64 values (seed 42) of the text's shingles; further bits come from values mixed from these. Each
 fingerprint enters the Hamming ball of radius 1 around each of its segments into that segment's table, so
 fingerprints meet that differ in at most 2 bits of some segment; those that meet are verified over all
-bits. With two segments that finds every pair at 4 or fewer bits (op6). With eight, of 256 bits, pairs at
-similarity 0.8 of 5-word shingles are found with a stated probability (see README), and each link
-is verified by the exact share of common shingles before a document goes.
+bits. With two segments that finds every pair at 4 or fewer bits (op6).
 
 A table is dealt into blocks by the low bits of a segment's value (few at first, more for more
 fingerprints), so that only flips of these bits are sent elsewhere; all other entries are made, sorted
@@ -27,13 +25,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import pick, small_batches, written
 from .components import components
-from .screens import held_udf, screen_of
 
 SEED = 42
 #: Fingerprints to a block, as far as they are spread evenly; to a part of a block whose entries are made at a time.
@@ -53,10 +49,6 @@ class Rule:
     most: int = 4
 
 
-#: 52 of 256 bits: the mean distance at similarity 0.8 is 39, its deviation 6.
-NEAR, SIMILARITY = Rule(5, 8, 52), 0.8
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -336,56 +328,3 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     out = marks.join(named, F.col("fp") == F.col("f"))
     lanes = ["fp"] if rule.segments == 2 else _lanes(rule)
     return out.select("doc_id", F.concat(*(F.lower(F.lpad(F.hex(x), 16, "0")) for x in lanes)).alias("fingerprint"), "component_id")
-
-
-def _shingle_sets(batches: Iterator[pa.Array], words: int) -> Iterator[pa.Array]:
-    for batch in batches:
-        sets = [np.unique(np.concatenate([*shingles(t, words), np.zeros(0, "<u8")])).view(np.int64) for t in batch.to_pylist()]
-        edges = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-        yield pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
-
-
-def _place(doc_id: str | Column, tag: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), tag)
-
-
-def verified(edges: DataFrame, marks: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The links (u, v) whose texts share at least this part of their distinct shingles (Jaccard); docs has doc_id, text."""
-    nodes = edges.select(F.explode(F.array("u", "v")).alias("n")).distinct()
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
-    told = marks.join(nodes, F.col("fp") == F.col("n"), "left_semi").groupBy("fp").agg(F.min(order).alias("x"))
-    told = written(told.select(F.col("fp").alias("node"), F.col("x.doc_id").alias("k_id"), F.col("x.tag").alias("k_tag")), "told")
-    rows = docs.withColumn("tag", F.xxhash64("text"))
-    screen = screen_of(told.select(_place("k_id", "k_tag")).distinct(), SENT_KEYS)
-    if screen is not None:
-        rows = rows.where(held_udf(rows, screen)(_place("doc_id", "tag")))
-
-    def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        yield from _shingle_sets(batches, words)
-
-    sets.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    rows = rows.join(told, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("tag") == F.col("k_tag"))).dropDuplicates(["node"])
-    held = written(rows.select("node", F.arrow_udf(sets, T.ArrayType(T.LongType()))("text").alias("held")), "shingles")
-    left, right = (held.select(F.col("node").alias(f"{x}n"), F.col("held").alias(x)) for x in ("a", "b"))
-    both = edges.join(left, F.col("u") == F.col("an")).join(right, F.col("v") == F.col("bn"))
-    common = F.size(F.array_intersect("a", "b"))
-    return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
-
-
-def representatives(docs: DataFrame, rule: Rule = NEAR, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs (with doc_id, text and others) that stay: one of each group of texts joined by verified links, that of the smallest doc_id."""
-    marks = _marks(docs, rule, "doc_id", "text")
-    fps = _distinct(marks, rule)
-    edges = written(links(fps, rule), "candidate-links")
-    edges = written(verified(edges.groupBy("u", "v").agg(F.min("d").alias("d")), marks, pick(docs, doc_id="doc_id", text="text"), rule.words, similarity), "verified-links")
-    roots = _roots(fps, edges)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
-    firsts = marks.groupBy("fp").agg(F.min(order).alias("x")).join(roots, F.col("fp") == F.col("f"))
-    kept = firsts.groupBy("root").agg(F.min("x").alias("x")).select(F.col("x.doc_id").alias("k_id"), F.col("x.tag").alias("k_tag"))
-    kept = written(kept, "representatives")
-    names = docs.columns
-    inner = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    id_col, text = (f"c{names.index(x)}" for x in ("doc_id", "text"))
-    inner = inner.withColumn("tag", F.xxhash64(text))
-    held = inner.join(kept, F.col(id_col).eqNullSafe(F.col("k_id")) & (F.col("tag") == F.col("k_tag")), "left_semi")
-    return held.dropDuplicates([id_col, "tag"]).select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))

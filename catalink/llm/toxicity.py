@@ -1,7 +1,7 @@
 """Toxicity of whole texts by the windowed recurrent network of `gru`.
 
-The network learns from a bounded sample of labelled texts (per_label of each label, never held-out
-ones), on the driver; it is then sent to all tasks (about 2 MB) and scores the windows at every start in
+The network learns from a bounded sample of labelled texts (about per_label of each label and
+`common.SAMPLE_BYTES` of text, never held-out ones), on the driver; it is then sent to all tasks (about 2 MB) and scores the windows at every start in
 every text, as in training. A text's score is that of its highest window, calibrated to the labels' frequencies.
 
 Cases: a null text counts as empty and is scored as one empty window; documents without a label are
@@ -28,9 +28,8 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> gru
     """Fit on docs (doc_id, text) joined with labels (doc_id, toxic)."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
-    # At most about per_label rows of each of two labels.
-    sample = F.broadcast(labelled_sample(known, "toxic", per_label).distinct())
-    rows = docs.join(sample, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").collect()
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known.distinct(), "doc_id")
+    rows = labelled_sample(texts, "toxic", per_label, "text").collect()
     rows.sort(key=lambda r: (r.doc_id, r.toxic, r.text))
     y = np.asarray([int(r.toxic) for r in rows], dtype=np.int64)
     weights = np.asarray([counts[r.toxic] for r in rows], dtype=np.float64) / np.maximum(np.bincount(y, minlength=2), 1)[y] if len(y) else np.zeros(0)

@@ -48,3 +48,17 @@ def test_no_labels_and_no_rows(spark):
     assert language.predictions(spark.createDataFrame([], SCHEMA)).count() == 0
     (row,) = language.predictions(spark.createDataFrame([(1, "abc", None, 0)], SCHEMA)).collect()
     assert row.lang_pred == "und"
+
+
+def test_without_labels_texts_with_a_letter_stay(spark):
+    data = [(1, "plain words of a text", None, 0), (2, "others", None, 0), (3, "12 -", None, 0), (4, None, None, 0)]
+    assert sorted(r.doc_id for r in language.accepted(spark.createDataFrame(data, SCHEMA)).collect()) == [1, 2]
+
+
+def test_sample_is_bounded_over_all_labels(spark):
+    from catalink.llm.common import labelled_sample
+
+    docs = spark.range(4000).selectExpr("id AS doc_id", "repeat('x', 1000) AS text", "id % 40 AS lang")
+    assert labelled_sample(docs, "lang", 1000, "text").count() == 4000
+    assert 100 < labelled_sample(docs, "lang", 1000, "text", most_rows=200).count() < 320
+    assert 100 < labelled_sample(docs, "lang", 1000, "text", most_bytes=200_000).count() < 320

@@ -58,38 +58,6 @@ def test_matches_brute_force(spark, monkeypatch):
     assert got == slow_components(rows)
 
 
-def sets_of(text):
-    words = (text or "").split()
-    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-
-def test_near_stage_drops_verified_copies_only(spark):
-    rng = random.Random(5)
-    words = [f"{a}{b}{c}" for a in "qwertz" for b in "asdfg" for c in "yxcvb"]
-    base = [rng.choices(words, k=rng.randint(150, 400)) for _ in range(40)]
-    rows = [(i, " ".join(w)) for i, w in enumerate(base)]
-    for i, w in enumerate(base[:20]):
-        for k in range(3):
-            near = list(w)
-            near[rng.randrange(5, len(w) - 5)] = "near"
-            rows.append((100 + 3 * i + k, " ".join(near)))
-        half = w[: len(w) // 2] + rng.choices(words, k=len(w) // 2)
-        rows.append((300 + i, " ".join(half)))
-    rows += [(400, None), (401, ""), (402, "one"), (403, "two"), (None, rows[0][1])]
-    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)
-    kept = {r.doc_id for r in simhash.representatives(docs).collect()}
-    held, group = [sets_of(t) for _, t in rows], list(range(len(rows)))
-    for a in range(len(rows)):
-        for b in range(a):
-            if len(held[a] & held[b]) >= 0.8 * len(held[a] | held[b]) and group[a] != group[b]:
-                group = [group[b] if g == group[a] else g for g in group]
-    best = {}
-    for (i, _), g in zip(rows, group, strict=True):
-        best[g] = min(best.get(g, 10**6), 10**6 if i is None else i)
-    assert kept == set(best.values())
-    assert {*range(40), *range(300, 320), 400, 402, 403} == kept
-
-
 def test_forest_grown_without_pairs_has_the_same_length():
     rng = np.random.default_rng(2)
     lanes = np.unique((np.uint64(1) << rng.integers(0, 14, (300, 5), dtype=np.uint64)).sum(axis=1))[:, None]

@@ -108,3 +108,13 @@ def test_no_labels_and_no_rows(spark):
     (row,) = toxicity.scores(docs, labels).collect()
     assert row.predicted == 0
     assert toxicity.scores(docs.where("false"), labels).count() == 0
+
+
+def test_marks_stay_with_their_letters():
+    from catalink.llm import gru
+
+    run = "สวัสดีชาวโลกที่น่ารัก" * 8
+    pieces = gru.words_of(run)
+    assert {c for p in pieces for c in p} == set(run) and len(pieces[0]) == gru.PIECE
+    joined = pieces[0] + "".join(p[gru.PIECE_STEP :] for p in pieces[1:])
+    assert joined == run
