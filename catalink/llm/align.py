@@ -7,8 +7,8 @@ in a span say how many tokens of A and of B make up one group. Between two neigh
 overlap of exactly one token of A with one of B: a link.
 
 Links are counted by pairs of ids within each document, then over the corpus by a sum that is combined
-before its shuffle. The counts come back to the documents by a join on the pair, which Spark turns into a
-broadcast only where the written table of counts is below its threshold; no other data is sent around.
+before its shuffle. The counts come back to the documents by a sorted join on the pair, at any size (a frequent pair stands once
+in a document, and adaptive execution splits its rows); nothing is broadcast.
 
 A's words and B's words (text before a blank, or from a line end on; no piece of the model reaches across)
 are encoded once per worker while there is room.
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,7 +59,8 @@ class ModelB:
         self.raw = [bytes([int(t[3:5], 16)]) if model.is_byte(i) else t.replace(BLANK, " ").encode() for i, t in zip(ids, texts, strict=True)]
         self.sizes = np.asarray([len(t) for t in self.raw], dtype=np.int64)
         self.blank = model.piece_to_id(BLANK)
-        self.words: dict[str, bytes] = {}
+        #: ids of words; None for those whose pieces don't give them back.
+        self.words: dict[str, bytes | None] = {}
 
     def cut(self, text: str) -> list[str]:
         """The words of a text: without the blank before each, or from a line end on."""
@@ -73,23 +75,31 @@ class ModelB:
             return [BLANK, *([word[1:]] if word[1:] else [])]
         return [word[1:].replace(BLANK, " ")]
 
-    def _new(self, words: list[str]) -> dict[str, bytes]:
-        found = {}
+    def _new(self, words: list[str]) -> dict[str, bytes | None]:
+        found, raw = {}, self.raw
         for word, ids in zip(words, self.model.encode(words, num_threads=1), strict=True):
             # What the model adds before a line end isn't there but at the text's begin, where encode_all puts it.
-            found[word] = np.asarray([self.blank] if word == BLANK else ids[1:] if word[:1] == "\n" else ids, dtype="<u4").tobytes()
+            ids = [self.blank] if word == BLANK else ids[1:] if word[:1] == "\n" else ids
+            said = " " if word == BLANK else word if word[:1] == "\n" else f" {word}"
+            found[word] = array("I", ids).tobytes() if b"".join(map(raw.__getitem__, ids)) == said.encode() else None
         return found
 
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+    def encode_all(self, texts: list[str]) -> list[np.ndarray | None]:
+        """ids of each text, None where they don't give it back."""
         split = [self.cut(t) if t else [] for t in texts]
         known = self.words
-        found = self._new(list(set().union(*split).difference(known)))
-        if len(known) + len(found) <= KEPT_WORDS:
-            known.update(found)
-            found = known
-        first = np.asarray([self.blank], dtype="<u4").tobytes()
-        joined = [b"".join([found[w] if w in found else known[w] for w in words]) for words in split]
-        return [np.frombuffer(first + x if w and w[0][:1] == "\n" else x, dtype="<u4") for w, x in zip(split, joined, strict=True)]
+        known.update(self._new(list(set().union(*split).difference(known))))
+        first, out = array("I", [self.blank]).tobytes(), []
+        for words in split:
+            try:
+                ids = b"".join(map(known.__getitem__, words))
+            except TypeError:  # a word without ids
+                out.append(None)
+                continue
+            out.append(np.frombuffer(first + ids if words and words[0][:1] == "\n" else ids, dtype="<u4"))
+        if len(known) > KEPT_WORDS:
+            known.clear()
+        return out
 
 
 class Aligner:
@@ -110,9 +120,6 @@ class Aligner:
         self.shown = [b"%d%b" % (i, end) for end in (b",", b"|", b";", b"") for i in range(top)]
         self.top = top
 
-    def same(self, text: str, ids: np.ndarray, raw: list[bytes]) -> bool:
-        return b"".join(map(raw.__getitem__, ids.tolist())) == text.encode()
-
     def labels(self, size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The label of each byte of a text."""
         out = np.zeros(size, dtype=np.uint8)
@@ -124,10 +131,10 @@ class Aligner:
         """How many tokens of A and of B each group has, from the spans of the label string."""
         spans, known = SPAN.findall(labels.tobytes()), self.spans
         for span in set(spans).difference(known):
-            told = span.count(END_A) + 1 + (span.count(END_B) + 1) * _SIDE
-            if len(known) < KEPT_SPANS and len(span) <= 64 or span in known:
-                known[span] = told
-        sizes = np.fromiter((known[s] if s in known else s.count(END_A) + 1 + (s.count(END_B) + 1) * _SIDE for s in spans), dtype=np.int64, count=len(spans))
+            known[span] = span.count(END_A) + span.count(BOTH) + (span.count(END_B) + span.count(BOTH)) * _SIDE
+        sizes = np.asarray(list(map(known.__getitem__, spans)), dtype=np.int64)
+        if len(known) > KEPT_SPANS:
+            known.clear()
         return sizes % _SIDE, sizes // _SIDE
 
     def links(self, labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +164,8 @@ class Aligner:
         right = self.b.encode_all(["" if BLANK in t else t for t in texts])
         out = []
         for t, a, b in zip(texts, left, right, strict=True):
-            good = bool(t) and self.same(f" {t}", a, self.raw) and self.same(f" {t}", b, self.b.raw)
+            # Tokens of A are cut from the text's own bytes; those of B are compared with them word by word.
+            good = b is not None and len(b) and int(self.sizes[a].sum()) == int(self.b.sizes[b].sum()) == len(t.encode()) + 1
             out.append((a, b) if good else (empty, empty))
         return out
 
@@ -224,6 +232,6 @@ def digests(docs: DataFrame, a: str, b: str) -> DataFrame:
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "alignment")
     counts = pair_counts(rows)
     each = rows.select("row", F.explode(F.arrays_zip("pairs", "links")).alias("x")).select("row", F.col("x.pairs").alias("pair"), F.col("x.links").alias("links"))
-    sums = each.join(counts, "pair").groupBy("row").agg(F.sum("links").alias("n_links"), F.sum(F.when(F.col("best"), F.col("links")).otherwise(0)).alias("n_best"), F.sum(F.col("links") * F.col("count")).alias("count_sum"))
+    sums = each.join(counts.hint("merge"), "pair").groupBy("row").agg(F.sum("links").alias("n_links"), F.sum(F.when(F.col("best"), F.col("links")).otherwise(0)).alias("n_best"), F.sum(F.col("links") * F.col("count")).alias("count_sum"))
     none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return rows.drop("pairs", "links").join(sums, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", none("n_links"), none("n_best"), none("count_sum"), "groups_sha256")

@@ -82,12 +82,12 @@ def test_empty_tables_and_rows(spark, rows):
     assert len(found) == len(rows) and all(r.n_links == 0 and r.groups_sha256 == "" for r in found)
 
 
-def test_join_without_a_broadcast_gives_the_same(spark):
-    docs = spark.createDataFrame([(i, f"row {i} of some words {i % 7}") for i in range(200)], "doc_id long, text string")
-    sent = sorted(map(tuple, align.digests(docs, A, B).collect()))
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert sorted(map(tuple, align.digests(docs, A, B).collect())) == sent
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+def test_full_tables_of_words_and_spans_begin_anew(monkeypatch):
+    monkeypatch.setattr(align, "KEPT_WORDS", 3)
+    monkeypatch.setattr(align, "KEPT_SPANS", 1)
+    few, many = align.Aligner(A, B), align.aligner(A, B)
+    for text in ("some words and more words", "a\nb c", "some other words"):
+        (a, b), (x, y) = few.encode_all([text])[0], many.encode_all([text])[0]
+        assert a.tolist() == x.tolist() and b.tolist() == y.tolist()
+        labels = few.labels(len(text) + 1, a, b)
+        assert [s.tolist() for s in few.group_sizes(labels)] == [s.tolist() for s in many.group_sizes(labels)]
