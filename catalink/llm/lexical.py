@@ -111,12 +111,29 @@ class Shard:
         doc, n = np.repeat(place, sizes), np.repeat(np.asarray(self.lengths, dtype=np.int64), sizes)
         impact = impacts(tf, n, documents, terms)
         sort = np.lexsort((doc, term))
-        doc, impact = doc[sort], impact[sort]
+        doc, impact = doc[sort].astype(np.int64), impact[sort]
         ends = np.cumsum(np.bincount(term, minlength=len(self.numbers)))
-        words = list(self.numbers)
-        for at in range(0, len(words), 2000):
-            lists = [posting_row(doc[(ends[t - 1] if t else 0) : ends[t]].astype(np.int64), impact[(ends[t - 1] if t else 0) : ends[t]], block) for t in range(at, min(at + 2000, len(words)))]
-            columns = [[shard] * len(lists), [w.decode("utf-8", "replace") for w in words[at : at + 2000]], *map(list, zip(*lists, strict=True)), [None] * len(lists)]
+        starts = np.concatenate([[0], ends[:-1]])
+        # Of lists of one block, which most are, all parts are slices of the whole shard's.
+        steps = doc - 1
+        steps[1:] -= doc[:-1]
+        steps[starts] = doc[starts]
+        widest, tops = np.maximum.reduceat(steps, starts), np.maximum.reduceat(impact, starts)
+        widths = np.where(widest < 1 << 8, 1, np.where(widest < 1 << 16, 2, 4)).tolist()
+        last, top = doc[ends - 1].astype("<i4").tobytes(), tops.astype("<i4").tobytes()
+        low, high = (impact & 0xFFFF).astype("<u2").tobytes(), (impact >> 16).astype(np.uint8).tobytes()
+        narrow = {w: steps.astype(f"<u{w}").tobytes() for w in (1, 2, 4)}
+        words, starts, ends = list(self.numbers), starts.tolist(), ends.tolist()
+
+        def one(t: int) -> tuple:
+            a, b, w = starts[t], ends[t], widths[t]
+            if b - a > block:
+                return posting_row(doc[a:b], impact[a:b], block)
+            return b - a, w, last[4 * t : 4 * t + 4], top[4 * t : 4 * t + 4], narrow[w][w * a : w * b], low[2 * a : 2 * b], high[a:b]
+
+        for at in range(0, len(words), 5000):
+            lists = list(map(one, range(at, min(at + 5000, len(words)))))
+            columns = [[shard] * len(lists), [w.decode("utf-8", "replace") for w in words[at : at + 5000]], *map(list, zip(*lists, strict=True)), [None] * len(lists)]
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
 
