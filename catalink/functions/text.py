@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,6 +15,11 @@ from .. import vocab
 SPACE = r"(?U)[\s\x1c-\x1f\x85]+"
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once; Catalyst copies a large x into each of its uses in f."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def words(values: list[str]) -> Column:
     return F.array(*(F.lit(v) for v in values))
 
@@ -45,11 +51,16 @@ def normalize_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(x, "§", "."), r"\s+", " "))
 
 
-def code_text(value: Column) -> Column:
-    """A product code as text: no grouping of thousands, no trailing .0; folded and upper case."""
+def code_as_given(value: Column) -> Column:
+    """A product code as text: no grouping of thousands, no trailing .0; folded."""
     x = F.trim(F.coalesce(value.cast("string"), F.lit("")))
     x = F.when(x.rlike(r"^\d{1,3}(,\d{3})+$"), F.translate(x, ",", "")).otherwise(F.regexp_replace(x, r"^([+-]?\d+)\.0+$", "$1"))
-    return F.upper(fold(x))
+    return fold(x)
+
+
+def code_text(value: Column) -> Column:
+    """The same in upper case."""
+    return F.upper(code_as_given(value))
 
 
 def compact(value: Column) -> Column:
@@ -206,8 +217,8 @@ def without_noise(text: Column) -> Column:
     return F.array_join(F.filter(spans, lambda w: ~F.array_contains(words(vocab.NOISE), F.upper(w))), " ")
 
 
-def tokens(text: Column) -> Column:
-    """Canonical tokens of a text, without unit rewriting: sizes kept or cut, units set apart, synonyms mapped, stopwords dropped."""
+def raw_tokens(text: Column) -> Column:
+    """Upper-case tokens of a text before synonyms, without unit rewriting: sizes kept or cut, units set apart."""
     raw = F.regexp_extract_all(normalize_text(text), F.lit(r"[A-Z0-9]+(?:\.[0-9]+)?(?:/[A-Z0-9]+)*"), F.lit(0))
 
     def cut(w: Column) -> Column:
@@ -220,17 +231,67 @@ def tokens(text: Column) -> Column:
             .otherwise(F.split(w, "/"))
         )
 
-    def apart(w: Column) -> Column:
-        number, unit = F.regexp_extract(w, r"^(\d+)(VAC|VDC|KV|V|A)$", 1), F.regexp_extract(w, r"^(\d+)(VAC|VDC|KV|V|A)$", 2)
-        named = F.when(unit == "VAC", F.array(F.lit("V"), F.lit("AC"))).when(unit == "VDC", F.array(F.lit("V"), F.lit("DC"))).when(unit == "A", F.array(F.lit("AMP"))).otherwise(F.array(unit))
-        return F.when(unit != "", F.concat(F.array(number), named)).when(w == "VAC", F.array(F.lit("V"), F.lit("AC"))).when(w == "VDC", F.array(F.lit("V"), F.lit("DC"))).otherwise(F.array(w))
+    return F.filter(F.flatten(F.transform(F.flatten(F.transform(raw, cut)), attached_unit)), lambda w: w != "")
+
 
+def attached_unit(w: Column) -> Column:
+    """A token with its unit set apart, as an array: 120V, VAC, 30A."""
+    number, unit = F.regexp_extract(w, r"^(\d+)(VAC|VDC|KV|V|A)$", 1), F.regexp_extract(w, r"^(\d+)(VAC|VDC|KV|V|A)$", 2)
+    named = F.when(unit == "VAC", F.array(F.lit("V"), F.lit("AC"))).when(unit == "VDC", F.array(F.lit("V"), F.lit("DC"))).when(unit == "A", F.array(F.lit("AMP"))).otherwise(F.array(unit))
+    return F.when(unit != "", F.concat(F.array(number), named)).when(w == "VAC", F.array(F.lit("V"), F.lit("AC"))).when(w == "VDC", F.array(F.lit("V"), F.lit("DC"))).otherwise(F.array(w))
+
+
+def tokens(text: Column) -> Column:
+    """Canonical tokens of a text: raw ones with synonyms mapped and stopwords dropped."""
     mapped = lookup(vocab.CANONICAL)
-    parts = F.flatten(F.transform(F.flatten(F.transform(raw, cut)), apart))
-    kept = F.filter(parts, lambda w: (w != "") & (w != "W") & (mapped[w].isNotNull() | ~F.array_contains(words(vocab.STOPWORDS), w)))
+    kept = F.filter(raw_tokens(text), lambda w: (w != "W") & (mapped[w].isNotNull() | ~F.array_contains(words(vocab.STOPWORDS), w)))
     return F.transform(kept, lambda w: F.coalesce(mapped[w], w))
 
 
+def abbreviations(asked: Column, row: Column) -> Column:
+    """Which words of a request stand in a row by their short form: `extension → EXT`, `120 volts → 120V`.
+
+    asked: the request's `raw_tokens`; row: the canonical tokens of a catalog text. A number before a word for
+    volts is told with it; any other synonym counts if the row holds its canonical form.
+    """
+    mapped = lookup(vocab.CANONICAL)
+    short = lambda w: F.coalesce(mapped[w], w)
+    none = F.array().cast("array<string>")
+    arrow = F.lit(" → ")
+
+    def at(w: Column, i: Column) -> Column:
+        after, before = F.coalesce(F.get(asked, i + 1), F.lit("")), F.coalesce(F.get(asked, i - 1), F.lit(""))
+        volts = w.rlike("^[0-9]+$") & (short(after) == "V")
+        told = F.lower(after)
+        both = F.array(F.concat(told, arrow, F.lit("V")), F.concat(w, F.lit(" "), told, arrow, w, F.lit("V")))
+        alone = mapped[w].isNotNull() & (w != short(w)) & F.array_contains(row, short(w))
+        return (
+            F.when(volts, F.when(F.array_contains(row, w) | F.array_contains(row, "V"), both).otherwise(none))
+            .when((short(w) == "V") & before.rlike("^[0-9]+$"), none)
+            .when(alone, F.array(F.concat(F.lower(w), arrow, short(w))))
+            .otherwise(none)
+        )
+
+    return F.array_distinct(F.flatten(F.transform(asked, at)))
+
+
+def search_steps(text: Column) -> Column:
+    """How a request becomes search text: struct of original, quantity, text without it, without noise, canonical text and tokens."""
+    original = fold(text)
+    plain = without_quantity(original)
+    clean = without_noise(plain)
+    found = tokens(clean)
+    return F.struct(
+        original.alias("original_input"), quantity(original).alias("extracted_quantity"), plain.alias("after_quantity_removal"), clean.alias("after_noise_removal"),
+        F.lower(F.array_join(found, " ")).alias("after_terminology_normalization"), F.transform(found, F.lower).alias("tokens"),
+    )
+
+
+def canonical(text: Column) -> Column:
+    """All canonical tokens as one text."""
+    return F.array_join(tokens(text), " ")
+
+
 def has_all(array: Column, values: list[str]) -> Column:
     return F.size(F.array_intersect(array, words(values))) == len(values)
 

@@ -86,6 +86,76 @@ def dimension_words(text: Column) -> Column:
     return fold(F.array_join(pieces, ""))
 
 
+def voltage_words(text: Column) -> Column:
+    """The text with each voltage written as volts, V and polarity."""
+    source = fold(text)
+    hits = F.regexp_extract_all(source, F.lit(VOLTAGE), F.lit(0))
+
+    def word(hit: Column) -> Column:
+        v = F.get(voltages(hit), F.lit(0))
+        return F.coalesce(F.concat(F.lit(" "), v["volts"].cast("string"), F.lit(" V "), F.coalesce(F.concat(v["polarity"], F.lit(" ")), F.lit(""))), hit)
+
+    written = F.transform(hits, word)
+    return fold(F.array_join(F.transform(F.split(source, VOLTAGE, -1), lambda b, i: F.concat(b, F.coalesce(F.get(written, i), F.lit("")))), ""))
+
+
+def unit_words(text: Column) -> Column:
+    """The text with dimensions, then voltages, written as comparable tokens."""
+    return voltage_words(dimension_words(text))
+
+
+def decimal_text(value: Column, places: int = 4) -> Column:
+    """A number with so many places at most, without trailing zeros."""
+    return F.regexp_replace(F.regexp_replace(F.format_string(f"%.{places}f", value), "0+$", ""), r"\.$", "")
+
+
+def _first_of_each(found: Column, kind: str, key: str) -> Column:
+    """Structs of an array, each key once, in order."""
+    none = F.expr(f"CAST(array() AS array<{kind}>)")
+    return F.aggregate(found, none, lambda seen, x: F.when(F.exists(seen, lambda y: y[key].eqNullSafe(x[key])), seen).otherwise(F.concat(seen, F.array(x))))
+
+
+def said(text: Column) -> Column:
+    """What a text says of voltages, dimensions and amperages: struct of three arrays of (key, raw, display), each value once."""
+    source = fold(text)
+    kind = "struct<key:string,raw:string,display:string>"
+
+    def spec(key: Column, raw: Column, display: Column) -> Column:
+        return F.struct(key.alias("key"), F.trim(raw).alias("raw"), display.alias("display"))
+
+    def volt(raw: Column) -> Column:
+        v = F.get(voltages(raw), F.lit(0))
+        kilo = raw.rlike(r"(?i)K\s*V|KILOVOLT")
+        base = F.when(kilo, F.concat(decimal_text(v["volts"] / 1000.0, 3), F.lit("KV"))).otherwise(F.concat(v["volts"].cast("string"), F.lit("V")))
+        return spec(F.concat_ws("|", v["volts"].cast("string"), v["polarity"]), raw, F.concat_ws(" ", base, v["polarity"]))
+
+    def size(raw: Column) -> Column:
+        return spec(F.get(dimensions(raw), F.lit(0))["key"], raw, F.trim(raw))
+
+    def amp(raw: Column) -> Column:
+        a = F.get(amperages(raw), F.lit(0))
+        return spec(decimal_text(a, 6), raw, F.concat(decimal_text(a), F.lit("A")))
+
+    hits = lambda pattern: F.regexp_extract_all(source, F.lit(pattern), F.lit(0))
+    known = lambda array: F.filter(array, lambda x: x["key"].isNotNull() & (x["key"] != ""))
+    found = (("volts", VOLTAGE, volt), ("dims", DIMENSION, size), ("amps", AMPERAGE, amp))
+    return F.struct(*(_first_of_each(known(F.transform(hits(pattern), one)), kind, "key").alias(name) for name, pattern, one in found))
+
+
+def unit_lines(asked: Column, row: Column, voltage: Column, dimension: Column, amperage: Column) -> Column:
+    """One line for each kind of measure that both sides state, from their `said` and the states of comparison."""
+
+    def line(kind: str, name: str, state: Column, shown: str, every: bool) -> Column:
+        a, b = F.get(asked[kind], F.lit(0)), F.get(row[kind], F.lit(0))
+        listed = lambda side: F.array_join(F.transform(side[kind], lambda x: x["display"]), ", ")
+        both = (listed(asked), listed(row)) if every else (a["raw"], b["raw"])
+        apart = F.concat(F.lit(f"{name} mismatch: requested "), both[0], F.lit(", catalog "), both[1])
+        return F.when(a.isNotNull() & b.isNotNull(), F.when(state == "match", F.concat(F.lit(f"{name}: "), b[shown], F.lit(" ↔ "), a["raw"], F.lit(" — Match"))).when(state == "conflict", apart))
+
+    lines = (line("volts", "Voltage", voltage, "display", True), line("dims", "Dimension", dimension, "raw", False), line("amps", "Amperage", amperage, "display", True))
+    return F.array_distinct(F.array_compact(F.array(*lines)))
+
+
 def overlap_status(query: Column, candidate: Column) -> Column:
     """none if either side states nothing, match if they share a value, else conflict."""
     return F.when((F.size(query) == 0) | (F.size(candidate) == 0), "none").when(F.arrays_overlap(query, candidate), "match").otherwise("conflict")

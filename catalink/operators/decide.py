@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.text import percent_text
 from ..vocab import MatchingConfig
 from . import explain
+from .score import round_even
 
 KNOWN = ("exact", "normalized_exact", "partial")
 
@@ -24,7 +26,7 @@ def gaps(candidates: DataFrame) -> DataFrame:
     place = candidates.withColumn("place", F.row_number().over(order)).groupBy("line_id")
     at = lambda i: F.max(F.when(F.col("place") == i, F.col("score")))
     rows = place.agg(F.count(F.lit(1)).alias("scored"), at(1).alias("top_score"), at(2).alias("second_score"))
-    return rows.withColumn("score_gap", F.round(F.col("top_score") - F.col("second_score"), 4))
+    return rows.withColumn("score_gap", round_even(F.col("top_score") - F.col("second_score")))
 
 
 def status(top: Column, second: Column, gap: Column, exact_unique: Column, duplicate: Column, candidates: Column, ident: Column, competing: Column, conflict: Column, c: MatchingConfig = MatchingConfig()) -> Column:
@@ -56,7 +58,7 @@ def competing(first: Column, second: Column) -> Column:
 
 
 def capped(value: Column, state: Column, contested: Column, c: MatchingConfig = MatchingConfig()) -> Column:
-    return F.round(F.when(contested | (state == "REVIEW_REQUIRED"), F.least(value, F.lit(c.ambiguous_cap))).otherwise(value), 4)
+    return round_even(F.when(contested | (state == "REVIEW_REQUIRED"), F.least(value, F.lit(c.ambiguous_cap))).otherwise(value))
 
 
 def decided(candidates: DataFrame, lines: DataFrame, c: MatchingConfig = MatchingConfig()) -> DataFrame:
@@ -128,19 +130,56 @@ def top_string(candidates: Column, n: int = 5) -> Column:
 
 
 def selected(results: DataFrame, picks: DataFrame) -> DataFrame:
-    """Manual picks (line_id, product_code) applied to lines under review whose candidates hold the pick."""
-    listed = results.where("status = 'REVIEW_REQUIRED'").select("line_id", F.explode("candidates").alias("x")).select("line_id", F.col("x.product_code").alias("product_code"))
-    good = picks.select("line_id", "product_code").join(listed, ["line_id", "product_code"], "left_semi").dropDuplicates(["line_id"])
-    joined = results.join(good.withColumnRenamed("product_code", "picked"), "line_id", "left")
-    return joined.withColumn("matched_part", F.coalesce("picked", "matched_part")).withColumn("status", F.when(F.col("picked").isNotNull(), "HIGH_CONFIDENCE").otherwise(F.col("status"))).drop("picked")
+    """results with manual picks (line_id, product_code) applied to lines under review whose candidates hold the pick.
+
+    A picked line is a match of its user: part, orderable number, description and reasons are those of the pick,
+    the confidence is that from before, and selection_type and match_type_label say who chose. Of several good
+    picks of a line the smallest code counts; all others are those of `refused_picks`.
+    """
+    wanted = picks.select("line_id", T.code_as_given(F.col("product_code")).alias("picked")).distinct()
+    listed = results.where("status = 'REVIEW_REQUIRED'").select("line_id", F.explode("candidates").alias("x"))
+    listed = listed.select("line_id", F.col("x.product_code").alias("picked"), F.struct("x.orderable", "x.description").alias("chosen"))
+    good = wanted.join(listed, ["line_id", "picked"]).groupBy("line_id").agg(F.min("picked").alias("picked"), F.min_by("chosen", "picked").alias("chosen"))
+    rows = results.join(good, "line_id", "left")
+    done = F.col("picked").isNotNull()
+    said = F.concat(F.lit("User selected Productcode "), F.col("picked"))
+    rows = rows.withColumn("reasons", F.when(done, F.array_distinct(F.concat(F.array(said), F.coalesce("reasons", F.array().cast("array<string>"))))).otherwise(F.col("reasons")))
+    new = {
+        "matched_part": F.when(done, F.col("picked")).otherwise(F.col("matched_part")),
+        "matched_orderable": F.when(done, F.col("chosen.orderable")).otherwise(F.col("matched_orderable")),
+        "matched_description": F.when(done, F.col("chosen.description")).otherwise(F.col("matched_description")),
+        "original_confidence": F.col("percentage"),
+        "part_number_match": done | F.coalesce("part_number_match", F.lit(False)),
+        "selection_type": F.when(done, "USER_SELECTED").when(F.col("status").isin("EXACT_MATCH", "HIGH_CONFIDENCE"), "AUTOMATIC"),
+        "match_type_label": F.when(done, "User Selected").otherwise(F.col("match_type_label")),
+        "status": F.when(done, "HIGH_CONFIDENCE").otherwise(F.col("status")),
+    }
+    return rows.withColumns(new).drop("picked", "chosen")
+
+
+def refused_picks(results: DataFrame, picks: DataFrame) -> DataFrame:
+    """(line_id, product_code, reason) of picks that can't be applied: of lines not under review, or of parts not listed."""
+    rows = picks.select("line_id", "product_code").join(results.select("line_id", "status", "candidates"), "line_id", "left")
+    held = F.exists("candidates", lambda x: x["product_code"] == T.code_as_given(F.col("product_code")))
+    reason = F.when(~F.col("status").eqNullSafe(F.lit("REVIEW_REQUIRED")), "Only REVIEW_REQUIRED lines can be selected.").when(~F.coalesce(held, F.lit(False)), "Productcode is not in the candidate list.")
+    return rows.select("line_id", "product_code", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def automatic_label(ident: Column, part_number_match: Column, description_match: Column) -> Column:
+    """How a match came about that no person chose."""
+    return F.when(ident.isin("exact", "normalized_exact") | part_number_match, "Automatic — Exact Productcode").when(ident == "partial", "Automatic — Partial Productcode").when(description_match, "Automatic — Description Match").otherwise("Automatic")
 
 
 def differences(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Lines of a run against an earlier one by requested_description: NEW, CHANGED or SAME."""
-    old = before.select("requested_description", F.col("status").alias("old_status"), F.col("matched_part").alias("old_part"), F.lit(True).alias("known"))
-    joined = after.join(old, "requested_description", "left")
+    """Lines of a run against an earlier one by requested_description: NEW, CHANGED or SAME, with what it was before.
+
+    Of several earlier lines of one text the last (by line_id) counts; each line of the new run gives one row.
+    """
+    last = F.max_by(F.struct("status", "matched_part"), "line_id")
+    old = before.groupBy("requested_description").agg(last.alias("x")).select(F.col("requested_description").alias("text"), F.col("x.status").alias("old_status"), F.col("x.matched_part").alias("old_part"), F.lit(True).alias("known"))
+    joined = after.join(old, F.col("requested_description").eqNullSafe(F.col("text")), "left")
     same = F.col("status").eqNullSafe(F.col("old_status")) & F.col("matched_part").eqNullSafe(F.col("old_part"))
-    return joined.select("requested_description", "status", "matched_part", F.when(F.col("known").isNull(), "NEW").when(same, "SAME").otherwise("CHANGED").alias("change"))
+    return joined.select("line_id", "requested_description", "status", "matched_part", "old_status", "old_part", F.when(F.col("known").isNull(), "NEW").when(same, "SAME").otherwise("CHANGED").alias("change"))
 
 
 def summary(results: DataFrame) -> DataFrame:

@@ -58,8 +58,9 @@ def contribution(score: Column, partial: Column | None = None) -> Column:
     return F.struct(level.alias("level"), label.alias("label"), round_even(score, 2).alias("score"))
 
 
-def headline(state: Column, ident: Column, code: Column, name: Column, description: Column, second: Column, gap: Column, picked: Column, code_match: Column, text_match: Column) -> Column:
-    """One line that sums a result up: a person's pick, competing codes, a partial code, else the strongest fields."""
+def headline(state: Column, ident: Column, code: Column, name: Column, description: Column, second: Column, gap: Column, picked: Column, code_match: Column, text_match: Column, abbreviated: Column | None = None) -> Column:
+    """One line that sums a result up: a person's pick, competing codes, a partial code, abbreviations, else the strongest fields."""
+    abbreviated = F.lit(False) if abbreviated is None else abbreviated
     review = state == "REVIEW_REQUIRED"
     tight = gap.isNull() | (gap < 8.0)
     several = review & second.isNotNull() & ((tight & (code > 0)) | ident.isin("partial", "exact", "normalized_exact"))
@@ -71,7 +72,9 @@ def headline(state: Column, ident: Column, code: Column, name: Column, descripti
         .when(ident == "partial", "Partial Productcode / Name Match")
         .when(review, "Multiple products have equivalent description matches")
         .when(state == "NO_MATCH", "No sufficiently similar product found")
+        .when(abbreviated & ~exact & text, ABBREVIATED)
         .when(exact & text, "Exact Productcode + Description Match")
+        .when(ident == "normalized_exact", "Normalized Productcode Match")
         .when(exact | ident.isin("exact", "normalized_exact"), "Exact Productcode Match")
         .when(text, "Description Match")
         .when(name >= 99.5, "Exact name Match")
@@ -81,21 +84,68 @@ def headline(state: Column, ident: Column, code: Column, name: Column, descripti
     )
 
 
-def candidate_reasons(asked: Column, row: Column, exact: Column, fuzzy: Column, duplicate: Column, same_text: Column) -> Column:
-    """Why a candidate was found, from the tag arrays of `score.attributes` of both sides and its scores."""
+#: Words of a request that are told by themselves.
+NOTABLE = ["MOLEX", "PAULEX", "DBL", "EXT", "DIST", "HEAD", "END", "WHIP", "CABLE", "SWITCH", "MODULE", "LIGHTING"]
+ABBREVIATED, STRONGEST = "Normalized Description Match", {"productcode": "Productcode", "name": "name", "description": "description", "description2": "description2"}
+
+
+def identifier_headline(kind: Column) -> Column:
+    return F.when(kind == "exact", "Exact Productcode Match").when(kind == "normalized_exact", "Normalized Productcode Match").when(kind == "partial", "Partial Productcode / Name Match")
+
+
+def matching_tokens(asked: Column, asked_small: Column, kind: Column, query: Column, row: Column, row_words: Column) -> Column:
+    """Which words of a code query stand where: `AB → AB12`, or a prefix.
+
+    asked and row_words are code words, asked_small the compact forms of the first; query and row the compact codes.
+    """
+    arrow = F.lit(" → ")
+    same = F.when(F.size(asked) > 0, F.transform(asked, lambda w: F.concat(w, arrow, w))).otherwise(F.array(query))
+    hits = F.filter(asked, lambda w: (F.length(T.compact_word(w)) >= 2) & F.contains(row, T.compact_word(w)))
+    host = lambda w: F.coalesce(F.get(F.filter(row_words, lambda x: F.contains(T.compact_word(x), T.compact_word(w))), F.lit(0)), row)
+    prefix = F.startswith(row, query) & (F.length(query) < F.length(row))
+    part = F.when(prefix, F.array(F.concat(query, arrow, row, F.lit(" (prefix)")))).otherwise(F.transform(hits, lambda w: F.concat(w, arrow, host(w))))
+    return F.when(kind.isin("exact", "normalized_exact"), same).when(kind == "partial", part).otherwise(F.array().cast("array<string>"))
+
+
+def strongest(scores: Column) -> Column:
+    """The first field (of productcode, name, description, description2) with the best score, null if all are 0."""
+    best = F.greatest(*(scores[f] for f in STRONGEST))
+    first = F.coalesce(*(F.when(scores[f] == best, F.lit(f)) for f in STRONGEST))
+    return F.when(best > 0, first)
+
+
+def candidate_reasons(asked: Column, row: Column, scores: Column, exact: Column, token: Column, fuzzy: Column, duplicate: Column, same_text: Column, kind: Column, told: Column, abbreviated: Column, lines: Column, field: Column) -> Column:
+    """Why a candidate was found, most telling first.
+
+    asked and row: tag arrays of `score.attributes` of request and description; scores: struct of the four
+    field scores (null if none); exact, token, fuzzy: the pair's scores; kind and told: type and words of the
+    identity; abbreviated: `text.abbreviations`; lines: `units.unit_lines`; field: the strongest field.
+    """
     shared = F.array_intersect(asked, row)
-    of = lambda kind: F.array_sort(F.transform(F.filter(shared, lambda t: t.startswith(f"{kind}:")), lambda t: F.substring(t, len(kind) + 2, 1 << 20)))
-    said = lambda kind, words: F.transform(of(kind), lambda v: F.concat(F.lit(words), v))
+    of = lambda sort: F.array_sort(F.transform(F.filter(shared, lambda t: t.startswith(f"{sort}:")), lambda t: F.substring(t, len(sort) + 2, 1 << 20)))
+    said = lambda sort, words: F.transform(of(sort), lambda v: F.concat(F.lit(words), v))
     none = F.array().cast("array<string>")
+    some = lambda test, *texts: F.when(test, F.array(*(F.lit(t) if isinstance(t, str) else t for t in texts))).otherwise(none)
+    code = F.coalesce(scores["productcode"], F.lit(0.0))
+    whole = lambda f: F.format_string("%.0f", round_even(F.coalesce(scores[f], F.lit(0.0)), 0))
+    numbers = F.concat(F.lit("Productcode match: "), whole("productcode"), F.lit("; Name match: "), whole("name"), F.lit("; Description match: "), whole("description"), F.lit("; Description2 match: "), whole("description2"))
     tokens = of("token")
     reasons = F.array_distinct(F.concat(
-        F.when(exact >= 100, F.when(same_text, F.array(F.lit("Exact normalized description match"))).otherwise(F.array(F.lit("Exact match after synonym/abbreviation normalization"), F.lit("Description differs only by abbreviation")))).otherwise(none),
-        F.when(duplicate, F.array(F.lit(SAME_TEXT))).otherwise(none),
+        some(kind.isin("exact", "normalized_exact", "partial") & (code > 0), identifier_headline(kind)),
+        some((F.size(told) > 0) & (code > 0), F.concat(F.lit("Matching tokens: "), F.array_join(told, ", "))),
+        some((F.size(abbreviated) > 0) & (code < 40), ABBREVIATED, F.concat(F.lit("Normalized terms: "), F.array_join(abbreviated, "; "))),
+        some(field.isNotNull(), F.concat(F.lit("Strongest text evidence from "), T.lookup(STRONGEST)[field])),
+        some(scores.isNotNull(), numbers),
+        some(exact >= 100, F.when(same_text, "Exact normalized description match").otherwise("Exact match after synonym/abbreviation normalization")),
+        some((exact >= 100) & ~same_text, "Description differs only by abbreviation"),
+        some(duplicate, SAME_TEXT),
         said("voltage", "Voltage matched: "),
+        F.coalesce(lines, none),
         said("phrase", "Product type matched: "),
+        F.transform(F.filter(tokens, lambda t: t.isin(NOTABLE)), lambda t: F.concat(t, F.lit(" attribute matched"))),
         said("size", "Size matched: "),
-        F.when((exact < 100) & (F.size(tokens) > 0), F.array(F.concat(F.lit("Shared tokens: "), F.array_join(F.slice(tokens, 1, 6), ", ")))).otherwise(none),
-        F.when((exact < 100) & (fuzzy > 0), F.array(F.format_string("Character similarity %.1f%%", round_even(fuzzy, 1)))).otherwise(none),
+        some((token > 0) & (exact < 100) & (F.size(tokens) > 0), F.concat(F.lit("Shared tokens: "), F.array_join(F.slice(tokens, 1, 6), ", "))),
+        some((exact < 100) & (fuzzy > 0), F.concat(F.lit("Character similarity "), F.format_string("%.1f", round_even(fuzzy, 1)), F.lit("%"))),
     ))
     return F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit("Partial description similarity")))
 
@@ -124,16 +174,25 @@ def descriptions_compatible(conflict: Column, exact: Column, final: Column, c: M
 
 
 def identifier_spans(text: Column) -> Column:
-    """Every run of segments of letters and digits joined by - / _ . +, as structs (length, text), longest first, then by place.
+    """Every run of segments of letters and digits joined by - / _ . +, as structs (length, start, text), longest first, then by place; start counts from 0.
 
     text is upper case already.
     """
     runs = F.regexp_extract_all(text, F.lit("[A-Z0-9]+(?:[-/_.+][A-Z0-9]+)*"), F.lit(0))
+    gaps = F.split(text, "[A-Z0-9]+(?:[-/_.+][A-Z0-9]+)*", -1)
 
     def of_run(run: Column, at: Column) -> Column:
+        begin = F.aggregate(F.slice(gaps, F.lit(1), at + 1), F.lit(0), lambda n, x: n + F.length(x)) + F.aggregate(F.slice(runs, F.lit(1), at), F.lit(0), lambda n, x: n + F.length(x))
         parts = F.regexp_extract_all(run, F.lit("[-/_.+]?[A-Z0-9]+"), F.lit(0))
         ends = F.sequence(F.lit(1), F.size(parts))
-        spans = F.flatten(F.transform(ends, lambda i: F.transform(F.sequence(i, F.size(parts)), lambda j: F.struct(at.alias("run"), i.alias("first"), F.regexp_replace(F.array_join(F.slice(parts, i, j - i + 1), ""), "^[-/_.+]", "").alias("text")))))
-        return F.transform(spans, lambda s: F.struct((-F.length(s["text"])).alias("order"), s["run"].alias("run"), s["first"].alias("first"), s["text"].alias("text")))
 
-    return F.transform(F.array_sort(F.flatten(F.transform(runs, of_run))), lambda s: F.struct((-s["order"]).alias("length"), s["text"].alias("text")))
+        def span(i: Column, j: Column) -> Column:
+            joined = F.array_join(F.slice(parts, i, j - i + 1), "")
+            mark = F.when(joined.rlike("^[-/_.+]"), 1).otherwise(0)
+            start = begin + F.aggregate(F.slice(parts, F.lit(1), i - 1), F.lit(0), lambda n, x: n + F.length(x)) + mark
+            return F.struct((F.length(joined) - mark).alias("length"), start.alias("start"), F.regexp_replace(joined, "^[-/_.+]", "").alias("text"))
+
+        return F.flatten(F.transform(ends, lambda i: F.transform(F.sequence(i, F.size(parts)), lambda j: span(i, j))))
+
+    order = F.transform(F.flatten(F.transform(runs, of_run)), lambda s: F.struct((-s["length"]).alias("order"), s["start"].alias("start"), s["text"].alias("text")))
+    return F.transform(F.array_sort(order), lambda s: F.struct((-s["order"]).alias("length"), s["start"].alias("start"), s["text"].alias("text")))

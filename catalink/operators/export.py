@@ -9,14 +9,25 @@ from pyspark.sql import types as T
 from ..functions.text import percent_text
 from .decide import confidence_word, top_string
 
-#: Headers of the input that become columns; cells under further ones stand in the map column OTHER_CELLS.
-MOST_COLUMNS, OTHER_CELLS = 500, "other_cells"
-MATCHED = ("EXACT_MATCH", "HIGH_CONFIDENCE")
+#: The map column of cells that have no column of their own.
+OTHER_CELLS = "other_cells"
+MATCHED = ("EXACT_MATCH", "HIGH_CONFIDENCE", "CONFIDENT_MATCH")
 
 
 def order_rows(results: DataFrame) -> DataFrame:
-    """Matched lines as order positions: orderable number, else code, and quantity."""
-    return results.where(F.col("status").isin(*MATCHED)).select("line_id", F.coalesce("matched_orderable", "matched_part").alias("item"), F.coalesce("quantity", F.lit(1.0)).alias("quantity"))
+    """Matched lines as order positions: orderable number, else code, and the quantity asked (null where none is); without either number a line is left out."""
+    item = F.coalesce(F.when(F.col("matched_orderable") != "", F.col("matched_orderable")), F.when(F.col("matched_part") != "", F.col("matched_part")))
+    return results.where(F.col("status").isin(*MATCHED)).select("line_id", item.alias("item"), "quantity").where("item IS NOT NULL")
+
+
+def order_file_rows(results: DataFrame) -> DataFrame:
+    """The two text columns of an order file; a missing quantity is blank."""
+    return order_rows(results).select(F.col("item").alias("Part Number"), F.coalesce(number_text(F.col("quantity")), F.lit("")).alias("Quantity"))
+
+
+def number_text(value: Column) -> Column:
+    """A quantity as text: whole ones without a point."""
+    return F.when(value == F.floor(value), value.cast("long").cast("string")).otherwise(value.cast("string"))
 
 
 def csv_rows(results: DataFrame, maker: str = "") -> DataFrame:
@@ -35,7 +46,7 @@ def csv_rows(results: DataFrame, maker: str = "") -> DataFrame:
         "Source Sheet": given("source_sheet"),
         "Source Row": given("source_row"),
         "Requested Description": given("requested_description"),
-        "Quantity": given("quantity"),
+        "Quantity": number_text(F.col("quantity")) if "quantity" in results.columns else given("quantity"),
         f"{whose}Part Number": given("matched_part"),
         "Matched Identifier": given("matched_orderable"),
         f"{whose}Description": F.when(F.col("matched_part").isNotNull(), text),
@@ -53,29 +64,40 @@ def csv_rows(results: DataFrame, maker: str = "") -> DataFrame:
     return results.select(*(F.coalesce(c, F.lit("")).alias(n) for n, c in columns.items()))
 
 
+#: Columns that a full result adds to the input's own.
+ADDED = ["Status", "1st Top Product", "2nd Top Product", "3rd Top Product", "4th Top Product", "5th Top Product", "Matched Part Number", "Orderable Part Number"]
+
+
 def full_rows(results: DataFrame) -> DataFrame:
-    """Per line the label, the five best parts, and the matched part and orderable number; parts of matched lines start with the match."""
+    """line_id, requested_description, quantity and the columns ADDED: the status (a review reads Validation Required), the best five numbers, and the match's."""
     part = lambda i: F.get("candidates", F.lit(i))
-    code = lambda i: F.coalesce(part(i)["orderable"], part(i)["product_code"])
-    label = F.when(F.col("status").isin(*MATCHED), "Matched").when(F.col("status") == "REVIEW_REQUIRED", "Validation Required").otherwise("No Match")
-    last = F.col("matched_part").alias("matched_part_number"), F.col("matched_orderable").alias("orderable_part_number")
-    return results.select("line_id", "requested_description", "quantity", label.alias("match_status"), *(code(i).alias(f"product_{i + 1}") for i in range(5)), *last)
+    some = lambda x: F.when(x != "", x)
+    code = lambda i: F.coalesce(some(part(i)["orderable"]), part(i)["product_code"], F.lit(""))
+    label = F.when(F.upper("status") == "REVIEW_REQUIRED", "Validation Required").otherwise(F.coalesce("status", F.lit("")))
+    blank = lambda name: F.coalesce(F.col(name), F.lit(""))
+    added = [label, *(code(i) for i in range(5)), blank("matched_part"), blank("matched_orderable")]
+    return results.select("line_id", "requested_description", "quantity", *(x.alias(n) for x, n in zip(added, ADDED, strict=True)))
 
 
-def with_input_columns(results: DataFrame, raw: DataFrame) -> DataFrame:
-    """results beside the input's own cells (line_id, header, text, col) as columns, in order of first appearance.
+def with_input_columns(full: DataFrame, raw: DataFrame, width: int) -> DataFrame:
+    """The columns ADDED of full_rows behind the input's own cells (line_id, header, text, col), in order of first appearance.
 
-    Cells under headers after the first MOST_COLUMNS are kept in a map (header -> text) beside them, there only if needed.
+    The first `width` headers become columns; cells under any other stand in the map column OTHER_CELLS, which
+    is always there. A line without cells shows its text and quantity under `Requested Description` and `Quantity`.
     """
-    first = raw.groupBy("header").agg(F.min(F.struct("line_id", "col")).alias("at")).orderBy("at", "header").limit(MOST_COLUMNS + 1)
+    bare = full.join(raw.select("line_id").distinct(), "line_id", "left_anti").select("line_id", F.explode(F.array(
+        F.struct(F.lit("Requested Description").alias("header"), F.coalesce("requested_description", F.lit("")).alias("text"), F.lit(0).alias("col")),
+        F.struct(F.lit("Quantity").alias("header"), F.coalesce(number_text(F.col("quantity")), F.lit("")).alias("text"), F.lit(1).alias("col")),
+    )).alias("x")).select("line_id", "x.*")
+    cells = raw.select("line_id", "header", "text", "col").unionByName(bare)
+    first = cells.groupBy("header").agg(F.min(F.struct("line_id", "col")).alias("at")).orderBy("at", "header").limit(width)
     headers = [r.header for r in first.collect()]
-    headers, more = headers[:MOST_COLUMNS], len(headers) > MOST_COLUMNS
-    each = raw.groupBy("line_id", "header").agg(F.min_by("text", "col").alias("text"))
-    cells = each.groupBy("line_id").agg(F.map_from_entries(F.collect_list(F.struct("header", "text"))).alias("cells"))
-    kept = [F.col("cells")[F.lit(h)].alias(h) for h in headers]
-    known = F.array(*(F.lit(h) for h in headers))
-    rest = [F.map_filter("cells", lambda k, _: ~F.array_contains(known, k)).alias(OTHER_CELLS)] if more else []
-    return results.join(cells, "line_id", "left").select(*kept, *rest, *(F.col(f"`{c}`") for c in results.columns))
+    each = cells.groupBy("line_id", "header").agg(F.min_by("text", "col").alias("text"))
+    held = each.groupBy("line_id").agg(F.map_from_entries(F.collect_list(F.struct("header", F.coalesce("text", F.lit("")).alias("text")))).alias("cells"))
+    known = F.array(*(F.lit(h) for h in headers)) if headers else F.array().cast("array<string>")
+    kept = [F.coalesce(F.try_element_at("cells", F.lit(h)), F.lit("")).alias(h) for h in headers]
+    rest = F.map_filter("cells", lambda k, _: ~F.array_contains(known, k)).alias(OTHER_CELLS)
+    return full.join(held, "line_id", "left").select(*kept, rest, *(F.col(f"`{c}`") for c in ["line_id", *ADDED]))
 
 
 def write_csv(rows: DataFrame, path: str, mark: bool = True) -> None:

@@ -121,8 +121,8 @@ def identity(pairs: DataFrame, query: str, value: str, name: str) -> DataFrame:
     pairs = pairs.withColumns({"i_extra": F.filter(cs, lambda w: ~F.contains(qc, w)), "i_hits": F.filter(qs, lambda w: some(w) & F.contains(cc, w)), "i_eligible": F.size(F.filter(qs, some))})
     extra, hits, coverage = F.col("i_extra"), F.col("i_hits"), F.size("i_hits") / F.greatest(F.col("i_eligible"), F.lit(1))
     generic = lambda w: ~w.rlike("[0-9]") & (F.length(w) <= 2)
-    prefix = F.round(F.least(F.lit(78.0), 38.0 + 42.0 * F.length(qc) / F.length(cc)), 4)
-    inside = F.round(F.least(F.lit(78.0), 36.0 + 32.0 * coverage - 6.0 * F.least(F.size(extra), F.lit(3))), 4)
+    prefix = round_even(F.least(F.lit(78.0), 38.0 + 42.0 * F.length(qc) / F.length(cc)))
+    inside = round_even(F.greatest(F.lit(0.0), F.least(F.lit(78.0), 36.0 + 32.0 * coverage - 6.0 * F.least(F.size(extra), F.lit(3)))))
     weak = ((F.size(qs) == 1) & generic(F.get(qs, F.lit(0)))) | (F.length(qc) < 4)
     score = (
         F.when((q == "") | (c == ""), 0.0)

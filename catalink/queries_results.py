@@ -46,18 +46,11 @@ def k8(spark, d):
     return _part(spark, d, "'see ' || 'Q' || ' AB-' || p_partkey || '-X' AS t").select("id", F.get(explain.identifier_spans(F.upper("t")), F.lit(0))["text"].alias("first"))
 
 
-@_query("f7_normalized", "SELECT p_partkey AS id, upper(p_name) || ' AND 1.5 A/B C ' || p_size AS text FROM part")
-def f7(spark, d):
+@_query("f2_normalized", "SELECT p_partkey AS id, upper(p_name) || ' AND 1.5 A/B C ' || p_size AS text FROM part")
+def f2(spark, d):
     return _part(spark, d, "p_name || ' & 1.5, a / b - c (' || p_size || ')' AS t").select("id", T.normalize_text(c("t")).alias("text"))
 
 
-@_query("p6_cells", "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN p_size::varchar WHEN 1 THEN p_size || '.5' WHEN 2 THEN '2024-02-' || lpad((p_partkey % 28 + 1)::varchar, 2, '0') ELSE p_name END AS text FROM part")
-def p6(spark, d):
-    value = "CASE p_partkey % 4 WHEN 0 THEN p_size || '.0' WHEN 1 THEN p_size || '.5' WHEN 2 THEN '2024-02-' || lpad(cast(p_partkey % 28 + 1 AS string), 2, '0') || ' 10:30:00' ELSE p_name END AS v"
-    kind = "CASE p_partkey % 4 WHEN 0 THEN 'number' WHEN 1 THEN 'number' WHEN 2 THEN 'date' ELSE 'text' END AS k"
-    return _part(spark, d, value, kind).select("id", ingest.cell_text(c("v"), c("k")).alias("text"))
-
-
 @_query("p16_bad_quantity", "SELECT p_partkey AS id, p_partkey % 4 = 3 AS bad, CASE p_partkey % 4 WHEN 0 THEN 1000.0 + p_size WHEN 1 THEN p_size::double END AS quantity FROM part")
 def p16(spark, d):
     rows = _part(spark, d, "CASE p_partkey % 4 WHEN 0 THEN '1,0' || lpad(cast(p_size AS string), 2, '0') WHEN 1 THEN ' ' || p_size WHEN 2 THEN '  ' ELSE p_name END AS t")
@@ -66,30 +59,17 @@ def p16(spark, d):
 
 def _cells(spark, d):
     """Files of quote cells: two rows of preamble, a header, one row per part, a repeated header and a total."""
-    head = [(f"f{i}", r, col, v, "text") for i in range(5) for r, col, v in ((1, 1, "QUOTE"), (3, 1, "Catalog #"), (3, 2, "Product_Description"), (3, 3, "Order QTY"), (4, 2, "Description"), (4, 3, "Qty"), (5, 2, "Sub total"), (5, 3, "9"))]
+    head = [(f"f{i}", r, col, v, "text") for i in range(5) for r, col, v in ((1, 1, "QUOTE"), (1, 2, "of May"), (3, 1, "Catalog #"), (3, 2, "Product_Description"), (3, 3, "Order QTY"), (4, 2, "Description"), (4, 3, "Qty"), (5, 2, "Sub total"), (5, 3, "9"))]
     head = spark.createDataFrame(head, "file string, row long, col int, value string, kind string")
     body = A.read(spark, d, "part").selectExpr("concat('f', p_partkey % 5) AS file", "p_partkey + 10 AS row", "explode(array(named_struct('col', 1, 'value', concat('C', p_partkey), 'kind', 'text'), named_struct('col', 2, 'value', CASE WHEN p_partkey % 11 = 0 THEN ' ' ELSE p_name END, 'kind', 'text'), named_struct('col', 3, 'value', concat(p_size, '.0'), 'kind', 'number'))) AS x")
     return head.unionByName(body.select("file", "row", "x.*"))
 
 
-@_query("p9_header_fields", "SELECT 'f' || i AS file, 3 AS header_row, unnest(['description', 'quantity', 'part_number']) AS field, unnest([2, 3, 1]) AS col FROM range(5) t(i)")
-def p9(spark, d):
-    return ingest.header_fields(_cells(spark, d))
-
-
-@_query("s6_quote_lines", "SELECT 'f' || p_partkey % 5 AS source_file, p_partkey + 10 AS source_row, p_name AS requested_description, p_size::double AS quantity FROM part WHERE p_partkey % 11 <> 0")
+@_query("s6_quote_lines", "SELECT 'f' || p_partkey % 5 AS source_file, p_partkey + 10 AS source_row, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE p_name END AS requested_description, p_size::double AS quantity FROM part")
 def s6(spark, d):
     return ingest.quote_lines(_cells(spark, d)).select("source_file", "source_row", "requested_description", "quantity")
 
 
-@_query("p14_page_lines", "SELECT 'f' || p_partkey AS file, 'Page 1' AS source_sheet, 3 AS source_row, p_name AS requested_description, p_size::double AS quantity FROM part")
-def p14(spark, d):
-    texts = [(1, 1, "'LIST OF GOODS'"), (1, 2, "'Item Description Qty'"), (1, 3, "concat(p_name, ' ', p_size)"), (1, 4, "'12.50'"), (2, 1, "'LIST OF GOODS'"), (2, 2, "'Total 5'"), (2, 3, "''")]
-    lines = ", ".join(f"named_struct('page', {p}, 'line_no', {n}, 'text', {t})" for p, n, t in texts)
-    rows = A.read(spark, d, "part").selectExpr("concat('f', p_partkey) AS file", f"explode(array({lines})) AS x").select("file", "x.*")
-    return ingest.page_lines(rows).select("file", "source_sheet", "source_row", "requested_description", "quantity")
-
-
 # --- measures and scores
 @_query("n9_clamp", "SELECT p_partkey AS id, printf('%.4f', greatest(0.0::double, least(100.0::double, x)))::double AS value FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN (p_partkey % 999983 * 10 + 5) / 100000.0::double WHEN 1 THEN (p_partkey % 4096 - 64) / 32.0::double ELSE p_partkey % 1009 / 7.0::double END AS x FROM part)")
 def n9(spark, d):
@@ -110,8 +90,8 @@ def n7(spark, d):
     return rows.select("id", U.overlap_status(c("a").cast("array<int>"), c("b").cast("array<int>")).alias("state"))
 
 
-@_query("n8_voltage_state", "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'none' WHEN p_partkey % 3 = 1 THEN CASE WHEN p_size % 2 = 0 THEN 'match' ELSE 'conflict' END ELSE CASE WHEN p_size % 2 = 0 THEN 'conflict' ELSE 'match' END END AS state FROM part")
-def n8(spark, d):
+@_query("n7_voltage_state", "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'none' WHEN p_partkey % 3 = 1 THEN CASE WHEN p_size % 2 = 0 THEN 'match' ELSE 'conflict' END ELSE CASE WHEN p_size % 2 = 0 THEN 'conflict' ELSE 'match' END END AS state FROM part")
+def n7v(spark, d):
     rows = _part(spark, d, "CASE p_partkey % 3 WHEN 0 THEN 'no volts' WHEN 1 THEN '120 volts' ELSE '120 VAC' END AS a", "CASE WHEN p_size % 2 = 1 AND p_partkey % 3 = 1 THEN '240 VAC' WHEN p_size % 2 = 0 AND p_partkey % 3 = 2 THEN '120 VDC' ELSE '120 VAC' END AS b")
     return rows.select("id", U.voltage_status(U.voltages(c("a")), U.voltages(c("b"))).alias("state"))
 
@@ -168,15 +148,6 @@ def d7(spark, d):
     return rows.select("id", explain.code_reason(c("asked"), c("stored")).alias("reason"))
 
 
-@_query("d8_candidate_reasons", f"""SELECT id, concat_ws('|', CASE WHEN e >= 100 THEN CASE WHEN id % 2 = 0 THEN 'Exact normalized description match' ELSE 'Exact match after synonym/abbreviation normalization|Description differs only by abbreviation' END END,
-    CASE WHEN id % 5 = 0 THEN 'Multiple products have the same description' END, CASE WHEN id % 3 = 0 THEN 'Voltage matched: 120|Size matched: 1.000000IN' END, CASE WHEN e < 100 AND f > 0 THEN 'Character similarity ' || f::int || '.0%' END,
-    CASE WHEN e < 100 AND f = 0 AND id % 3 <> 0 AND id % 5 <> 0 THEN 'Partial description similarity' END) AS reasons FROM {_FOUR}""")
-def d8(spark, d):
-    rows = _four(spark, d).join(_part(spark, d, *(f"{v} AS tags_{k}" for k, v in _TAGS.items())), "id")
-    reasons = explain.candidate_reasons(c("tags_a"), c("tags_b"), c("e"), c("f"), c("id") % 5 == 0, c("id") % 2 == 0)
-    return rows.select("id", F.array_join(reasons, "|").alias("reasons"))
-
-
 _KINDS = "SELECT *, ['EXACT_MATCH', 'HIGH_CONFIDENCE', 'REVIEW_REQUIRED', 'NO_MATCH'][id % 4 + 1] AS state, CASE WHEN id % 11 <> 0 THEN t - s END AS gap FROM (" + _CASES + ")"
 
 
@@ -207,8 +178,8 @@ def d15h(spark, d):
     return rows.select("id", line.alias("headline"))
 
 
-@_query("d16_contribution", f"SELECT id, CASE WHEN id % 7 = 0 THEN 'partial' WHEN t >= 99.5 THEN 'exact' WHEN t >= 70 THEN 'strong' WHEN t >= 40 THEN 'partial' ELSE 'none' END AS level, CASE WHEN id % 7 = 0 THEN 'Partial match' WHEN t >= 99.5 THEN 'Exact match' WHEN t >= 70 THEN 'Strong match' WHEN t >= 40 THEN 'Partial match' ELSE 'No match' END AS label, t AS score FROM {_FOUR}")
-def d16(spark, d):
+@_query("d15_contribution", f"SELECT id, CASE WHEN id % 7 = 0 THEN 'partial' WHEN t >= 99.5 THEN 'exact' WHEN t >= 70 THEN 'strong' WHEN t >= 40 THEN 'partial' ELSE 'none' END AS level, CASE WHEN id % 7 = 0 THEN 'Partial match' WHEN t >= 99.5 THEN 'Exact match' WHEN t >= 70 THEN 'Strong match' WHEN t >= 40 THEN 'Partial match' ELSE 'No match' END AS label, t AS score FROM {_FOUR}")
+def d15c(spark, d):
     return _four(spark, d).select("id", explain.contribution(c("t"), c("id") % 7 == 0).alias("x")).select("id", "x.*")
 
 
@@ -229,64 +200,11 @@ _R = "SELECT p_partkey AS id, ['EXACT_MATCH', 'HIGH_CONFIDENCE', 'REVIEW_REQUIRE
 
 def _results(spark, d):
     state = "element_at(array('EXACT_MATCH', 'HIGH_CONFIDENCE', 'REVIEW_REQUIRED', 'NO_MATCH'), cast(p_partkey % 4 + 1 AS int))"
-    item = lambda rank, score_: f"named_struct('rank', {rank}, 'product_code', concat('K', p_partkey, '-', {rank}), 'score', cast({score_} AS double), 'orderable', CASE WHEN {rank} = 2 THEN concat('ORD', p_partkey) END, 'description', p_name)"
+    item = lambda rank, score_: f"named_struct('rank', {rank}, 'product_code', concat('K', p_partkey, '-{rank}'), 'product_id', concat('id', p_partkey, '-{rank}'), 'score', cast({score_} AS double), 'orderable', CASE WHEN {rank} = 2 THEN concat('ORD', p_partkey) END, 'description', concat(p_name, CASE WHEN {rank} = 2 THEN ' two' ELSE '' END), 'canonical', CASE WHEN p_partkey % (3 * {rank}) = 0 THEN 'SAME' ELSE 'C{rank}' END, 'reasons', array('why'))"
     items = f"array({item(1, 'p_partkey % 101')}, {item(2, 'CASE WHEN p_partkey % 5 = 0 THEN p_partkey % 101 - 0.5 ELSE p_partkey % 101 - 3 END')})"
     matched = f"CASE WHEN {state} IN ('EXACT_MATCH', 'HIGH_CONFIDENCE') THEN concat('K', p_partkey, '-1') END AS matched_part"
-    return A.read(spark, d, "part").selectExpr("p_partkey AS line_id", "concat(p_name, ' ', p_partkey) AS requested_description", "CASE WHEN p_partkey % 3 = 0 THEN cast(p_size AS double) END AS quantity", f"{state} AS status", matched, "CASE WHEN p_partkey % 8 = 0 THEN concat('ORD', p_partkey) END AS matched_orderable", "cast(p_partkey % 101 AS double) AS percentage", f"CASE WHEN {state} = 'NO_MATCH' THEN filter({items}, x -> false) ELSE {items} END AS candidates", "2 AS candidate_count")
-
-
-@_query("i1_needed", f"SELECT id AS line_id FROM ({_R}) WHERE state IN ('HIGH_CONFIDENCE', 'REVIEW_REQUIRED')")
-def i1(spark, d):
-    return adjudicate.needed(_results(spark, d)).select("line_id")
-
-
-_OPINION = "CASE WHEN tie THEN 'REVIEW_REQUIRED' WHEN t >= 90 THEN 'CONFIDENT_MATCH' WHEN t < 50 THEN 'NO_CONFIDENT_MATCH' ELSE 'REVIEW_REQUIRED' END AS decision, CASE WHEN tie THEN 40.0 WHEN t >= 90 THEN 95.0 WHEN t < 50 THEN 10.0 ELSE 55.0 END::double AS confidence"
-
-
-@_query("i3_heuristic", f"SELECT id AS line_id, {_OPINION} FROM ({_R}) WHERE state IN ('HIGH_CONFIDENCE', 'REVIEW_REQUIRED')")
-def i3(spark, d):
-    x = adjudicate.needed(_results(spark, d)).select("line_id", adjudicate.heuristic(c("candidates")).alias("x"))
-    return x.select("line_id", "x.decision", "x.confidence")
-
-
-@_query("i4_policy", f"SELECT id, CASE WHEN id % 3 = 0 AND t >= 90 THEN 'HIGH_CONFIDENCE' WHEN id % 3 = 1 AND t < 50 THEN 'NO_MATCH' ELSE 'REVIEW_REQUIRED' END AS status FROM {_FOUR}")
-def i4(spark, d):
-    decision = F.when(c("id") % 3 == 0, "CONFIDENT_MATCH").when(c("id") % 3 == 1, "NO_CONFIDENT_MATCH").otherwise("REVIEW_REQUIRED")
-    return _four(spark, d).select("id", adjudicate.policy(decision, c("t")).alias("status"))
-
-
-@_query("i5_combined", f"SELECT id, CASE WHEN id % 4 = 0 THEN t ELSE least(t, f) END AS confidence FROM {_FOUR}")
-def i5(spark, d):
-    return _four(spark, d).select("id", adjudicate.combined(c("t"), F.when(c("id") % 4 != 0, c("f"))).alias("confidence"))
-
-
-@_query("i6_parsed", "SELECT p_partkey AS line_id, CASE WHEN p_partkey % 4 = 0 THEN 'CONFIDENT_MATCH' ELSE 'REVIEW_REQUIRED' END AS decision, CASE WHEN p_partkey % 4 = 0 THEN 'K' || p_partkey END AS part, CASE WHEN p_partkey % 4 = 0 THEN (p_partkey % 101)::double ELSE 0.0 END AS confidence FROM part")
-def i6(spark, d):
-    body = "CASE p_partkey % 4 WHEN 0 THEN concat('{\"decision\": \"CONFIDENT_MATCH\", \"part\": \"K', p_partkey, '\", \"confidence\": ', p_partkey % 101, '}') WHEN 1 THEN 'no json' WHEN 2 THEN '{\"decision\": \"PERHAPS\", \"confidence\": 5}' ELSE '{\"decision\": \"CONFIDENT_MATCH\", \"confidence\": 500}' END AS body"
-    return adjudicate.parsed_opinions(A.read(spark, d, "part").selectExpr("p_partkey AS line_id", body))
-
-
-@_query("i8_adjudicated", f"""SELECT line_id, decision, part, rejected, CASE WHEN rejected IS NOT NULL THEN 'REVIEW_REQUIRED' WHEN decision = 'CONFIDENT_MATCH' THEN 'HIGH_CONFIDENCE' WHEN decision = 'NO_CONFIDENT_MATCH' THEN 'NO_MATCH' ELSE 'REVIEW_REQUIRED' END AS status, least(t, confidence)::double AS confidence FROM (SELECT *, CASE WHEN part IS NOT NULL AND line_id % 3 = 0 THEN 'not in the catalog' WHEN part IS NOT NULL AND line_id % 7 = 0 THEN 'a family, not a product' END AS rejected
-    FROM (SELECT id AS line_id, t, {_OPINION}, CASE WHEN NOT tie AND t >= 90 THEN 'K' || id || '-1' END AS part FROM ({_R}) WHERE state IN ('HIGH_CONFIDENCE', 'REVIEW_REQUIRED')))""")
-def i8(spark, d):
-    part = A.read(spark, d, "part")
-    code = "concat('K', p_partkey, '-1') AS code"
-    done = adjudicate.adjudicated(_results(spark, d), part.where("p_partkey % 3 <> 0").selectExpr(code), part.where("p_partkey % 7 = 0").selectExpr(code))
-    return done.select("line_id", "decision", "part", "rejected", "status", "confidence")
-
-
-@_query("j14_selected", f"SELECT id AS line_id, CASE WHEN state = 'REVIEW_REQUIRED' AND id % 3 = 0 THEN 'HIGH_CONFIDENCE' ELSE state END AS status, CASE WHEN state = 'REVIEW_REQUIRED' AND id % 3 = 0 THEN 'K' || id || '-2' WHEN state IN ('EXACT_MATCH', 'HIGH_CONFIDENCE') THEN 'K' || id || '-1' END AS matched_part FROM ({_R})")
-def j14(spark, d):
-    picks = A.read(spark, d, "part").selectExpr("p_partkey AS line_id", "concat('K', p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '-2' ELSE '-9' END) AS product_code")
-    return decide.selected(_results(spark, d), picks).select("line_id", "status", "matched_part")
-
-
-@_query("j15_differences", f"SELECT id AS line_id, CASE WHEN id % 3 = 0 THEN 'NEW' WHEN id % 3 = 1 AND state <> 'NO_MATCH' THEN 'CHANGED' ELSE 'SAME' END AS change FROM ({_R})")
-def j15(spark, d):
-    rows = _results(spark, d)
-    before = rows.where("line_id % 3 <> 0").withColumn("status", F.when(c("line_id") % 3 == 1, "NO_MATCH").otherwise(c("status")))
-    found = decide.differences(before, rows)
-    return found.select(F.substring_index("requested_description", " ", -1).cast("long").alias("line_id"), "change")
+    more = ["cast(null AS string) AS matched_description", "p_partkey % 8 = 0 AS part_number_match", "cast(p_partkey % 101 AS double) AS top_score", "cast(null AS string) AS match_type_label", "array('first', 'second') AS reasons"]
+    return A.read(spark, d, "part").selectExpr("p_partkey AS line_id", "concat(p_name, ' ', p_partkey) AS requested_description", "CASE WHEN p_partkey % 3 = 0 THEN cast(p_size AS double) END AS quantity", f"{state} AS status", matched, "CASE WHEN p_partkey % 8 = 0 THEN concat('ORD', p_partkey) END AS matched_orderable", "cast(p_partkey % 101 AS double) AS percentage", f"CASE WHEN {state} = 'NO_MATCH' THEN filter({items}, x -> false) ELSE {items} END AS candidates", "2 AS candidate_count", *more)
 
 
 @_query("a4_summary", f"SELECT count(*) AS total, count(*) FILTER (WHERE state IN ('EXACT_MATCH', 'HIGH_CONFIDENCE')) AS matched, count(*) FILTER (WHERE state = 'REVIEW_REQUIRED') AS review, count(*) FILTER (WHERE state = 'NO_MATCH') AS no_match FROM ({_R})")
@@ -294,17 +212,7 @@ def a4(spark, d):
     return decide.summary(_results(spark, d))
 
 
-@_query("s13_order_rows", f"SELECT id AS line_id, CASE WHEN id % 8 = 0 THEN 'ORD' || id ELSE 'K' || id || '-1' END AS item, CASE WHEN id % 3 = 0 THEN p_size::double ELSE 1.0 END AS quantity FROM ({_R}) JOIN part ON p_partkey = id WHERE state IN ('EXACT_MATCH', 'HIGH_CONFIDENCE')")
-def s13(spark, d):
-    return export.order_rows(_results(spark, d))
-
-
 @_query("d13_csv_rows", f"SELECT p_name || ' ' || id AS text, CASE WHEN state IN ('EXACT_MATCH', 'HIGH_CONFIDENCE') THEN p_name ELSE '' END AS matched_text, t::varchar AS percentage, CASE state WHEN 'NO_MATCH' THEN 'LOW' WHEN 'REVIEW_REQUIRED' THEN 'REVIEW' ELSE 'HIGH' END AS confidence, CASE WHEN state = 'NO_MATCH' THEN '' ELSE 'K' || id || '-1 (' || t || '); K' || id || '-2 (' || CASE WHEN tie THEN rtrim(rtrim(printf('%.2f', t - 0.5), '0'), '.') ELSE (t - 3)::varchar END || ')' END AS top FROM ({_R}) JOIN part ON p_partkey = id")
 def d13(spark, d):
     rows = export.csv_rows(_results(spark, d))
     return rows.select(c("Requested Description").alias("text"), c("Matched Description").alias("matched_text"), c("Matching Percentage").alias("percentage"), c("Confidence").alias("confidence"), c("Top Candidates").alias("top"))
-
-
-@_query("k6_top_columns", f"SELECT id AS line_id, CASE WHEN state <> 'NO_MATCH' THEN 'K' || id || '-1' END AS product_1, CASE WHEN state <> 'NO_MATCH' THEN 'ORD' || id END AS product_2, CAST(NULL AS VARCHAR) AS product_3 FROM ({_R})")
-def k6(spark, d):
-    return export.full_rows(_results(spark, d)).select("line_id", "product_1", "product_2", "product_3")
