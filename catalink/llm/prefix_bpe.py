@@ -121,17 +121,23 @@ class Merges:
 
     def last(self, word: bytes, end: int, states: list[int] | array) -> tuple[int, int]:
         """The last token of word[:end] and where it begins, from the last tokens of shorter prefixes (states[n] of word[:n])."""
-        step, token_at, state, at, ways = self.step, self.token_at, 0, end, []
+        step, token_at, pairs, state, at, ways = self.step, self.token_at, self.pairs, 0, end, []
         while at:
             state = step.get(state << 8 | word[at - 1])
             if state is None:
                 break
             at -= 1
-            token = token_at[state]
-            if token >= 0:
-                ways.append((token, at))
-        for token, at in reversed(ways):
-            if self.stands(states[at], token) if at else self.whole[token]:
+            if token_at[state] >= 0:
+                ways.append(at)
+                ways.append(token_at[state])
+        while ways:
+            token, at = ways.pop(), ways.pop()
+            if not at:
+                if self.whole[token]:
+                    return token, at
+                continue
+            fits = pairs.get(states[at] << 20 | token)
+            if self.stands(states[at], token) if fits is None else fits:
                 return token, at
         raise ValueError("no token ends here")
 
