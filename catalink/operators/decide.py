@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..functions import text as T
 from ..functions.text import percent_text
 from ..vocab import MatchingConfig
 from . import explain
+from ..plans.stages import staged
+from .score import overall as overall_score
 from .score import round_even
 
 KNOWN = ("exact", "normalized_exact", "partial")
@@ -61,55 +65,164 @@ def capped(value: Column, state: Column, contested: Column, c: MatchingConfig =
     return round_even(F.when(contested | (state == "REVIEW_REQUIRED"), F.least(value, F.lit(c.ambiguous_cap))).otherwise(value))
 
 
+#: What a published candidate holds.
+CANDIDATE = (
+    "rank int, product_code string, product_id string, catalog_id string, name string, orderable string, description string, description2 string, canonical string, score double, match_reason string, reasons array<string>, "
+    "field_scores struct<productcode:double,name:double,description:double,description2:double>, "
+    "fields array<struct<field:string,level:string,label:string,score:double>>, "
+    "evidence struct<match_type:string,matching_tokens:array<string>,additional_catalog_tokens:array<string>,normalized_terms:array<string>,unit_lines:array<string>,numeric_unit_score:double,numeric_conflict:boolean>"
+)
+
+
+def shaped(rows: DataFrame) -> DataFrame:
+    """Adds to candidates (see `plans.match.candidates_of`), ranked, the struct `shape` of what is published of each."""
+    kind = F.col("ident_type")
+    columns = {
+        "rank": F.col("rank"), "product_code": F.col("product_code"), "product_id": F.col("external_id"), "catalog_id": F.col("product_id").cast("string"), "name": F.col("name"), "orderable": F.col("orderable"), "description": F.col("description"),
+        "description2": F.col("description2"), "canonical": F.col("canonical"), "score": F.col("score"), "match_reason": explain.candidate_headline(kind, F.col("evidence.normalized_terms"), F.col("reasons")), "reasons": F.col("reasons"),
+        "field_scores": F.col("fields"), "fields": explain.shown_fields(F.col("fields")), "evidence": F.col("evidence"),
+    }
+    return rows.withColumn("shape", F.struct(*(x.alias(n) for n, x in columns.items())).cast(f"struct<{_ddl(CANDIDATE)}>"))
+
+
+def _ddl(fields: str) -> str:
+    """Fields of a table as those of a struct."""
+    return re.sub(r"(^|, )(\w+) ", r"\1\2:", fields)
+
+
 def decided(candidates: DataFrame, lines: DataFrame, c: MatchingConfig = MatchingConfig()) -> DataFrame:
-    """One row per line (line_id, ...) with status, match and published candidates.
+    """One row per line (line_id, force_review, stated_score, extra) that text decides: status, match, scores, reasons and candidates.
 
-    candidates: line_id, product_id, product_code, orderable, description, canonical, score, exact,
-    ident (struct of `score.identity`), ident_type, numeric_conflict.
+    candidates: those of `plans.match.by_text`. force_review keeps a line from being matched; stated_score
+    is the part number's, null where none is stated; extra are reasons that come first.
     """
-    rows = ranked(candidates)
-    same = Window.partitionBy("line_id", "canonical")
-    rows = rows.withColumn("same", F.count(F.lit(1)).over(same)).withColumn("spread", F.max("score").over(same) - F.min("score").over(same))
-    at = lambda n, field: F.max(F.when(F.col("rank") == n, F.col(field)))
-    listed = F.sort_array(F.collect_list(F.when(F.col("rank") <= c.published, F.struct("rank", "product_code", "score", "orderable", "description"))))
-    identities = F.sort_array(F.collect_list(F.when(F.col("ident_type").isin(*KNOWN) & (F.col("rank") <= c.max_candidates), F.struct("rank", "product_code", "ident"))))
-    per_line = rows.groupBy("line_id").agg(
-        listed.alias("candidates"),
-        F.slice(identities, 1, 2).alias("ids"),
-        F.least(F.max("rank"), F.lit(c.max_candidates)).alias("candidate_count"),
+    rows = shaped(ranked(candidates))
+    known = F.col("ident_type").isin(*KNOWN)
+    per = rows.groupBy("line_id").agg(
+        F.sort_array(F.collect_list(F.when(F.col("rank") <= c.max_candidates, F.col("shape")))).alias("listed"),
+        F.slice(F.sort_array(F.collect_list(F.when(known & (F.col("rank") <= c.max_candidates), F.struct("rank", "product_code", "ident")))), 1, 2).alias("ids"),
         F.count_if(F.col("exact") >= 100).alias("exact_rows"),
         F.count_if(F.col("ident_type").isin("exact", "normalized_exact")).alias("exact_ids"),
-        *(at(1, x).alias(f"first_{x}") for x in ("product_code", "orderable", "description", "ident_type", "numeric_conflict", "same", "spread")),
-        at(2, "product_code").alias("second_code"),
+        F.max(F.when(F.col("rank") == 1, F.struct("product_code", "exact", "ident_type", "ident_field", "numeric_conflict", "canonical"))).alias("first"),
+        F.max(F.when(F.col("rank") == 2, F.col("product_code"))).alias("second_code"),
     )
-    per_line = per_line.join(gaps(candidates), "line_id")
+    best = per.select("line_id", F.col("first.canonical").alias("top_canonical"))
+    alike = rows.join(best, "line_id").where("canonical = top_canonical").groupBy("line_id").agg(F.count(F.lit(1)).alias("same"), F.min_by("score", "rank").alias("one"), F.max_by("score", "rank").alias("last"))
+    per = per.join(gaps(candidates), "line_id").join(alike, "line_id", "left")
+    first = F.col("first")
+    led, sure = first["ident_type"].isin(*KNOWN), first["ident_type"].isin("exact", "normalized_exact")
+    by_code = first["ident_field"].isin("productcode", "name")
     one, two = F.get("ids", F.lit(0)), F.get("ids", F.lit(1))
-    led = F.col("first_ident_type").isin(*KNOWN)
-    contested = (two.isNotNull() & (one["product_code"] != two["product_code"]) & competing(one["ident"], two["ident"])) | (led & F.coalesce((F.col("score_gap") < c.min_gap) & (F.col("first_product_code") != F.col("second_code")), F.lit(False)))
-    per_line = per_line.withColumn("competing", F.coalesce(contested, F.lit(False)))
-    unique = ((F.col("exact_rows") == 1) | ((F.col("exact_ids") == 1) & F.col("first_ident_type").isin("exact", "normalized_exact"))) & ~F.col("competing")
-    duplicate = (F.col("first_same") > 1) & (F.col("first_spread") <= c.tie)
-    state = status(F.col("top_score"), F.col("second_score"), F.col("score_gap"), unique, duplicate, F.col("candidate_count"), F.col("first_ident_type"), F.col("competing"), F.coalesce("first_numeric_conflict", F.lit(False)), c)
-    state = F.when((state == "NO_MATCH") & led, "REVIEW_REQUIRED").otherwise(state)
-    per_line = per_line.withColumn("status", state)
-    per_line = per_line.withColumns({"unique": F.coalesce(unique, F.lit(False)), "duplicate": F.coalesce(duplicate, F.lit(False))})
-    found = lines.join(per_line, "line_id", "left").withColumn("status", F.coalesce("status", F.lit("NO_MATCH")))
-    reasons = explain.result_reasons(F.col("status"), F.coalesce("unique", F.lit(False)), F.coalesce("duplicate", F.lit(False)), F.coalesce("top_score", F.lit(0.0)), F.col("score_gap"), F.coalesce("candidate_count", F.lit(0)), c)
+    contested = F.coalesce(two.isNotNull() & (one["product_code"] != two["product_code"]) & competing(one["ident"], two["ident"]), F.lit(False))
+    tight = led & by_code & F.col("second_code").isNotNull() & (F.col("score_gap").isNull() | (F.col("score_gap") < c.min_gap)) & (first["product_code"] != F.col("second_code"))
+    per = per.withColumns({"competing": contested | F.coalesce(tight, F.lit(False)), "count": F.size("listed"), "led": led, "code_match": sure & F.coalesce(by_code, F.lit(False)), "duplicate": F.coalesce((F.col("same") > 1) & (F.abs(F.col("one") - F.col("last")) <= c.tie), F.lit(False))})
+    per = per.withColumn("unique", ((F.col("exact_rows") == 1) | ((F.col("exact_ids") == 1) & F.col("code_match"))) & ~F.col("competing"))
+    found = lines.join(per, "line_id", "left")
+    no = lambda name: F.coalesce(F.col(name), F.lit(False))
+    top, count = F.coalesce("top_score", F.lit(0.0)), F.coalesce("count", F.lit(0))
+    ident = F.coalesce(F.col("first.ident_type"), F.lit("none"))
+    state = status(top, F.col("second_score"), F.col("score_gap"), no("unique"), no("duplicate"), count, ident, no("competing"), F.coalesce(F.col("first.numeric_conflict"), F.lit(False)), c)
+    state = F.when((ident == "partial") & state.isin("EXACT_MATCH", "HIGH_CONFIDENCE"), "REVIEW_REQUIRED").when((state == "NO_MATCH") & no("led"), "REVIEW_REQUIRED").otherwise(state)
+    found = found.withColumn("status", state)
+    held = (no("competing") | F.col("force_review")) & (F.col("status") != "NO_MATCH")
+    found = found.withColumn("status", F.when(held, "REVIEW_REQUIRED").otherwise(F.col("status")))
     won = F.col("status").isin("EXACT_MATCH", "HIGH_CONFIDENCE")
-    nothing = F.expr("CAST(array() AS array<struct<rank:int,product_code:string,score:double,orderable:string,description:string>>)")
+    review = F.col("status") == "REVIEW_REQUIRED"
+    head = F.get("listed", F.lit(0))
+    none = F.array().cast("array<string>")
+    some = lambda test, *texts: F.when(test, F.array(*(F.lit(t) if isinstance(t, str) else t for t in texts))).otherwise(none)
+    code = F.coalesce(head["field_scores"]["productcode"], F.lit(0.0))
+    told = head["evidence"]["matching_tokens"]
+    base = explain.result_reasons(F.col("status"), no("unique"), no("duplicate"), top, F.col("score_gap"), count, c)
+    reasons = F.array_distinct(F.concat(
+        some(no("competing"), explain.COMPETING),
+        some(~no("competing") & (ident == "partial") & (code > 0), explain.identifier_headline(ident)),
+        some(~no("competing") & (ident == "partial") & (code > 0) & (F.size(told) > 0), F.concat(F.lit("Matching tokens: "), F.array_join(told, ", "))),
+        some(~no("competing") & ident.isin("exact", "normalized_exact") & (code > 0), explain.identifier_headline(ident)),
+        F.col("extra"),
+        some(no("competing"), explain.COMPETING, explain.COMPETING_CANDIDATES),
+        some(~no("competing") & won, explain.TEXT_UNIQUE),
+        some(~no("competing") & review & no("duplicate"), explain.TEXT_SEVERAL),
+        base,
+        F.coalesce(F.slice(head["reasons"], 1, 4), none),
+    ))
+    text_match = (count > 0) & ~no("code_match") & ((F.col("first.exact") >= 100) | ((F.coalesce(head["field_scores"]["description"], F.lit(0.0)) >= 70) & ~no("led")))
+    overall = capped(F.when(F.col("stated_score").isNotNull(), overall_score(F.col("stated_score"), top)).otherwise(top), F.col("status"), no("competing"), c)
     return found.select(
-        *lines.columns,
-        "status",
-        F.when(won, F.col("first_product_code")).alias("matched_part"),
-        F.when(won, F.col("first_orderable")).alias("matched_orderable"),
-        capped(F.coalesce("top_score", F.lit(0.0)), F.col("status"), F.coalesce("competing", F.lit(False)), c).alias("percentage"),
-        F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"),
-        reasons.alias("reasons"),
-        "top_score",
-        "second_score",
-        "score_gap",
-        F.when(F.col("status") == "NO_MATCH", nothing).otherwise(F.coalesce("candidates", nothing)).alias("candidates"),
+        "line_id", "status", *_of_winner(won, head), F.when((F.col("status") == "NO_MATCH") & (count == 0), 0.0).otherwise(overall).alias("percentage"), reasons.alias("reasons"), top.alias("top_score"), "second_score", "score_gap",
+        F.when(no("code_match"), 100.0).otherwise(F.col("stated_score")).alias("part_number_score"), top.alias("description_score"), no("code_match").alias("part_number_match"), F.coalesce(text_match, F.lit(False)).alias("description_match"), F.coalesce("listed", F.expr(f"CAST(array() AS array<struct<{_ddl(CANDIDATE)}>>)")).alias("candidates"),
+    )
+
+
+def _of_winner(won: Column, head: Column) -> list[Column]:
+    return [F.when(won, head[x]).alias(n) for n, x in (("matched_part", "product_code"), ("matched_orderable", "orderable"), ("matched_description", "description"), ("matched_id", "product_id"))]
+
+
+def named(parts: DataFrame, others: DataFrame, c: MatchingConfig = MatchingConfig()) -> DataFrame:
+    """One row per line whose identifier names one row (parts, those of `plans.match.by_identity`), as `decided`.
+
+    A text beside the identifier that is compatible, or none, makes an exact match; else the row comes first for
+    review, before the candidates by text (others: line_id, candidates).
+    """
+    rows = shaped(parts.withColumn("rank", F.lit(1))).join(others.select("line_id", F.col("candidates").alias("rest")), "line_id", "left")
+    good = ~F.col("conflict") & F.col("compatible")
+    more = F.filter(F.coalesce("rest", F.expr(f"CAST(array() AS array<struct<{_ddl(CANDIDATE)}>>)")), lambda x: x["product_code"] != F.col("product_code"))
+    rows = rows.withColumn("listed", F.when(good, F.array("shape")).otherwise(F.slice(F.concat(F.array("shape"), more), 1, c.max_candidates)))
+    scores = F.reverse(F.array_sort(F.transform("listed", lambda x: x["score"])))
+    rows = rows.withColumns({"top_score": F.get(scores, F.lit(0)), "second_score": F.get(scores, F.lit(1))})
+    own = F.col("external_id") != F.col("product_code")
+    none = F.array().cast("array<string>")
+    said = (
+        F.when(~good, F.array(F.lit(explain.PART_CONFLICT)))
+        .when(F.col("blank"), F.array("why"))
+        .when(own, F.array(F.when(F.col("why") == explain.OWN_EXACT, F.lit(explain.OWN_EXACT)).otherwise(F.lit(explain.PART_COMPATIBLE))))
+        .otherwise(F.array(F.col("why"), F.lit("Compatible name/description evidence")))
     )
+    return rows.select(
+        "line_id", F.when(good, "EXACT_MATCH").otherwise("REVIEW_REQUIRED").alias("status"), *_of_winner(good, F.col("shape")), overall_score(F.lit(100.0), F.col("description_score")).alias("percentage"),
+        F.array_distinct(F.concat(said, F.coalesce(F.slice("reasons", 1, 4), none))).alias("reasons"), "top_score", "second_score", round_even(F.col("top_score") - F.col("second_score")).alias("score_gap"),
+        F.lit(100.0).alias("part_number_score"), "description_score", F.lit(True).alias("part_number_match"), (~F.col("blank") & good).alias("description_match"), F.col("listed").alias("candidates"),
+    )
+
+
+def results(asked: DataFrame, found: DataFrame, parts: DataFrame | None, c: MatchingConfig = MatchingConfig()) -> DataFrame:
+    """One row per line of asked (those of `plans.match.interpreted`): what was decided, labelled, with published candidates and evidence."""
+    none = F.array().cast("array<string>")
+    extra = F.when(F.col("route") == "ambiguous", F.array(F.lit(explain.PART_SEVERAL), F.lit(explain.PART_UNKNOWN))).when(F.col("route") == "unknown", F.array(F.lit(explain.PART_UNKNOWN))).otherwise(none)
+    stated = F.col("route").isin("ambiguous", "unknown")
+    lines = asked.where("route IN ('ambiguous', 'unknown', 'text', 'identity')").select("line_id", "route", stated.alias("force_review"), F.when(stated, 0.0).alias("stated_score"), extra.alias("extra"))
+    text = staged(decided(found, lines, c).join(lines.select("line_id", "route"), "line_id"))
+    done = text.where("route <> 'identity'").drop("route")
+    if parts is not None:
+        done = done.unionByName(named(parts, text.where("route = 'identity'"), c))
+    rows = asked.select("line_id", "route", F.get("identifiers", F.lit(0)).alias("requested_identifier"), F.get("ids", F.lit(0)).alias("detected_id"), F.get("codes", F.lit(0)).alias("detected_part_number")).join(done, "line_id", "left")
+    empty = F.col("status").isNull()
+    silent = F.when(F.col("route") == "unknown_only", F.array(F.lit(explain.PART_UNKNOWN))).otherwise(F.array(F.lit(explain.NOTHING_SAID)))
+    rows = rows.withColumns({
+        "reasons": F.when(empty, silent).otherwise(F.col("reasons")), "percentage": F.coalesce("percentage", F.lit(0.0)), "top_score": F.coalesce("top_score", F.lit(0.0)), "part_number_score": F.when(empty & (F.col("route") == "unknown_only"), 0.0).otherwise(F.col("part_number_score")),
+        "part_number_match": F.coalesce("part_number_match", F.lit(False)), "description_match": F.coalesce("description_match", F.lit(False)), "status": F.coalesce("status", F.lit("NO_MATCH")),
+    })
+    return published(rows, c)
+
+
+def published(rows: DataFrame, c: MatchingConfig = MatchingConfig()) -> DataFrame:
+    """The best candidates of each line, none of a line without a match; their number; labels of matches; evidence of the result."""
+    nothing = F.expr(f"CAST(array() AS array<struct<{_ddl(CANDIDATE)}>>)")
+    kept = F.when(F.col("status") == "NO_MATCH", nothing).otherwise(F.coalesce(F.slice("candidates", 1, c.published), nothing))
+    # Places are those of the published list.
+    head = F.get("candidates", F.lit(0))
+    rows = rows.withColumn("head", head).withColumn("candidates", F.transform(kept, lambda x, i: x.withField("rank", (i + 1).cast("int"))))
+    ident = F.coalesce(F.col("head.evidence.match_type"), F.lit("none"))
+    won = F.col("status").isin("EXACT_MATCH", "HIGH_CONFIDENCE")
+    label = automatic_label(ident, F.col("part_number_match"), F.col("description_match"))
+    of = lambda name: F.coalesce(F.col(f"head.field_scores.{name}"), F.lit(0.0))
+    line = explain.headline(F.col("status"), ident, of("productcode"), of("name"), F.greatest(of("description"), of("description2")), F.col("second_score"), F.col("score_gap"), F.lit(False), F.col("part_number_match"), F.col("description_match"), F.coalesce(F.size("head.evidence.normalized_terms") > 0, F.lit(False)))
+    scores = [of(n) for n in ("productcode", "name", "description", "description2")]
+    rows = rows.withColumns({
+        "candidate_count": F.size("candidates"), "original_confidence": F.col("percentage"), "selection_type": F.when(won, "AUTOMATIC"), "match_type_label": F.when(won, label), "headline": line,
+        "breakdown": explain.breakdown(*scores, F.col("percentage"), F.array_join(F.slice("reasons", 1, 3), "; "), F.col("head.evidence.numeric_conflict"), ident), "fields": explain.shown_fields(F.struct(*(x.alias(n) for x, n in zip(scores, ("productcode", "name", "description", "description2"), strict=True)))),
+    })
+    return rows.drop("head")
 
 
 def line_key(file: Column, sheet: Column, row: Column, text: Column) -> Column:

@@ -14,6 +14,11 @@ from .score import round_even
 
 #: Reasons of part numbers, results and headlines.
 CODE_EXACT, CODE_NORMALIZED, CODE_PREFIX = "Exact Productcode match", "Normalized Productcode match", "Productcode match with NA1 prefix equivalence"
+OWN_EXACT, PART_EXACT = "Exact Salsify ID match", "Exact part number match"
+PART_COMPATIBLE, PART_CONFLICT = "Exact part number match and compatible product description.", "Exact part number found, but the requested description conflicts with the catalog description. Review required."
+TEXT_UNIQUE, TEXT_SEVERAL = "Description matched a unique catalog product.", "Description matched multiple catalog products. A part number or additional product attributes are required."
+PART_UNKNOWN, PART_SEVERAL = "Requested part number was not found in the catalog. Description candidates require review.", "Multiple catalog products share this part number. Review required."
+NOTHING_SAID, COMPETING, COMPETING_CANDIDATES = "No identifier or description candidate could be found.", "Multiple possible Productcode matches", "Multiple possible Productcode candidates"
 UNIQUE, ABOVE, SAME_TEXT = "Unique exact normalized description match", "Top candidate is above the high-confidence threshold", "Multiple products have the same description"
 UNDECIDED, NO_WINNER = "Insufficient information to choose a single part number", "Good candidates exist but a unique winner was not established"
 NOTHING, ONE_TEXT = "No catalog product reached the candidate floor", "Exactly one product shares this normalized description"
@@ -24,11 +29,16 @@ def _listed(*items: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(*items)))
 
 
-def code_reason(asked: Column, stored: Column) -> Column:
-    """How a requested part number meets a stored one."""
+def code_reason(asked: Column, stored: Column, own: Column | None = None) -> Column:
+    """How a requested part number meets a stored one, or the row's own identifier, if that is another."""
     left, right = T.part_number(asked), T.part_number(stored)
     same = F.array_contains(T.lookup_keys(stored), left)
-    return F.when(left == right, CODE_EXACT).when(same & (left.startswith("NA1-") != right.startswith("NA1-")), CODE_PREFIX).otherwise(CODE_NORMALIZED)
+    by_code = F.when(left == right, CODE_EXACT).when(same & (left.startswith("NA1-") != right.startswith("NA1-")), CODE_PREFIX).otherwise(CODE_NORMALIZED)
+    if own is None:
+        return by_code
+    mine = T.part_number(own)
+    by_own = F.when(left == mine, OWN_EXACT).when(left == right, PART_EXACT).when(F.array_contains(T.lookup_keys(own), left), OWN_EXACT).otherwise(PART_EXACT)
+    return F.when((mine != "") & (right != "") & (mine != right), by_own).otherwise(by_code)
 
 
 def result_reasons(state: Column, unique: Column, duplicate: Column, top: Column, gap: Column, candidates: Column, c: MatchingConfig = MatchingConfig()) -> Column:
@@ -58,6 +68,21 @@ def contribution(score: Column, partial: Column | None = None) -> Column:
     return F.struct(level.alias("level"), label.alias("label"), round_even(score, 2).alias("score"))
 
 
+#: Fields whose part in a match is shown, under their names for readers.
+SHOWN_FIELDS = {"name": "Part Number", "description": "Part Description", "description2": "Catalog Description"}
+
+
+def shown_fields(scores: Column) -> Column:
+    """Array of (field, level, label, score) of the fields of a struct of field scores."""
+    one = lambda name, label: F.struct(F.lit(label).alias("field"), *(contribution(F.coalesce(scores[name], F.lit(0.0)))[x].alias(x) for x in ("level", "label", "score")))
+    return F.array(*(one(n, x) for n, x in SHOWN_FIELDS.items()))
+
+
+def candidate_headline(kind: Column, terms: Column, reasons: Column) -> Column:
+    """Why a candidate is shown, in one line."""
+    return F.coalesce(identifier_headline(kind), F.when(F.size(terms) > 0, F.lit(ABBREVIATED)), F.get(reasons, F.lit(0)), F.lit("Catalog candidate"))
+
+
 def headline(state: Column, ident: Column, code: Column, name: Column, description: Column, second: Column, gap: Column, picked: Column, code_match: Column, text_match: Column, abbreviated: Column | None = None) -> Column:
     """One line that sums a result up: a person's pick, competing codes, a partial code, abbreviations, else the strongest fields."""
     abbreviated = F.lit(False) if abbreviated is None else abbreviated

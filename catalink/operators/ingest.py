@@ -33,15 +33,17 @@ def is_preferred(flag: Column) -> Column:
 
 
 def products(catalog: DataFrame) -> DataFrame:
-    """Matchable catalog rows: a name other than blank or `-`, a product if a record type is stated."""
+    """Matchable catalog rows: a name other than blank or `-`, a product if a record type is stated. A column external_id names a row beside its code; without one the code does."""
     name = F.trim(F.coalesce("name", F.lit("")))
     rows = catalog.withColumn("name", name).where(~F.col("name").isin("", "-"))
     if "record_type" in catalog.columns:
         rows = rows.where(F.lower(F.trim("record_type")) == "product")
     order = F.trim("orderablepartnumber") if "orderablepartnumber" in catalog.columns else F.lit(None).cast("string")
     flag = is_preferred(F.col("preferredflag")) if "preferredflag" in catalog.columns else F.lit(False)
+    own = F.coalesce(F.when(F.trim("external_id") != "", F.trim("external_id")), F.col("name")) if "external_id" in catalog.columns else F.col("name")
     return rows.select(
         F.coalesce("id", "productcode").alias("product_id"),
+        own.alias("external_id"),
         F.col("name").alias("product_code"),
         "name",
         "description",

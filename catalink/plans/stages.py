@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Used only where the session names no shared folder and all tasks run in one process, as in tests.
+LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+    return LOCAL_CHECKPOINTS
 
 
 def staged(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
-        if not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
-        context.setCheckpointDir("/tmp/checkpoints")  # only where none is named and all tasks run in one process, as in tests
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

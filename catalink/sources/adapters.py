@@ -15,6 +15,7 @@ CATALOG = {
     "name": f"CASE WHEN p_partkey % 50 = 0 THEN '-' ELSE {CODE} END",
     "description": "upper(concat(cast(p_size AS string), '\" ', p_name, ' ', p_type))",
     "description2": "concat(p_brand, ' ', p_name, ' ', cast(p_size AS string), ' IN')",
+    "external_id": f"concat('NA1-', {CODE})",
     "record_type": "CASE WHEN p_partkey % 97 = 0 THEN 'Family' ELSE 'product' END",
     "orderablepartnumber": "CASE WHEN p_partkey % 9 = 0 THEN concat('ORD-', cast(p_partkey AS string)) END",
     "preferredflag": "CASE WHEN p_partkey % 4 = 0 THEN ' Preferred' ELSE 'Not Preferred' END",
