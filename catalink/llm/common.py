@@ -94,20 +94,20 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: in
             yield batch.slice(a, b - a)
 
 
-def labelled_sample(rows: DataFrame, label: str, per_label: int, text: str, most_bytes: int = SAMPLE_BYTES, most_rows: int = SAMPLE_ROWS) -> DataFrame:
+def labelled_sample(rows: DataFrame, label: str, per_label: int, text: str | None = None, most_bytes: int = SAMPLE_BYTES, most_rows: int = SAMPLE_ROWS, seed: str = "sample") -> DataFrame:
     """About per_label rows (doc_id and others) of each label value, chosen by a hash of doc_id: the same at every run.
 
-    Over all labels the sample has about most_rows rows and most_bytes bytes of text at most in expectation, each
-    label an equal part of them, so its size is bounded whatever the table's, the number of labels and the
-    texts' lengths.
+    Over all labels the sample has about most_rows rows and, if text is named, most_bytes bytes of text at most in
+    expectation, each label an equal part of them, so its size is bounded whatever the table's, the number of
+    labels and the texts' lengths.
     """
-    size = F.coalesce(F.sum(F.octet_length(text)), F.lit(0))
+    size = F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) if text else F.lit(0)
     counts = rows.groupBy(F.col(label).alias("l")).agg(F.count(F.lit(1)).alias("rows"), size.alias("bytes"))
     few = counts.limit(FEW_LABELS + 1).collect()
     labels = len(few) if len(few) <= FEW_LABELS else counts.count()
     if len(few) <= FEW_LABELS:
         counts = F.broadcast(rows.sparkSession.createDataFrame(few, counts.schema))
-    share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     over = F.greatest(F.col("rows") / per_label, F.col("rows") * labels / most_rows, F.col("bytes") * labels / most_bytes)
     held = rows.join(counts.select("l", over.alias("n")), F.col(label) == F.col("l")).where(share * F.col("n") < 1)
     return held.select(*rows.columns)

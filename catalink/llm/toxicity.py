@@ -28,8 +28,10 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> gru
     """Fit on docs (doc_id, text) joined with labels (doc_id, toxic)."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known.distinct(), "doc_id")
-    rows = labelled_sample(texts, "toxic", per_label, "text").collect()
+    # At most about per_label rows of each of two labels are sent to the texts, which then are bounded by bytes, too.
+    sample = F.broadcast(labelled_sample(known, "toxic", per_label).distinct())
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(sample, "doc_id")
+    rows = labelled_sample(texts, "toxic", 1 << 30, "text", seed="bytes").collect()
     rows.sort(key=lambda r: (r.doc_id, r.toxic, r.text))
     y = np.asarray([int(r.toxic) for r in rows], dtype=np.int64)
     weights = np.asarray([counts[r.toxic] for r in rows], dtype=np.float64) / np.maximum(np.bincount(y, minlength=2), 1)[y] if len(y) else np.zeros(0)
