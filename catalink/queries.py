@@ -251,14 +251,14 @@ _TEXTS = "(SELECT id AS product_id, lower(concat_ws(' ', name, description, desc
 @_query("j3_strict_search", f"{A.cte('catalog', 'products')} SELECT p_name, p_type, product_id FROM (SELECT DISTINCT p_name, p_type FROM part), {_TEXTS} WHERE contains(x, split_part(p_name, ' ', 1)) AND contains(x, split_part(p_name, ' ', 2)) AND contains(x, lower(p_type))")
 def j3(spark, d):
     asked = A.read(spark, d, "part").select("p_name", "p_type").distinct().withColumn("query", F.concat_ws(" ", "p_name", "p_type")).withColumn("line_id", F.xxhash64("query"))
-    found = retrieve.text_candidates(asked, ingest.products(A.catalog(spark, d)), limit=1 << 30).where("tier = 0")
+    found = retrieve.fitting_rows(asked, ingest.products(A.catalog(spark, d))).where("tier = 0")
     return found.join(asked, "line_id").select("p_name", "p_type", "product_id")
 
 
 @_query("j4_partial_search", f"{A.cte('catalog', 'products')} SELECT p_name, p_type, product_id FROM (SELECT DISTINCT p_name, p_type FROM part), {_TEXTS} WHERE contains(x, split_part(p_name, ' ', 1))::int + contains(x, split_part(p_name, ' ', 2))::int + contains(x, lower(p_type))::int = 2 AND len(list_distinct([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), lower(p_type)])) = 3")
 def j4(spark, d):
     asked = A.read(spark, d, "part").select("p_name", "p_type").distinct().withColumn("query", F.concat_ws(" ", "p_name", "p_type")).withColumn("line_id", F.xxhash64("query"))
-    found = retrieve.text_candidates(asked, ingest.products(A.catalog(spark, d)), limit=1 << 30).where("tier = 1")
+    found = retrieve.fitting_rows(asked, ingest.products(A.catalog(spark, d))).where("tier = 1")
     return found.join(asked, "line_id").select("p_name", "p_type", "product_id")
 
 
@@ -362,7 +362,7 @@ def k3(spark, d):
 # --- the whole match
 @_query("m1_match_lines")
 def m1(spark, d):
-    return match_lines(A.lines(spark, d), A.catalog(spark, d), A.sales(spark, d)).select("line_id", "status", "matched_part", "percentage", "candidate_count")
+    return match_lines(A.lines(spark, d), A.catalog(spark, d), A.sales(spark, d)).select("line_id", "status", "matched_part", "percentage", "candidate_count", "route", "headline", F.array_join("reasons", "; ").alias("reasons"))
 
 
-from . import queries_results, queries_rules  # noqa: E402, F401  (register further queries)
+from . import queries_results, queries_rules, queries_sources  # noqa: E402, F401  (register further queries)
