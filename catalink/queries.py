@@ -365,4 +365,4 @@ def m1(spark, d):
     return match_lines(A.lines(spark, d), A.catalog(spark, d), A.sales(spark, d)).select("line_id", "status", "matched_part", "percentage", "candidate_count", "route", "headline", F.array_join("reasons", "; ").alias("reasons"))
 
 
-from . import queries_results, queries_rules, queries_sources  # noqa: E402, F401  (register further queries)
+from . import queries_parts, queries_results, queries_rules, queries_sources  # noqa: E402, F401  (register further queries)
