@@ -110,4 +110,5 @@ def write_csv(rows: DataFrame, path: str, mark: bool = True) -> None:
 
 
 def json_rows(results: DataFrame) -> DataFrame:
-    return results.select("line_id", F.to_json(F.struct(*results.columns)).alias("json"))
+    """One JSON document a line, missing values as null."""
+    return results.select("line_id", F.to_json(F.struct(*(F.col(f"`{c}`") for c in results.columns)), {"ignoreNullFields": "false"}).alias("json"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.stages import staged
+
 
 def by_shipto(sales: DataFrame) -> DataFrame:
     return _summed(sales.where("shipto IS NOT NULL"), "shipto")
@@ -18,6 +20,15 @@ def by_name(sales: DataFrame) -> DataFrame:
     return _summed(sales.where("trim(billtoname) <> ''").withColumn("billtoname", F.trim("billtoname")), "billtoname")
 
 
+def by_customer(sales: DataFrame) -> DataFrame:
+    """The sums of all three keys from one pass over the sales (grouping sets): shipto, billto, billtoname (one of them set), item_number, total_quantity."""
+    rows = sales.where("trim(itemnumber) <> ''").select("shipto", "billto", F.when(F.trim("billtoname") != "", F.trim("billtoname")).alias("billtoname"), F.trim("itemnumber").alias("item_number"), "orderquantity")
+    keys = ["shipto", "billto", "billtoname"]
+    sums = rows.groupingSets([[k, "item_number"] for k in keys], *keys, "item_number").agg(F.grouping_id().alias("set"), F.sum("orderquantity").alias("total_quantity"))
+    # A key that is missing in a sale makes a group of its own that belongs to no customer.
+    return sums.where("coalesce(cast(shipto AS string), cast(billto AS string), billtoname) IS NOT NULL").drop("set")
+
+
 def _summed(sales: DataFrame, key: str) -> DataFrame:
     rows = sales.where("trim(itemnumber) <> ''")
     return rows.groupBy(key, F.trim("itemnumber").alias("item_number")).agg(F.sum("orderquantity").alias("total_quantity"))
@@ -31,12 +42,13 @@ def purchases(pool: DataFrame, sales: DataFrame) -> DataFrame:
     """
     asked = pool.where("trim(customer_name) <> ''").select("line_id", F.trim("customer_name").alias("who"), "code").distinct()
     number = asked.where(F.col("who").rlike("^[0-9]+$")).withColumn("key", F.col("who").cast("bigint"))
-    ship = by_shipto(sales).select(F.col("shipto").alias("key"), F.col("item_number").alias("code"), "total_quantity")
-    bill = by_billto(sales).select(F.col("billto").alias("key"), F.col("item_number").alias("code"), "total_quantity")
+    sums = staged(by_customer(sales))
+    ship = sums.where("shipto IS NOT NULL").select(F.col("shipto").alias("key"), F.col("item_number").alias("code"), "total_quantity")
+    bill = sums.where("billto IS NOT NULL").select(F.col("billto").alias("key"), F.col("item_number").alias("code"), "total_quantity")
     tiers = number.join(ship, ["key", "code"]).withColumn("tier", F.lit(1)).unionByName(number.join(bill, ["key", "code"]).withColumn("tier", F.lit(2)))
     tiers = tiers.select("line_id", "code", "tier", "total_quantity")
     # Each distinct name is looked up by its rarest trigram in those of the distinct bill-to names, then joined by equality.
-    names = by_name(sales)
+    names = sums.where("billtoname IS NOT NULL").select("billtoname", "item_number", "total_quantity")
     asked_names = asked.where(~F.col("who").rlike("^[0-9]+$"))
     who, known = asked_names.select("who").distinct(), names.select("billtoname").distinct()
     pairs = contained(who, known).withColumnRenamed("billtoname", "held")

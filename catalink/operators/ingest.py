@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions.text import code_as_given, fold, once, quantity
+from ..functions.text import canonical, code_as_given, fold, once, quantity
 
 #: Header names of each field, best first.
 ALIASES = {
@@ -58,6 +58,25 @@ def sample_rows(catalog: DataFrame, n: int = 5) -> DataFrame:
     return catalog.orderBy("id").limit(n)
 
 
+def record_counts(catalog: DataFrame) -> DataFrame:
+    """(kind, n): rows of each record type; those without one count as products."""
+    kind = F.lower(F.trim(F.coalesce(F.when(F.trim("record_type") != "", F.col("record_type")), F.lit("product")))) if "record_type" in catalog.columns else F.lit("product")
+    return catalog.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_copies(products: DataFrame, text: str = "description") -> DataFrame:
+    """Adds copies: how many rows have the same canonical text; null for a blank one. Counted per text first, so a frequent text is one row of the join."""
+    canonical_text = F.when(F.trim(text) != "", canonical(F.col(text)))
+    rows = products.withColumn("canonical", canonical_text)
+    counts = rows.where("canonical IS NOT NULL").groupBy("canonical").agg(F.count(F.lit(1)).alias("copies"))
+    return rows.join(counts, "canonical", "left").drop("canonical")
+
+
+def with_customer(lines: DataFrame, customer: str | None) -> DataFrame:
+    """Lines as asked by one customer."""
+    return lines.withColumn("customer_name", F.lit(customer).cast("string"))
+
+
 def rows_with_codes(catalog: DataFrame, codes: DataFrame) -> DataFrame:
     """Rows whose code, name or either description is among codes (code): one semi-join per field, no OR-join."""
     keys = codes.select(F.col("code")).distinct()

@@ -195,14 +195,12 @@ for _key, _where in (("shipto", "shipto IS NOT NULL"), ("billto", "billto IS NOT
 
 @_query("a11_record_counts", A.cte("catalog") + " SELECT lower(record_type) AS kind, count(*) AS n FROM catalog GROUP BY 1")
 def a11(spark, d):
-    return A.catalog(spark, d).groupBy(F.lower("record_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return ingest.record_counts(A.catalog(spark, d))
 
 
 @_query("a6_duplicates", A.cte("catalog", "products") + " SELECT id AS product_id, count(*) OVER (PARTITION BY description) AS copies FROM products")
 def a6(spark, d):
-    goods = ingest.products(A.catalog(spark, d)).select("product_id", "description")
-    counts = goods.groupBy("description").agg(F.count(F.lit(1)).alias("copies"))
-    return goods.join(counts, "description").select("product_id", "copies")
+    return ingest.with_copies(ingest.products(A.catalog(spark, d))).select("product_id", "copies")
 
 
 _POOL = "pool AS (SELECT DISTINCT line_id, customer_name, coalesce(orderablepartnumber, name) AS code FROM lines JOIN part p ON p.p_partkey = line_id JOIN part o ON o.p_name = p.p_name JOIN catalog ON catalog.id = o.p_partkey AND name <> '-' WHERE customer_name IS NOT NULL)"

@@ -306,3 +306,19 @@ def s14(spark, d):
     names = {"Name", "Qty", "Requested Description", "Quantity", "Zone"}
     assert names <= set(out.columns)
     return out.withColumnRenamed("Zone", "more").drop(export.OTHER_CELLS)
+
+
+@_query("s15_documents", f"SELECT id AS line_id, to_json({{'line_id': id, 'status': state, 'matched_part': CASE WHEN state IN ('EXACT_MATCH', 'HIGH_CONFIDENCE') THEN 'K' || id || '-1' END, 'percentage': t::double}})::varchar AS json FROM ({_R})")
+def s15(spark, d):
+    return export.json_rows(_results(spark, d).select("line_id", "status", "matched_part", "percentage"))
+
+
+@_query("p17_customer_lines", A.cte("lines") + " SELECT line_id, requested_description, 'ACME' AS customer_name FROM lines")
+def p17(spark, d):
+    return ingest.with_customer(A.lines(spark, d), "ACME").select("line_id", "requested_description", "customer_name")
+
+
+@_query("a9_distinct_in_order", "SELECT p_partkey AS id, p_name || '|' || p_brand AS kept FROM part WHERE p_name <> p_brand")
+def a9(spark, d):
+    rows = _part(spark, d, "p_name", "p_brand").where("p_name <> p_brand")
+    return rows.select("id", F.array_join(explain._listed(c("p_name"), F.lit(None).cast("string"), c("p_brand"), c("p_name")), "|").alias("kept"))

@@ -20,7 +20,7 @@ def digests(files: DataFrame) -> DataFrame:
 
 
 def accepted(files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """files with refused: why a file isn't taken, and null for those that are. Only names and lengths are read, where the source has them."""
+    """files with refused: why a file isn't taken, and null for those that are. Only names and lengths are read, where the source has them. Spark's binaryFile leaves empty files out by itself."""
     size = F.col("length") if "length" in files.columns else F.octet_length("content")
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
     why = F.when(suffix == ".xls", OLD_FORMAT).when(~suffix.isin(".xlsx", ".pdf"), OTHER_FORMAT).when(F.coalesce(size, F.lit(0)) == 0, EMPTY).when(size > most_bytes, TOO_LARGE)
