@@ -1,4 +1,8 @@
-"""Connected components by alternating large-star and small-star rounds, each one written to the shared folder."""
+"""Connected components by alternating large-star and small-star rounds, each one written to the shared folder.
+
+Cases: no edges give no rows; links of a node with itself, repeated and turned links change nothing; nodes are
+longs and never null; a hub of any degree is a join key that Spark may split, never one group of a task.
+"""
 
 from __future__ import annotations
 

@@ -7,8 +7,8 @@ worker. A text is also cut at line ends and after words, where no piece goes on.
 pieces, one maximum a position is taken over all words at once, and its length is kept as backpointer.
 Ties go to the longest last piece. Characters without a piece become their UTF-8 byte pieces.
 
-Cases: a null text counts as empty and has no ids; decoding restores every text exactly, blanks and line
-ends included; repeated rows are encoded each; an empty table gives an empty result; other columns are
+Cases: a null text counts as empty and has no ids; decoding restores a text exactly, blanks and line
+ends included, but for U+2581, which stands for a blank in pieces and comes back as one; repeated rows are encoded each; an empty table gives an empty result; other columns are
 ignored; a text without blanks is one word of any length.
 """
 

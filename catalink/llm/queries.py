@@ -12,44 +12,54 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which row stays of texts that are equal but for the case of A-Z, for every document."""
     return exact_dedup.decisions(table(spark, sf_dir, "documents"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written as ORC and read back, as places and digests."""
     path = token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.digests(token_files.read_tokens(spark, path))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by nearest centroid."""
     return language.predictions(table(spark, sf_dir, "documents"))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts by kind, base spans as a digest, all spans."""
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document."""
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth vector among all others."""
     rows = table(spark, sf_dir, "embeddings")
     return neighbours.nearest(rows, rows.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id"))
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without byte strings of 400 that stand anywhere else."""
     return repeats.trimmed(table(spark, sf_dir, "documents"))
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document and the text they give back, as digests."""
     return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 

@@ -1,4 +1,8 @@
-"""Screens: a set of 64-bit keys as binary-fuse filters, small enough to be sent to all executors, or none."""
+"""Screens: a set of 64-bit keys as binary-fuse filters, small enough to be sent to all executors, or none.
+
+Cases: no keys give a screen that lets nothing through; repeated keys count once; keys beyond the stated number give no screen,
+and callers join instead; a key of the set always passes, another with a chance of about 1 in 256.
+"""
 
 from __future__ import annotations
 
