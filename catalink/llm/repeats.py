@@ -5,9 +5,11 @@ Every window of 400 bytes names one position in it, the leftmost smallest hash o
 from there on, so ranks are needed at named positions only (about one in 70 bytes). A position's first
 rank is that of its 60 bytes; positions whose rank is unique are dropped. Positions of equal windows
 throughout are one class, as in whole copies: their windows are all repeated. Spark then sorts the
-classes' pairs (rank at the position, rank at the offset) at offset 60, then 120, ranks them anew by
-their order, and drops after each round what is unique, and what has no class left that is alone. What
-is left shares 240 bytes: there, classes of one rank are compared window by window, up to the threshold.
+pairs (rank at a position, rank at the offset 60), for the classes' positions and for those 120 bytes
+on, and ranks them anew by their order; in the second round the rank at the offset 120 is looked up
+among these by a join on document and position, and the pairs are sorted and ranked again. After each
+round goes what is unique, and what has no class left that is alone. What is left shares 240 bytes:
+there, classes of one rank are compared window by window, up to the threshold.
 
 Ranks before a sort are 64-bit fingerprints of the bytes; strings that are taken as equal agree in the
 fingerprints of their start and of the whole (128 bits) or, compared window by window, in their rank and one
@@ -187,7 +189,7 @@ def named(texts: Texts, unit: Unit, all_ranks: bool) -> Iterator[Named]:
         sums = Prefixes(part if unit.words else _BYTES[part])
         ranks = [sums.of(at, at + b)]
         if all_ranks:
-            ranks += [sums.of(at + b, at + 2 * b), sums.of(at + 2 * b, at + 4 * b), sums.of(first, last + unit.length)]
+            ranks += [sums.of(at + k * b, at + (k + 1) * b) for k in (1, 2, 3)] + [sums.of(first, last + unit.length)]
         shift = a - edges[text]
         yield Named(text, at + shift, first + shift, last + shift, ranks)
 
@@ -199,7 +201,8 @@ def _keys(batches: Iterator[pa.RecordBatch], unit: Unit) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([pa.array(x.ranks[0].view(np.int64))], names=["key"])
 
 
-POSITIONS = "doc long, tag long, rank long, next0 long, next1 long, whole long, place long"
+#: base1 to base3: the first ranks at the offsets base, 2 * base and 3 * base.
+POSITIONS = "doc long, tag long, rank long, base1 long, base2 long, base3 long, whole long, place long"
 
 
 def _positions(batches: Iterator[pa.RecordBatch], screen: list[bytes] | None, unit: Unit) -> Iterator[pa.RecordBatch]:
@@ -209,7 +212,7 @@ def _positions(batches: Iterator[pa.RecordBatch], screen: list[bytes] | None, un
             some = np.flatnonzero(held(screen, x.ranks[0])) if screen is not None else np.arange(len(x.at))
             place = (x.at << 16) | ((x.at - x.first) << 8) | (x.at - x.last)
             text = pa.array(x.text[some])
-            yield pa.RecordBatch.from_arrays([batch.column("doc").take(text), batch.column("tag").take(text), *(pa.array(r[some].view(np.int64)) for r in x.ranks), pa.array(place[some])], names=["doc", "tag", "rank", "next0", "next1", "whole", "place"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(text), batch.column("tag").take(text), *(pa.array(r[some].view(np.int64)) for r in x.ranks), pa.array(place[some])], names=["doc", "tag", "rank", "base1", "base2", "base3", "whole", "place"])
 
 
 CONTEXTS = "rank long, classes long, alone boolean, doc long, tag long, place long, left binary, right binary"
@@ -352,18 +355,33 @@ def _screened(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     return docs.where(may), docs.where(~may)
 
 
-def _reranked(live: DataFrame, step: int) -> DataFrame:
-    """One doubling: pairs (rank, rank at the offset) that several classes share, one of them alone, ranked anew by their order; all other classes go.
+def _reranked(live: DataFrame, name: str) -> DataFrame:
+    """One doubling: pairs (rank, next) that several rows share, one of them alone in its class, ranked anew by their order; all other rows go.
 
-    live: classes with rank, n and the ranks at further offsets. Only shared pairs are sorted, one row each.
+    live: rows with rank, next (the rank at the offset) and n (of their class). Only shared pairs are sorted, one row each.
     """
-    pair = ["rank", f"next{step}"]
-    shared = live.groupBy(*pair).agg(F.count(F.lit(1)).alias("classes"), F.min("n").alias("least")).where("classes > 1 AND least = 1")
-    ordered = shared.repartitionByRange(*pair).sortWithinPartitions(*pair)
-    ranks = written(ordered.select(F.col("rank").alias("p0"), F.col(pair[1]).alias("p1"), "classes", F.monotonically_increasing_id().alias("new")), f"ranks-{step}")
-    rest = [c for c in live.columns if c not in (*pair, "classes")]
-    paired = live.drop("classes").join(ranks, (F.col("rank") == F.col("p0")) & (F.col(pair[1]) == F.col("p1")))
-    return written(paired.select(F.col("new").alias("rank"), "classes", *rest), f"live-{step}")
+    shared = live.groupBy("rank", "next").agg(F.count(F.lit(1)).alias("classes"), F.min("n").alias("least")).where("classes > 1 AND least = 1")
+    ordered = shared.repartitionByRange("rank", "next").sortWithinPartitions("rank", "next")
+    ranks = written(ordered.select(F.col("rank").alias("p0"), F.col("next").alias("p1"), "classes", F.monotonically_increasing_id().alias("new")), f"ranks-{name}")
+    paired = live.join(ranks, (F.col("rank") == F.col("p0")) & (F.col("next") == F.col("p1")))
+    rest = [c for c in live.columns if c not in ("rank", "next")]
+    return written(paired.select(F.col("new").alias("rank"), "classes", *rest), f"live-{name}")
+
+
+def _doubled(classes: DataFrame, unit: Unit) -> DataFrame:
+    """Classes (doc, tag, place, n, rank, base1 to base3) that share 4 * base symbols with others: doc, tag, place, n, rank, classes.
+
+    Round one pairs each position's first rank with that at the offset base, and so the position 2 * base
+    further on. Round two looks the rank at the offset 2 * base up among the ranks of round one, by document
+    and position.
+    """
+    at = F.shiftright("place", 16)
+    near = classes.select("doc", "tag", "place", "n", at.alias("pos"), F.lit(0).alias("far"), "rank", F.col("base1").alias("next"))
+    far = classes.select("doc", "tag", "place", "n", (at + 2 * unit.base).alias("pos"), F.lit(1).alias("far"), F.col("base2").alias("rank"), F.col("base3").alias("next"))
+    once = _reranked(near.unionByName(far), "1").drop("classes")
+    ahead = once.where("far = 1").select(F.col("doc").alias("d"), F.col("tag").alias("t"), (F.col("pos") - 2 * unit.base).alias("p"), F.col("rank").alias("next")).distinct()
+    met = once.where("far = 0").join(ahead, (F.col("doc") == F.col("d")) & (F.col("tag") == F.col("t")) & (F.col("pos") == F.col("p")))
+    return _reranked(met.select("doc", "tag", "place", "n", "rank", "next"), "2")
 
 
 def repeated_ranges(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
@@ -385,15 +403,13 @@ def repeated_ranges(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
     # The fingerprint of all bytes that the windows cover stands for the ranks at the offsets, too.
     alike = ["rank", "whole", "reach"]
     owner = F.struct("doc", "tag")
-    one = F.min(F.struct("doc", "tag", "place", "next0", "next1")).alias("one")
+    one = F.min(F.struct("doc", "tag", "place", "base1", "base2", "base3")).alias("one")
     n = F.when(F.min(owner) == F.max(owner), 1).otherwise(2) if unit.across else F.count(F.lit(1))
     classes = written(positions.withColumn("reach", reach).groupBy(*alike).agg(n.cast("long").alias("n"), one), "classes")
     several = positions.select("doc", "tag", "rank", "whole", "place", reach.alias("reach")).join(classes.where("n > 1").select(*alike), alike, "left_semi")
     at = F.shiftright("place", 16)
     whole = several.select("doc", "tag", (at - F.shiftright("reach", 8)).alias("start"), (at - F.col("reach").bitwiseAND(F.lit(255)) + unit.length).alias("end"))
-    live = classes.select("rank", "one.next0", "one.next1", "n", "one.doc", "one.tag", "one.place")
-    for step in (0, 1):
-        live = _reranked(live, step)
+    live = _doubled(classes.select("rank", "n", "one.*"), unit)
     asked = live.select("rank", "classes", (F.col("n") == 1).alias("alone"), "doc", "tag", "place")
     by_doc = asked.groupBy("doc", "tag").agg(F.collect_list(F.struct("rank", "classes", "alone", "place")).alias("asked"))
     some, _ = _screened(docs, asked)

@@ -80,3 +80,25 @@ def test_windows_are_near_equal():
     sizes = np.concatenate([np.diff(packing.cuts(int(n))) for n in rng.integers(1, 6000, 300)])
     loads = np.bincount(packing.pack_block(sizes), weights=sizes)
     assert loads.max() <= 2048 and loads.min() > 1950 and len(loads) <= 1.01 * sizes.sum() / 2048
+
+
+def _rows_read(df):
+    """Rows that the scan of tokens gave, after stripes and row groups were skipped by their metadata."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    scans = [leaves.apply(i) for i in range(leaves.size())]
+    return [s.metrics().apply("numOutputRows").value() for s in scans if "ids" in s.toString()]
+
+
+def test_a_lookup_reads_one_row_group(spark):
+    path = token_files.write_tokens(spark.range(30_000).selectExpr("id * 2 AS doc_id", "'some words ' || id AS text"), public_tokenizers.path("byte_bpe_50k.json"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        (read,) = _rows_read(token_files.read_tokens(spark, path, 24_690, 24_690))
+        assert 0 < read <= 1000
+        assert _rows_read(token_files.read_tokens(spark, path, 24_691, 24_691))[0] <= 1000
+        assert _rows_read(token_files.read_tokens(spark, path, 70_000, 70_001)) == [0]
+        assert _rows_read(token_files.read_tokens(spark, path)) == [30_000]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
