@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .functions import similarity as S
 from .functions import text as T
 from .functions import units as U
-from .operators import adjudicate, decide, explain, export, ingest, score
+from .operators import decide, explain, export, ingest, score
 from .queries import _CASES, _FOUR, _cases, _four, _query
 from .sources import adapters as A
 
