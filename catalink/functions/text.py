@@ -362,6 +362,17 @@ def variant_conflict(query: Column, words_of_query: Column, tokens_of_query: Col
     return steel | spring | specialty_marker(query, words_of_query, marked).isNotNull()
 
 
+def default_color(found: Column) -> Column:
+    """The colour that the first category of a request implies, null if it names one itself."""
+    implied = F.get(F.filter(F.transform(found, lambda w: lookup(vocab.DEFAULT_COLORS)[F.upper(w)]), lambda c: c.isNotNull()), F.lit(0))
+    return F.when(~F.arrays_overlap(found, words(vocab.COLORS)), implied)
+
+
+def color_conflict(found: Column, color: Column) -> Column:
+    """Whether a candidate's tokens name another colour than the implied one."""
+    return F.exists(found, lambda w: F.upper(w).isin(vocab.COLORS) & (F.upper(w) != F.upper(color)))
+
+
 def percent_text(value: Column) -> Column:
     """A score for display: whole numbers plain, others with two places at most, N/A for null."""
     two = F.regexp_replace(F.regexp_replace(F.format_string("%.2f", value), "0+$", ""), r"\.$", "")

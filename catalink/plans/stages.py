@@ -18,8 +18,14 @@ def shared_dir(spark: SparkSession) -> str:
     return LOCAL_CHECKPOINTS
 
 
-def staged(df: DataFrame) -> DataFrame:
+#: Rows of a partition that is dealt anew.
+ROWS = 500
+
+
+def staged(df: DataFrame, dealt: bool = False) -> DataFrame:
+    """df, computed and written. dealt: in partitions of about ROWS rows; lines are few bytes but long expressions, and adaptive execution would merge them into one task."""
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
         context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    done = df.checkpoint()
+    return done.repartition(max(1, -(-done.count() // ROWS))) if dealt else done

@@ -46,6 +46,8 @@ _rule("f30_reduced", ["pvc gray conduit 3/4", "emt conduit 10 ft", "pvc elbow co
 _rule("f31_tray", ["ladder tray 12 wide", "basket tray wide", "ladder 12 wide", "tray 3/4 deep x", "tray 1.5 tall long"], ["TRAY|12", "TRAY|WIDE", "LADDER|12|WIDE", "TRAY|3/4", "TRAY|1.5|LONG"], lambda t: F.array_join(T.reduce_tray(T.tokens(t)), "|"))
 _rule("f35_distinctive", ["10 2 x9 ab abc", "4 3/4", "4 abc", "0.5 ab", "7"], ["10|2|abc", "3/4", "4|abc", "0.5", "7"], lambda t: F.array_join(T.distinctive(F.split(t, " ")), "|"))
 _rule("f40_spring", ["spring nut|NUT NO SPRING", "spring nut|NUT", "nut|NUT NO SPRING", "stainless nut|STAINLESS NUT", "nut|STAINLESS NUT", "stainless nut|NUT"], [True, False, False, False, True, True], lambda t: T.variant_conflict(F.split_part(t, F.lit("|"), F.lit(1)), T.canonical_words(F.split_part(t, F.lit("|"), F.lit(1))), T.tokens(F.split_part(t, F.lit("|"), F.lit(1))), F.split_part(t, F.lit("|"), F.lit(2)), T.marker_text(F.split_part(t, F.lit("|"), F.lit(2)))), "")
+_rule("f39_default_color", ["pvc elbow", "orange pvc", "emt", "GREY pvc", "x pvc y"], ["GRAY", None, None, None, "GRAY"], lambda t: T.default_color(T.tokens(t)))
+_rule("f39_color_conflict", ["orange elbow", "gray elbow", "elbow", "gray and blue"], [True, False, False, True], lambda t: T.color_conflict(T.tokens(t), F.lit("gray")), "")
 _MARKED = ["pvc|PVC ELBOW", "pvc elbow|PVC ELBOW", "grc hub|RIGID HUB", "hub|RIGID HUB", "couplings|COUPLING", "hub|HUB ELBOWS, COUPLINGS AND NIPPLES (ECN)", "emt|EMT CONNECTOR", "connector|CONN", "bolt|STRAP IMC"]
 _rule("f41_markers", _MARKED, ["ELBOW", None, None, "RIGID", None, None, "CONN", None, "IMC"], lambda t: T.specialty_marker(F.split_part(t, F.lit("|"), F.lit(1)), T.canonical_words(F.split_part(t, F.lit("|"), F.lit(1))), T.marker_text(F.split_part(t, F.lit("|"), F.lit(2)))))
 _rule("p2_blank_numbers", ["AB - x - y", " - x", "- - x", "AB-x", "", None, "-", "A B  - c"], ["AB", None, None, None, None, None, None, "A B"], ingest.catalog_number)

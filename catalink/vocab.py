@@ -52,6 +52,10 @@ COMPATIBLE = ["STEEL", "FIXTURE"]
 UNIT_WORDS = ["IN", "FT", "V", "AMP"]
 REQUIRED_WORDS = {"PVC": "SCH40"}
 
+#: Colours, and that of a category whose request names none.
+COLORS = ["GRAY", "GREY", "ORANGE", "WHITE", "BUFF", "BROWN", "GREEN", "BLACK", "RED", "BLUE", "YELLOW", "PURPLE"]
+DEFAULT_COLORS = {"PVC": "GRAY"}
+
 #: Words of prose, never part of a code.
 PROSE = ["LIGHTING", "WHIP", "CABLE", "SWITCH", "MODULE", "CONDUIT", "HEAD", "EXT", "END", "DOUBLE", "VOLTAGE", "PVC", "EMT", "GRC", "LT", "STRUT", "CHANNEL", "FLEX"]
 

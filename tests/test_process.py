@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from catalink.operators import export, ingest
 from catalink.plans import metrics, process
 from catalink.queries_sources import book
-from catalink.sources import files, workbook
+from catalink.sources import catalogs, files, workbook
 
 CATALOG = [("1", "TR-90", "TRAY BEND 90 DEGREE", "R12"), ("2", "ID-1", "INNERDUCT ORANGE RIBBED", "1 IN"), ("3", "LT12", "LIQUIDTIGHT FITTING 12", "STRAIGHT")]
 
@@ -87,3 +87,16 @@ def test_headerless_files_and_empty_tables(spark):
     got = [(r.source_row, r.requested_description, r.quantity) for r in ingest.quote_lines(cells).orderBy("source_row").collect()]
     assert got == [(1, "bolt 1", 1.0), (2, "bolt 2", 2.0), (3, "bolt 3", 3.0)] and "No header row" in ingest.cell_warnings(cells).first().warning
     assert ingest.quote_lines(spark.createDataFrame([], schema)).count() == 0 and workbook.workbook_cells(spark.createDataFrame([], "path string, content binary")).count() == 0
+
+
+def test_catalog_sources(spark, tmp_path):
+    spark.createDataFrame([(1, "K1", "rod")], "id long, code string, description string").write.parquet(f"{tmp_path}/c")
+    (row,) = catalogs.read_catalog(spark, " Parquet ", f"{tmp_path}/c", {"name": "code", "productcode": "code"}).collect()
+    assert (row.id, row.name, row.productcode, row.description2) == ("1", "K1", "K1", None)
+    heads = [(1, i + 1, "s", h) for i, h in enumerate(workbook.CATALOG_HEADERS.values())]
+    (tmp_path / "book.xlsx").write_bytes(book([*heads, (2, 1, "s", "NA1-K2"), (2, 2, "s", "K2 - bolt"), (2, 3, "s", "BOLT"), (2, 4, "s", "up"), (3, 1, "s", "F"), (3, 2, "s", "-")]))
+    rows = catalogs.read_catalog(spark, "excel", str(tmp_path))
+    assert [(r.external_id, r.product_code, r.description) for r in ingest.products(rows).collect()] == [("NA1-K2", "K2", "BOLT")]
+    assert catalogs.source_name(None) == catalogs.source_name("Postgres") == "postgresql"
+    with pytest.raises(ValueError):
+        catalogs.read_catalog(spark, "csv")
