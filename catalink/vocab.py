@@ -34,8 +34,12 @@ SYNONYMS = {
 CANONICAL = {v: k for k, group in SYNONYMS.items() for v in [k, *group]}
 
 #: Words without meaning in a request.
-NOISE = "PLEASE QUOTE QUOTATION PRICING PRICE PRICES PROVIDE NEEDED NEED WANT WANTED REQUIRE REQUIRED REQUIREMENT QTY QUANTITY PIECE PIECES PCS EACH EA UNITS UNIT OF FOR THE A AN TO FROM AND".split()
-STOPWORDS = "WITH AND THE A AN OF FOR TO X".split()
+NOISE = [
+    "PLEASE", "QUOTE", "QUOTATION", "PRICING", "PRICE", "PRICES", "PROVIDE", "NEEDED", "NEED", "WANT",
+    "WANTED", "REQUIRE", "REQUIRED", "REQUIREMENT", "QTY", "QUANTITY", "PIECE", "PIECES", "PCS", "EACH",
+    "EA", "UNITS", "UNIT", "OF", "FOR", "THE", "A", "AN", "TO", "FROM", "AND",
+]
+STOPWORDS = ["WITH", "AND", "THE", "A", "AN", "OF", "FOR", "TO", "X"]
 
 #: What a bare category word stands for.
 CATEGORY_DEFAULTS = {
@@ -76,7 +80,7 @@ ACRONYMS = [
     (r"\bCOMP\s+CPLG\b", "COMPRESSION COUPLING"),
     (r"\bWATERFALL\b", "DROP OUT"),
 ]
-FINISHES = "EG HG PL PG DF GR SS ST AL ZD EA EV".split()
+FINISHES = ["EG", "HG", "PL", "PG", "DF", "GR", "SS", "ST", "AL", "ZD", "EA", "EV"]
 MARKERS = ["ELBOW", "SUPER FITTING", "RIGID", "THREADED", "IMC", "GRC", "NIPPLE", "COUPLING", "STRAP", "CONN"]
 KNOWN_PHRASES = ["SWITCH MODULE", "LIGHTING WHIP", "LIGHTING CABLE", "EXT CABLE", "EXT WHIP", "DBL HEAD", "DBL END", "WHIP END", "ISO GROUND"]
 
