@@ -5,9 +5,9 @@ Every window of 400 bytes names one position in it, the leftmost smallest hash o
 from there on, so ranks are needed at named positions only (about one in 70 bytes). A position's first
 rank is that of its 60 bytes; positions whose rank is unique are dropped. Positions of equal windows
 throughout are one class, as in whole copies: their windows are all repeated. Spark then sorts the
-pairs (rank at a position, rank at the offset 60), for the classes' positions and for those 120 bytes
-on, and ranks them anew by their order; in the second round the rank at the offset 120 is looked up
-among these by a join on document and position, and the pairs are sorted and ranked again. After each
+pairs (rank at a position, rank at the offset 60), for the classes' positions and, of what is left, for
+those 120 bytes on, and ranks them anew by their order; in the second round the rank at the offset 120 is
+looked up by a join on document and position, and the pairs are sorted and ranked again. After each
 round goes what is unique, and what has no class left that is alone. What is left shares 240 bytes:
 there, classes of one rank are compared window by window, up to the threshold.
 
@@ -371,16 +371,15 @@ def _reranked(live: DataFrame, name: str) -> DataFrame:
 def _doubled(classes: DataFrame, unit: Unit) -> DataFrame:
     """Classes (doc, tag, place, n, rank, base1 to base3) that share 4 * base symbols with others: doc, tag, place, n, rank, classes.
 
-    Round one pairs each position's first rank with that at the offset base, and so the position 2 * base
-    further on. Round two looks the rank at the offset 2 * base up among the ranks of round one, by document
-    and position.
+    Round one pairs each position's first rank with that at the offset base; then, of what is left, the
+    first ranks at the offsets 2 * base and 3 * base. Round two looks the rank at the offset 2 * base up
+    among the latter by document and position.
     """
     at = F.shiftright("place", 16)
-    near = classes.select("doc", "tag", "place", "n", at.alias("pos"), F.lit(0).alias("far"), "rank", F.col("base1").alias("next"))
-    far = classes.select("doc", "tag", "place", "n", (at + 2 * unit.base).alias("pos"), F.lit(1).alias("far"), F.col("base2").alias("rank"), F.col("base3").alias("next"))
-    once = _reranked(near.unionByName(far), "1").drop("classes")
-    ahead = once.where("far = 1").select(F.col("doc").alias("d"), F.col("tag").alias("t"), (F.col("pos") - 2 * unit.base).alias("p"), F.col("rank").alias("next")).distinct()
-    met = once.where("far = 0").join(ahead, (F.col("doc") == F.col("d")) & (F.col("tag") == F.col("t")) & (F.col("pos") == F.col("p")))
+    once = _reranked(classes.withColumnRenamed("base1", "next"), "1").drop("classes")
+    far = once.select("doc", "tag", (at + 2 * unit.base).alias("pos"), "n", F.col("base2").alias("rank"), F.col("base3").alias("next"))
+    ahead = _reranked(far, "1-ahead").select(F.col("doc").alias("d"), F.col("tag").alias("t"), F.col("pos").alias("p"), F.col("rank").alias("next")).distinct()
+    met = once.join(ahead, (F.col("doc") == F.col("d")) & (F.col("tag") == F.col("t")) & (at + 2 * unit.base == F.col("p")))
     return _reranked(met.select("doc", "tag", "place", "n", "rank", "next"), "2")
 
 
