@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions import units as U
 from .operators import adjudicate, decide, explain, export, ingest
+from .plans.stages import spread
 from .queries import _FOUR, _four, _query
 from .queries_results import _R, _cells, _part, _results
 from .sources import adapters as A
@@ -117,7 +118,7 @@ def f6(spark, d):
 @_query("f21_search_steps", "SELECT p_partkey AS id, 'quote ' || p_size || ' for the ' || p_name || ' cables' AS original_input, p_size AS extracted_quantity, 'for the ' || p_name || ' cables' AS after_quantity_removal, p_name || ' cables' AS after_noise_removal, p_name || ' cbl' AS after_terminology_normalization, replace(p_name, ' ', '|') || '|cbl' AS tokens FROM part")
 def f21(spark, d):
     x = T.search_steps(F.concat(F.lit(" quote "), c("p_size"), F.lit(" for the  "), c("p_name"), F.lit(" cables")))
-    rows = A.read(spark, d, "part").select(c("p_partkey").alias("id"), x.alias("x")).select("id", "x.*")
+    rows = spread(A.read(spark, d, "part")).select(c("p_partkey").alias("id"), x.alias("x")).select("id", "x.*")
     return rows.withColumn("tokens", F.array_join("tokens", "|"))
 
 
