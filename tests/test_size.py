@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from catalink.functions import text as T
 from catalink.functions import units as U
-from catalink.operators import score
+from catalink.operators import history, score
 from catalink.queries import ORACLE_SQL, QUERIES
 from catalink.queries_sources import book
 from catalink.sources import workbook
@@ -64,3 +64,18 @@ def test_workbooks_are_written_in_linear_time():
     content = book([(r, col, "i", f"{r}") for r in range(1, 20_001) for col in (2, 1)])
     assert time.process_time() - begin < 5
     assert [x[2:5] for x in workbook.cells(content)][-1] == (20_000, 2, "20000")
+
+
+def test_lines_of_one_pool_are_looked_up_once(spark):
+    """Pools of many lines: the results of `purchases` over the listed pool, without a join of all lines with all codes."""
+    sales = spark.createDataFrame([(k % 7, k % 3, f" AB*nation_{k % 4}", f"C{k % 11} ", k % 5 - 1) for k in range(300)] + [(None, None, None, "C1", 9)], "shipto long, billto long, billtoname string, itemnumber string, orderquantity long")
+    who = ["3", "2", "9", "ab*NATION_1", "*nation", "none", " ", None, "99999999999999999999"]
+    lines = spark.createDataFrame([(i, who[i % len(who)], f"p{i % 3}") for i in range(54)], "line_id long, customer_name string, pool string")
+    goods = spark.createDataFrame([(f"p{k % 3}", f"C{k % 11}") for k in range(40) if k % 4], "pool string, code string")
+    listed = lines.join(goods, "pool").where("customer_name NOT LIKE '9999%'")
+    told = history.shares(history.purchases(listed, sales))
+    found = history.pooled_purchases(lines, goods, sales)
+    rows = lambda df: Counter((r.line_id, r.code, r.quantity, round(r.share, 9)) for r in df.collect())
+    assert rows(found) == rows(told) and len(rows(found)) > 50
+    seen = found._jdf.queryExecution().optimizedPlan().toString()
+    assert seen.count("Join") <= 4
