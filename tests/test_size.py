@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 import time
 from collections import Counter
 
@@ -12,7 +14,9 @@ from pyspark.sql import functions as F
 
 from catalink.functions import text as T
 from catalink.functions import units as U
-from catalink.operators import history, score
+from catalink.operators import history, retrieve, score
+from catalink.operators.ingest import products
+from catalink.plans.index import catalog_index, drop_index
 from catalink.queries import ORACLE_SQL, QUERIES
 from catalink.queries_sources import book
 from catalink.sources import workbook
@@ -79,3 +83,26 @@ def test_lines_of_one_pool_are_looked_up_once(spark):
     assert rows(found) == rows(told) and len(rows(found)) > 50
     seen = found._jdf.queryExecution().optimizedPlan().toString()
     assert seen.count("Join") <= 4
+
+
+def test_rows_of_the_same_words_fit_alike(spark):
+    """Fitting rows are those of all pairs; rows are listed by sets of held words, and texts are sought only for positions with short spellings."""
+    rng = random.Random(2)
+    words = ["large", "ring", "bolt", "steel", "x7", "33", "widget", "promo", "a"]
+    goods = [(str(i), f"N{i}", " ".join(rng.choices(words, k=3)), " ".join(rng.choices(words, k=2))) for i in range(120)]
+    catalog = spark.createDataFrame(goods, "id string, name string, description string, description2 string").withColumns({"productcode": F.col("id"), "external_id": F.concat(F.lit("NA1-"), "name")})
+    index = catalog_index(products(catalog))
+    asked = spark.createDataFrame([(i, " ".join(rng.sample(words, k=rng.randint(1, 5)))) for i in range(40)] + [(99, "large ring promo")], "line_id long, query string")
+    texts = {r.product_id: r.search_text for r in index.search.collect()}
+    expected = set()
+    for r in retrieve.with_groups(asked).collect():
+        n = len(r.groups)
+        for p, text in texts.items():
+            held = sum(any(v in text for v in g) for g in r.groups)
+            if n and (held == n or n >= 3 and math.ceil(0.6 * n) <= held):
+                expected.add((r.line_id, p, n, held, 0 if held == n else 1))
+    found = retrieve.fitting_rows(asked, index).select("line_id", "product_id", "positions", "held", "tier").collect()
+    assert len(found) == len(set(found)) and set(map(tuple, found)) == expected and {r.tier for r in found} == {0, 1}
+    told = retrieve.fitting_rows(asked.where("line_id = 99"), index)
+    assert "Contains(" not in told._jdf.queryExecution().optimizedPlan().toString()
+    drop_index(index)
