@@ -106,3 +106,11 @@ def test_rows_of_the_same_words_fit_alike(spark):
     told = retrieve.fitting_rows(asked.where("line_id = 99"), index)
     assert "Contains(" not in told._jdf.queryExecution().optimizedPlan().toString()
     drop_index(index)
+
+
+def test_equal_lines_and_rows_are_compared_once(spark):
+    """The rule is not part of the join that gives lines and rows their results."""
+    rows = spark.range(200).select(F.col("id").alias("product_id"), F.split(F.when(F.col("id") % 2 == 0, "LARGE STEEL RING").otherwise("SMALL BRASS BOLT"), " ").alias("tokens"), U.voltages(F.lit("")).alias("volts"))
+    found = retrieve.description_candidates(rows.withColumnRenamed("product_id", "line_id"), rows)
+    assert found.count() == 2 * 100 * 100
+    assert "array_contains" not in found._jdf.queryExecution().optimizedPlan().toString()
