@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions import units as U
 from .operators import adjudicate, decide, explain, export, ingest
-from .plans.stages import spread
+from .plans.stages import kept_together, spread
 from .queries import _FOUR, _four, _query
 from .queries_results import _R, _cells, _part, _results
 from .sources import adapters as A
@@ -48,7 +48,8 @@ def p7(spark, d):
     odd = "r = CASE k WHEN 5 THEN 25 ELSE 7 END"
     cells = f"""array(named_struct('col', CASE WHEN k = 1 AND {odd} THEN 4 WHEN k = 4 AND {odd} THEN 3 ELSE 2 END, 'value', p_name, 'kind', 'text'), named_struct('col', CASE WHEN k = 1 AND {odd} THEN 2 ELSE 4 END, 'value', cast(p_size AS string), 'kind', CASE WHEN k = 3 AND {odd} THEN 'text' ELSE 'number' END),
         named_struct('col', 5, 'value', CASE WHEN k IN (2, 5) AND {odd} THEN 'more' ELSE ' ' END, 'kind', 'text'))"""
-    rows = A.read(spark, d, "part").selectExpr("concat('f', p_partkey) AS file", "p_partkey % 6 AS k", "p_name", "p_size", "explode(sequence(1, 25)) AS r")
+    files = kept_together(A.read(spark, d, "part").selectExpr("concat('f', p_partkey) AS file", "p_partkey % 6 AS k", "p_name", "p_size"), "file")
+    rows = files.selectExpr("*", "explode(sequence(1, 25)) AS r")
     return ingest.headerless_files(rows.selectExpr("file", "r AS row", f"explode({cells}) AS x").select("file", "row", "x.*"))
 
 
@@ -58,7 +59,8 @@ def p14(spark, d):
     texts = [(1, 1, "'LIST OF GOODS'"), (1, 2, "'Description Qty Notes'"), (1, 3, "concat(p_name, '  1,0', lpad(cast(p_size AS string), 2, '0'))"), (1, 4, "'12.50'"), (1, 5, "concat('quote 7 ', p_name)"), (1, 6, "concat(p_name, ' 3/4')"), (1, 7, "' '"),
              (2, 1, "'LIST OF GOODS '"), (2, 2, "concat(p_name, ' NOTES 5')"), (2, 3, "'Total 5'"), (2, 4, "'17'"), (2, 5, "'x'")]
     lines = ", ".join(f"named_struct('page', {p}, 'line_no', {n}, 'text', {t})" for p, n, t in texts)
-    rows = A.read(spark, d, "part").selectExpr("concat('f', p_partkey) AS file", f"explode(array({lines})) AS x").select("file", "x.*")
+    files = kept_together(A.read(spark, d, "part").selectExpr("concat('f', p_partkey) AS file", "p_name", "p_size"), "file")
+    rows = files.selectExpr("file", f"explode(array({lines})) AS x").select("file", "x.*")
     return ingest.page_lines(rows).select("file", "source_sheet", "source_row", "requested_description", "quantity")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from catalink.functions import text as T
 from catalink.functions import units as U
-from catalink.operators import history, retrieve, score
+from catalink.operators import history, ingest, retrieve, score
 from catalink.operators.ingest import products
 from catalink.plans.index import catalog_index, drop_index
 from catalink.queries import ORACLE_SQL, QUERIES
@@ -114,3 +114,22 @@ def test_equal_lines_and_rows_are_compared_once(spark):
     found = retrieve.description_candidates(rows.withColumnRenamed("product_id", "line_id"), rows)
     assert found.count() == 2 * 100 * 100
     assert "array_contains" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["p7_headerless", "p14_page_lines"])
+def test_lines_of_files_are_dealt_once(spark, tmp_path, name):
+    """One shuffle of whole files before their cells or lines are listed, in more partitions than the one file of the table has."""
+    folder = _parts(tmp_path, [(k, "old ring", "LARGE", 5) for k in range(2000)])
+    found = QUERIES[name](spark, folder)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("RepartitionByExpression") == 1
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert _as_sql_says(spark, name, folder, "part")
+
+
+def test_lines_of_every_page_go(spark):
+    """By the distinct pages of a file, blank lines included; a file of one page and lines without a file lose none."""
+    rows = [("a", 1, 1, "HEAD"), ("a", 1, 2, "bolt 3"), ("a", 2, 1, " head"), ("a", 2, 2, "HEAD "), ("b", 1, 1, "HEAD"), ("b", 2, 1, " "), ("c", 1, 1, "HEAD"), ("c", 1, 2, "HEAD"), (None, 1, 1, "HEAD"), (None, 2, 1, "HEAD"), ("d", None, 1, "HEAD"), ("d", 1, 1, "HEAD")]
+    found = ingest.page_lines(spark.createDataFrame(rows, "file string, page int, line_no int, text string")).collect()
+    told = sorted((r.file or "", r.source_row, r.requested_description) for r in found)
+    assert told == [("", 1, "HEAD"), ("", 2, "HEAD"), ("a", 2, "bolt"), ("a", 3, "head"), ("b", 1, "HEAD"), ("c", 1, "HEAD"), ("c", 2, "HEAD"), ("d", 1, "HEAD"), ("d", 2, "HEAD")]
