@@ -16,6 +16,7 @@ from catalink.functions import text as T
 from catalink.functions import units as U
 from catalink.operators import history, ingest, retrieve, score
 from catalink.operators.ingest import products
+from catalink.plans import match
 from catalink.plans.index import catalog_index, drop_index
 from catalink.queries import ORACLE_SQL, QUERIES
 from catalink.queries_sources import book
@@ -133,3 +134,25 @@ def test_lines_of_every_page_go(spark):
     found = ingest.page_lines(spark.createDataFrame(rows, "file string, page int, line_no int, text string")).collect()
     told = sorted((r.file or "", r.source_row, r.requested_description) for r in found)
     assert told == [("", 1, "HEAD"), ("", 2, "HEAD"), ("a", 2, "bolt"), ("a", 3, "head"), ("b", 1, "HEAD"), ("c", 1, "HEAD"), ("c", 2, "HEAD"), ("d", 1, "HEAD"), ("d", 2, "HEAD")]
+
+
+def test_each_text_of_scores_is_prepared_once(spark, monkeypatch):
+    """Many rows of few texts: the index and `field_scores` prepare the distinct texts alone, and the forms are those of `prepared` and `coded`."""
+    goods = [(str(i), f"N{i % 3}", f"{i % 2 + 1}/4 in steel ring 120 volts", "AB-12 X") for i in range(60)]
+    catalog = spark.createDataFrame(goods, "id string, name string, description string, description2 string").withColumns({"productcode": F.col("id"), "external_id": F.concat(F.lit("NA1-"), "name")})
+    sizes, real = [], score.prepared
+    monkeypatch.setattr(score, "prepared", lambda rows, *how: (sizes.append(rows.count()), real(rows, *how))[1])
+    index = catalog_index(products(catalog))
+    index.goods
+    asked = index.search.select(F.col("product_id").alias("line_id"), F.col("description").alias("query"), F.col("description").alias("wide"))
+    rows = match.field_scores(asked, index.search.select(F.col("product_id").alias("line_id"), "product_id"), index).select("score").collect()
+    assert sizes and max(sizes) <= 12 and sum(sizes) <= 14 and len(rows) == 60 and {r.score for r in rows} == {100.0}
+    monkeypatch.undo()
+    given = index.search.select("product_id", "blob", "description2")
+    made = score.with_forms(given, "product_id", {"b": "blob", "d2": "description2"}).collect()
+    plain = given
+    for prefix, text in (("b", "blob"), ("d2", "description2")):
+        plain = score.coded(score.prepared(plain, text, prefix), text, prefix).withColumn(f"{prefix}_is_code", T.is_code_like(F.col(text)))
+    told = {r.product_id: r.asDict(True) for r in plain.collect()}
+    assert len(made) == 60 and all(r.asDict(True) == told[r.product_id] for r in made)
+    drop_index(index)
