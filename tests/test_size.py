@@ -156,3 +156,12 @@ def test_each_text_of_scores_is_prepared_once(spark, monkeypatch):
     told = {r.product_id: r.asDict(True) for r in plain.collect()}
     assert len(made) == 60 and all(r.asDict(True) == told[r.product_id] for r in made)
     drop_index(index)
+
+
+@pytest.mark.parametrize("name", ["d4_decided"])
+def test_decided_lines_are_not_broadcast(spark, tmp_path, name):
+    """Candidates are far larger than the table's file tells: no side of a join goes through the driver."""
+    folder = _parts(tmp_path, [(k, "old ring", "LARGE", 5) for k in range(64)])
+    found = QUERIES[name](spark, folder)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert _as_sql_says(spark, name, folder, "part")
