@@ -158,7 +158,7 @@ def test_each_text_of_scores_is_prepared_once(spark, monkeypatch):
     drop_index(index)
 
 
-@pytest.mark.parametrize("name", ["d4_decided"])
+@pytest.mark.parametrize("name", ["d4_decided", "d5_named"])
 def test_decided_lines_are_not_broadcast(spark, tmp_path, name):
     """Candidates are far larger than the table's file tells: no side of a join goes through the driver."""
     folder = _parts(tmp_path, [(k, "old ring", "LARGE", 5) for k in range(64)])
