@@ -165,3 +165,23 @@ def test_decided_lines_are_not_broadcast(spark, tmp_path, name):
     found = QUERIES[name](spark, folder)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert _as_sql_says(spark, name, folder, "part")
+
+
+@pytest.mark.parametrize("few", [0, 12, 1000])
+def test_identifiers_of_the_same_words_are_searched_once(spark, monkeypatch, few):
+    """The first rows by code of all that hold each word, whether words are rare or common; equal lists of words are ranked once."""
+    monkeypatch.setattr(retrieve, "FEW", few)
+    rng = random.Random(4)
+    words = ["ring", "bolt", "steel", "x7", "33", "widget"]
+    goods = [(str(i), f"N{i}", " ".join(rng.choices(words, k=3)), "x") for i in range(90)]
+    catalog = spark.createDataFrame(goods, "id string, name string, description string, description2 string").withColumns({"productcode": F.col("id"), "external_id": F.concat(F.lit("NA1-"), "name")})
+    index = catalog_index(products(catalog))
+    asked = [(i, " ".join(rng.sample(words, k=rng.randint(1, 3)))) for i in range(30)] + [(90, "n17"), (91, "n17 ring"), (92, "nothing ring"), (93, "ring bolt ring")]
+    texts = sorted((r.product_code, r.product_id, r.identifier_search) for r in index.search.collect())
+    told = {(i, p, n) for i, q in asked for n, (_, p, _) in enumerate([t for t in texts if all(w in t[2] for w in q.split())][:7], 1)}
+    sizes, real = [], retrieve.staged
+    monkeypatch.setattr(retrieve, "staged", lambda df, *how: (sizes.append(df.count()) if "least" in str(df._jdf.queryExecution().logical()) else None, real(df, *how))[1])
+    found = retrieve.identifier_candidates(spark.createDataFrame(asked, "line_id long, query string"), index, 7).collect()
+    assert len(found) == len(set(found)) and {(r.line_id, r.product_id, r.rank) for r in found} == told and len(told) > 100
+    assert sizes and sizes[0] <= len({frozenset(q.split()) for _, q in asked})
+    drop_index(index)
